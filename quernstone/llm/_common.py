@@ -45,13 +45,13 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of each part take about SLICE_BYTES; a longer single text stays whole."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the texts of each part take about size bytes; a longer single text stays whole."""
     for batch in batches:
         if not batch.num_rows:
             continue
         total = max(1, batch.column(column).get_total_buffer_size())
-        step = max(1, batch.num_rows * SLICE_BYTES // total)
+        step = max(1, batch.num_rows * size // total)
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
 

@@ -3,9 +3,14 @@
 Every distinct shingle flips one bit of its document's sketch.  A shingle that
 two sets do not share flips one bit of one sketch, so the Hamming distance of two
 sketches is at most the size of the sets' symmetric difference.  In a band of
-sizes no linked pair differs in more than d shingles: a sketch of d + 1 blocks
-agrees with a linked one in at least one whole block.  Blocks are joined by
-equality, and candidates are verified with their sets.
+sizes no linked pair differs in more than d shingles: sketches of d + 1 + e blocks
+agree in at least 1 + e whole blocks, of which at most e are empty in a set that
+has no more than e empty blocks.  Blocks that are not empty are joined by equality
+(sets with more empty blocks join by those too), and candidates are verified.
+
+The sketch is wide and sparse, 2^32 bits a block; a block is known by the
+exclusive or of the scrambled places of its bits, in which even counts cancel as
+they do in the sketch.
 
 Nodes are distinct shingle sets, so copies cost nothing.  A map task sends one
 row a block value, however many sets have it, and keeps a star of the others
@@ -20,6 +25,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +36,7 @@ from .words import mix, shingle_sets
 WORDS = 3
 PERCENT = 90
 CHUNK = 2048
+TEXT_BYTES = 1 << 20  # of text worked on at a time; hashes take some twenty times as much
 _U = np.uint64
 
 
@@ -45,19 +52,28 @@ class Bands:
         while self.edges[-1] <= n:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * ratio)))
 
-    def groups(self, n: int) -> list[tuple[int, int]]:
-        """(band, blocks) in which a set of n meets its partners: its own band, and the next one if a larger partner fits there."""
+    def groups(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, blocks, spare blocks) in which a set of n meets its partners: its own band, and the next one if a larger partner fits there."""
         self._reach(n)
         g = bisect_right(self.edges, n) - 1
         self._reach(self.edges[g + 1])
-        found = [g] + [g + 1] * (100 * n >= self.percent * self.edges[g + 1])
-        return [(x, 2 * (self.edges[x + 1] - 1) * (100 - self.percent) // (100 + self.percent) + 1) for x in found]
+        out = []
+        for x in [g] + [g + 1] * (100 * n >= self.percent * self.edges[g + 1]):
+            d = 2 * (self.edges[x + 1] - 1) * (100 - self.percent) // (100 + self.percent)
+            spare = 0 if d < 5 else 1 if d < 20 else 2 + d // 64
+            out.append((x, d + 1 + spare, spare))
+        return out
 
 
 def sketch(shingles: np.ndarray, blocks: int) -> np.ndarray:
-    """Parity sketch of 64 bits a block."""
-    bits = (mix(shingles, 7) % _U(64 * blocks)).astype(np.int64)
-    return np.packbits((np.bincount(bits, minlength=64 * blocks) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+    """The blocks of a parity sketch, each by the exclusive or of its bits' scrambled places; 0 is an empty block."""
+    own = (mix(shingles, 7) >> _U(32)) * _U(blocks) >> _U(32)
+    order = np.argsort(own, kind="stable")
+    first = np.searchsorted(own[order], np.arange(blocks, dtype=np.uint64))
+    bits = mix(mix(shingles, 7) & _U(0xFFFFFFFF), 8)[order]
+    out = np.bitwise_xor.reduceat(np.append(bits, _U(0)), first)
+    out[np.append(first[1:], len(bits)) == first] = 0
+    return out
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -100,16 +116,20 @@ def _rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
 def _emit(percent: int, size: int):
     def run(batches):
         bands, keys, nodes = Bands(percent), [], []
-        for b in c.slices(batches):
+        for b in c.slices(batches, "text", TEXT_BYTES):
             sets = shingle_sets(b.column(1), size)
             own = np.array([node_of(s) for s in sets], np.int64)
             yield _rows(DOC, own, np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64), np.array(list(map(len, sets)), np.int64))
             for s, node in zip(sets, own.tolist()):
                 if len(s):
-                    for g, blocks in bands.groups(len(s)):
+                    for g, blocks, spare in bands.groups(len(s)):
                         parity = sketch(s, blocks) if blocks > 1 else np.array([node], np.int64).view(np.uint64)
-                        keys.append(mix(parity ^ mix(np.arange(blocks, dtype=np.uint64), 1000 + g)))
-                        nodes.append(np.full(blocks, node, np.int64))
+                        number = np.arange(blocks, dtype=np.uint64)
+                        full = parity != 0
+                        if full.sum() >= blocks - spare:
+                            parity, number = parity[full], number[full]
+                        keys.append(mix(parity ^ mix(number, 1000 + g)))
+                        nodes.append(np.full(len(parity), node, np.int64))
         if keys:
             k, first, sk, sn, sf = _stars(np.concatenate(keys), np.concatenate(nodes))
             for i in range(0, len(k), 1 << 18):
@@ -136,67 +156,92 @@ def _meet(batches):
             yield _rows(STAR, k, n, f)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles binary) of the wanted (id, node) rows."""
+def _pack(batches):
+    """Texts for the shuffle, compressed."""
+    z = zstandard.ZstdCompressor(level=1)
+    for b in c.slices(batches):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], ["id", "z"])
+
+
+def _unpack(texts: list[bytes], size: int) -> list[np.ndarray]:
+    d = zstandard.ZstdDecompressor()
+    return shingle_sets(pa.array([d.decompress(z) for z in texts], pa.binary()), size)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, z): the compressed text of the wanted (id, node) rows."""
 
     def run(batches):
-        for b in c.slices(batches):
-            sets = shingle_sets(b.column(1), size)
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+        for b in c.slices(batches, "z", TEXT_BYTES // 4):
+            own = np.array([node_of(s) for s in _unpack(b.column(1).to_pylist(), size)], np.int64)
+            right = pa.array(own == b.column(0).to_numpy())  # an id can have several texts
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["node", "z"]).filter(right)
 
-    found = docs.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, "node long, shingles binary")
-    return c.settle(found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    return c.settle(docs.mapInArrow(_pack, "id long, z binary").join(wanted, "id").select("node", "z").mapInArrow(run, "node long, z binary"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """The linked ones among (a, b) rows."""
-    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    x, y = texts.select(F.col("node").alias("a"), F.col("z").alias("x")), texts.select(F.col("node").alias("b"), F.col("z").alias("y"))
 
     def run(batches):
-        for b in c.slices(batches, "x"):
-            ok = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        for b in c.slices(batches, "x", TEXT_BYTES // 4):
+            left, right = _unpack(b.column(2).to_pylist(), size), _unpack(b.column(3).to_pylist(), size)
+            ok = [linked(p, q, percent) for p, q in zip(left, right)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def _sketches(texts: DataFrame, size: int) -> DataFrame:
+    """(node, n, bits binary): parity sketches of about eight bits a shingle, in powers of two."""
+
+    def run(batches):
+        for b in c.slices(batches, "z", TEXT_BYTES // 4):
+            sets = _unpack(b.column(1).to_pylist(), size)
+            bits = []
+            for s in sets:
+                m = max(64, 1 << (8 * len(s) - 1).bit_length())
+                odd = np.bincount((mix(s, 9) & _U(m - 1)).astype(np.int64), minlength=m) & 1
+                bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(bits, pa.binary())], ["node", "n", "bits"])
+
+    return texts.mapInArrow(run, "node long, n long, bits binary")
+
+
+def _fold(bits: bytes, words: int) -> np.ndarray:
+    """A sketch with half the bits, as often as needed: its halves' exclusive or."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Links that join different labels, by counts of shared shingles; both chunks of a pair are in the table."""
-        t = table.to_pydict()
-        nodes, sets = t["node"], [np.frombuffer(s, np.uint64) for s in t["shingles"]]
-        label = {n: x for n, x in zip(nodes, t["label"])}
-        root: dict[int, int] = {}
-
-        def find(x):
-            while root.get(x, x) != x:
-                root[x] = root.get(root[x], root[x])
-                x = root[x]
-            return x
-
-        sizes = np.array([len(s) for s in sets])
-        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
+        """Pairs with different labels whose sketches are near enough; both chunks of a pair are in the table."""
+        nodes, labels, n = (np.asarray(table.column(x).to_numpy(), np.int64) for x in ("node", "label", "n"))
+        raw = table.column("bits").to_pylist()
+        words = min(map(len, raw)) // 8
+        m = np.stack([_fold(x, words) for x in raw])
         out: tuple[list, list] = ([], [])
-        for i, s in enumerate(sets):
-            lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            shared = np.bincount(owner[at], minlength=len(sets))
-            for j in np.flatnonzero(100 * shared >= percent * (sizes + sizes[i] - shared)).tolist():
-                p, q = find(label[nodes[i]]), find(label[nodes[j]])
-                if p != q:
-                    root[p] = q
-                    out[0].append(nodes[i])
-                    out[1].append(nodes[j])
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+        for i in range(len(nodes) - 1):
+            rest = slice(i + 1, None)
+            total = n[rest] + n[i]
+            j = np.flatnonzero((labels[rest] != labels[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))) + i + 1
+            if len(j):
+                apart = np.bitwise_count(m[j] ^ m[i]).sum(1, dtype=np.int64)
+                j = j[(100 + percent) * apart <= (100 - percent) * total[j - i - 1]]
+                out[0].append(np.maximum(nodes[j], nodes[i]))
+                out[1].append(np.minimum(nodes[j], nodes[i]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _rest(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Links between members of a block value that stars have left apart."""
+def _rest(stars: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, size: int, chunk: int) -> DataFrame:
+    """Links between members of a block value that stars have left apart: compared by whole sketches, then verified."""
     label = labels.select(F.col("node").alias("x"), "label")
 
     def named(df, col, out):
@@ -211,7 +256,10 @@ def _rest(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, ch
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     spread = member.withColumn("own", own).select("*", other.alias("other")).select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return spread.join(sets, "node").select("key", "i", "j", "node", "label", "shingles").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    held = c.settle(spread)
+    known = _sketches(texts.join(held.select("node").distinct(), "node", "left_semi"), size)
+    near = held.join(known, "node").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    return _verify(c.settle(near.distinct()).join(stars.select("a", "b").distinct(), ["a", "b"], "left_anti"), texts, percent, size)
 
 
 def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,10 +281,10 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, chunk: int
     pairs = c.settle(stars.select("a", "b").distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = c.settle(docs_rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
-    sets = _sets(base, wanted, size)
-    links = c.settle(_verify(pairs, sets, percent))
+    texts = _texts(base, wanted, size)
+    links = c.settle(_verify(pairs, texts, percent, size))
     labels = components(links)
-    more = c.settle(_rest(stars, labels, sets, percent, chunk))
+    more = c.settle(_rest(stars, labels, texts, percent, size, chunk))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     low = docs_rows.join(labels, "node", "left").select("node", "id", "n_shingles", F.coalesce("label", "node").alias("label"))
