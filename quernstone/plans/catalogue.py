@@ -1,4 +1,460 @@
-"""Queries by name, and their SQL."""
+"""Queries by name over the driver's tables, and their SQL for another engine.
+
+The driver has no structure files, so atoms are derived from lineitem by integer
+arithmetic that both engines do alike; coordinates are dyadic, so sums are exact.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import exprs as e
+from ..functions import vocab as v
+from ..operators import align, atoms, features, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+B = "((l_partkey*13 + l_orderkey*7 + l_linenumber) % 60)"
+ORDER = ["k1", "k2", "k3", "k4", "k5", "k6", "k7"]
+_NAME = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(("N", "CA", "C", "O", "CB", "SG", "H"), 1))
+_RES = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(("ALA", "GLY", "SER", "TYR", "MSE", "LEU", "ASP", "UNK", "LYS")))
+_D = lambda x: f"CAST({x} AS DOUBLE)"
+#: The atom view, as text that both engines read.
+ATOM_COLUMNS = [
+    "l_suppkey AS pdb_id", "l_returnflag AS asym_id", "'1' AS entity_id", f"CAST({B} + 1 AS INT) AS seq_id", f"CASE l_linenumber {_NAME} END AS atom_name",
+    f"CASE l_linenumber {_NAME.replace('CA', 'C').replace('CB', 'C').replace('SG', 'S')} END AS element", "CASE WHEN l_linestatus = 'F' THEN '' ELSE 'B' END AS alt_id",
+    f"CASE ({B}*7) % 9 {_RES} END AS residue_name", "l_discount AS occupancy", "l_quantity AS b_factor", "CASE WHEN l_linenumber = 7 THEN 'HETATM' ELSE 'ATOM' END AS \"group\"",
+    f"{_D(f'({B}*37) % 29')} + {_D('l_orderkey % 64')}/64 + CASE l_returnflag WHEN 'N' THEN 10e0 WHEN 'R' THEN 25e0 ELSE 0e0 END AS x",
+    f"{_D(f'({B}*53) % 31')} + {_D('l_partkey % 64')}/64 AS y", f"{_D(f'({B}*17) % 23')} + {_D('(l_orderkey + l_partkey) % 64')}/64 AS z",
+    "l_orderkey AS k1", "l_linenumber AS k2", "l_partkey AS k3", "l_extendedprice AS k4", "l_tax AS k5", "l_shipdate AS k6", "l_linestatus AS k7",
+]
+V = f"WITH v AS (SELECT {', '.join(ATOM_COLUMNS)} FROM lineitem), a0 AS (SELECT *, row_number() OVER (PARTITION BY pdb_id, entity_id, asym_id, seq_id, atom_name ORDER BY (alt_id = '') DESC, occupancy DESC, alt_id, k1, k2, k3, k4, k5, k6, k7) AS rn FROM v), a AS (SELECT * FROM a0 WHERE rn = 1), p AS (SELECT * FROM a WHERE element NOT IN ('H', 'D'))"
+AA = "CASE residue_name " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in v.AA3_TO_1.items()) + " ELSE 'X' END"
+BY = ["pdb_id", "asym_id"]
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def v_atoms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").selectExpr(*(x.replace('"group"', "`group`") for x in ATOM_COLUMNS))
+
+
+def resolved(spark: SparkSession, d: str) -> DataFrame:
+    return atoms.resolve_altlocs(v_atoms(spark, d), ORDER)
+
+
+def heavy(spark: SparkSession, d: str) -> DataFrame:
+    return resolved(spark, d).where(e.heavy())
+
+
+def query(sql: str | None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def r6(*cols: str) -> list:
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+def r6_sql(*cols: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+@query(f"{V} SELECT pdb_id, entity_id, asym_id, seq_id, atom_name, alt_id, occupancy, k1, k2, k3 FROM a")
+def altloc_resolve(s, d):
+    return resolved(s, d).select("pdb_id", "entity_id", "asym_id", "seq_id", "atom_name", "alt_id", "occupancy", "k1", "k2", "k3")
+
+
+@query(f"{V} SELECT pdb_id, asym_id, count(*) AS atoms FROM p GROUP BY 1, 2")
+def heavy_filter(s, d):
+    return heavy(s, d).groupBy(*BY).agg(F.count("*").alias("atoms"))
+
+
+@query(f"""{V} SELECT pdb_id, CAST(sum(CASE WHEN element NOT IN ('H','D') AND asym_id IN ('A','R') AND seq_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS protein,
+ CAST(sum(CASE WHEN element NOT IN ('H','D') AND asym_id = 'N' AND residue_name = 'UNK' THEN 1 ELSE 0 END) AS BIGINT) AS ligand,
+ CAST(sum(CASE WHEN asym_id <> 'A' AND residue_name NOT IN ('HOH','DOD','WAT') AND element NOT IN ('H','D') THEN 1 ELSE 0 END) AS BIGINT) AS others FROM a GROUP BY 1""")
+def atom_predicates(s, d):
+    a = resolved(s, d)
+    kinds = {"protein": atoms.protein_atoms(a, "1", ["A", "R"]), "ligand": atoms.ligand_atoms(a, "1", ["N"], "UNK"), "others": atoms.foreign_atoms(a, "1", "A")}
+    out = a.select("pdb_id").distinct()
+    for k, x in kinds.items():
+        out = out.join(x.groupBy("pdb_id").agg(F.count("*").alias(k)), "pdb_id", "left")
+    return out.fillna(0, list(kinds))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(p_name, ' '), lambda x: x <> ''))), ';') AS ids FROM part")
+def split_ids(s, d):
+    return table(s, d, "part").select("p_partkey", F.array_join(e.split_ids(F.col("p_name"), " "), ";").alias("ids"))
+
+
+@query(f"""{V}, c AS (SELECT pdb_id, asym_id, seq_id, residue_name, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY pdb_id, asym_id, seq_id ORDER BY n DESC, residue_name) AS rn, CAST(sum(n) OVER (PARTITION BY pdb_id, asym_id, seq_id) AS BIGINT) AS atoms FROM c)
+ SELECT pdb_id, asym_id, seq_id, residue_name, atoms FROM m WHERE rn = 1""")
+def modal_name(s, d):
+    return atoms.modal_residues(heavy(s, d), BY)
+
+
+_PAIRS = f"""{V}, l AS (SELECT pdb_id, asym_id AS ligand_asym_id, x AS rx, y AS ry, z AS rz FROM p WHERE asym_id = 'N'), q AS (SELECT pdb_id, asym_id AS protein_asym_id, seq_id, x, y, z FROM p WHERE asym_id IN ('A','R')),
+ h AS (SELECT q.pdb_id, protein_asym_id, ligand_asym_id, seq_id, sqrt((x-rx)*(x-rx)+(y-ry)*(y-ry)+(z-rz)*(z-rz)) AS d FROM q JOIN l ON q.pdb_id = l.pdb_id),
+ g AS (SELECT pdb_id, protein_asym_id, ligand_asym_id, list_sort(list_distinct(list(seq_id))) AS positions, count(*) AS contact_atom_pairs, min(d) AS md FROM h WHERE d <= 6.0 GROUP BY ALL),
+ n AS (SELECT pdb_id, ligand_asym_id, count(*) AS ligand_heavy_atom_count FROM l GROUP BY ALL),
+ pairs AS (SELECT k.pdb_id, k.protein_asym_id, n.ligand_asym_id, coalesce(array_to_string(g.positions, ';'), '') AS positions, CAST(coalesce(len(g.positions), 0) AS BIGINT) AS n_positions, coalesce(g.contact_atom_pairs, 0) AS contact_atom_pairs, round(g.md, 6) AS minimum_distance, ligand_heavy_atom_count
+  FROM (SELECT DISTINCT pdb_id, protein_asym_id FROM q) k JOIN n ON k.pdb_id = n.pdb_id LEFT JOIN g ON g.pdb_id = k.pdb_id AND g.protein_asym_id = k.protein_asym_id AND g.ligand_asym_id = n.ligand_asym_id)"""
+
+
+def _pairs(s, d):
+    a = heavy(s, d)
+    return atoms.contact_pairs(a.where("asym_id in ('A', 'R')"), a.where("asym_id = 'N'"))
+
+
+def _shown(p):
+    return p.select("pdb_id", "protein_asym_id", "ligand_asym_id", F.array_join("positions", ";").alias("positions"), F.size("positions").cast("long").alias("n_positions"), "contact_atom_pairs", F.round("minimum_distance_angstrom", 6).alias("minimum_distance"), "ligand_heavy_atom_count")
+
+
+@query(f"{_PAIRS} SELECT * FROM pairs")
+def contact_pairs(s, d):
+    return _shown(_pairs(s, d))
+
+
+@query(f"{_PAIRS} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY pdb_id ORDER BY n_positions DESC, contact_atom_pairs DESC, minimum_distance NULLS LAST, protein_asym_id, ligand_asym_id) AS rn FROM pairs) WHERE rn = 1 AND n_positions >= 4")
+def site_pick(s, d):
+    return _shown(atoms.pick_site(_pairs(s, d)))
+
+
+_CHAINS = f"""{V}, x AS (SELECT DISTINCT pdb_id, seq_id, residue_name AS en FROM v WHERE asym_id = 'A'),
+ ex AS (SELECT pdb_id, seq_id, min(en) AS en FROM x GROUP BY ALL), i AS (SELECT p.* FROM p SEMI JOIN ex ON p.pdb_id = ex.pdb_id AND p.seq_id = ex.seq_id),
+ c AS (SELECT pdb_id, asym_id, seq_id, residue_name, count(*) AS n FROM i GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY pdb_id, asym_id, seq_id ORDER BY n DESC, residue_name) AS rn, sum(n) OVER (PARTITION BY pdb_id, asym_id, seq_id) AS atoms FROM c),
+ f AS (SELECT m.pdb_id, m.asym_id, count(*) AS present, CAST(sum(CASE WHEN {AA} <> {AA.replace('residue_name', 'ex.en')} THEN 1 ELSE 0 END) AS BIGINT) AS mismatches, CAST(sum(atoms) AS BIGINT) AS atoms FROM m JOIN ex ON m.pdb_id = ex.pdb_id AND m.seq_id = ex.seq_id WHERE rn = 1 GROUP BY ALL),
+ w AS (SELECT pdb_id, count(*) AS expected FROM ex GROUP BY 1), cand AS (SELECT DISTINCT pdb_id, asym_id FROM v),
+ pk AS (SELECT cand.pdb_id, cand.asym_id, coalesce(present, 0) AS present, coalesce(mismatches, 0) AS mismatches, coalesce(atoms, 0) AS atoms, expected, coalesce(present, 0) / CAST(expected AS DOUBLE) AS coverage,
+  row_number() OVER (PARTITION BY cand.pdb_id ORDER BY coalesce(present, 0) DESC, coalesce(mismatches, 0), coalesce(atoms, 0) DESC, cand.asym_id) AS rn FROM cand JOIN w ON cand.pdb_id = w.pdb_id LEFT JOIN f ON cand.pdb_id = f.pdb_id AND cand.asym_id = f.asym_id)"""
+
+
+def _picked(s, d):
+    a = v_atoms(s, d)
+    expected = a.where("asym_id = 'A'").groupBy("pdb_id", "seq_id").agg(F.min("residue_name").alias("expected_name"))
+    return atoms.pick_chain(resolved(s, d), expected, a)
+
+
+@query(f"{_CHAINS} SELECT pdb_id, asym_id, present, mismatches, atoms, round(coverage, 6) AS coverage, CAST(expected - present AS BIGINT) AS missing FROM pk WHERE rn = 1")
+def chain_pick(s, d):
+    return _picked(s, d).select("pdb_id", "asym_id", "present", "mismatches", "atoms", *r6("coverage"), F.size("missing_positions").cast("long").alias("missing"))
+
+
+@query(f"{_CHAINS} SELECT pdb_id, asym_id, CASE WHEN coverage < 0.95 THEN 'coverage' WHEN mismatches > 0 THEN 'mismatch' ELSE 'pass' END AS gate FROM pk WHERE rn = 1")
+def coverage_gate(s, d):
+    return atoms.coverage_gate(_picked(s, d), 0.95).select("pdb_id", "asym_id", "gate")
+
+
+_AAF = ", ".join(f"avg(CASE WHEN code = '{x}' THEN 1e0 ELSE 0e0 END) AS aa_fraction_{x}" for x in v.AA_ORDER)
+_ELF = ", ".join(f"avg(CASE WHEN class = '{x}' THEN 1e0 ELSE 0e0 END) AS element_fraction_{x}" for x in v.ELEMENT_ORDER)
+_RESIDUES = f""", rc AS (SELECT pdb_id, asym_id, seq_id, residue_name, count(*) AS n FROM p GROUP BY ALL), rn AS (SELECT *, row_number() OVER (PARTITION BY pdb_id, asym_id, seq_id ORDER BY n DESC, residue_name) AS k FROM rc),
+ aa AS (SELECT pdb_id, asym_id, CAST(count(*) AS DOUBLE) AS pocket_residue_count, {_AAF} FROM (SELECT *, {AA} AS code FROM rn WHERE k = 1) GROUP BY 1, 2),
+ el AS (SELECT pdb_id, asym_id, {_ELF} FROM (SELECT *, CASE WHEN element IN ('C','N','O','S','P','SE') THEN element ELSE 'OTHER' END AS class FROM p) GROUP BY 1, 2)"""
+_AAN, _ELN = [f"aa_fraction_{x}" for x in v.AA_ORDER], [f"element_fraction_{x}" for x in v.ELEMENT_ORDER]
+
+
+@query(f"{V}{_RESIDUES} SELECT pdb_id, asym_id, {r6_sql(*_AAN)} FROM aa")
+def composition(s, d):
+    names = atoms.modal_residues(heavy(s, d), BY).withColumn("code", e.one_letter(F.col("residue_name")))
+    return features.fractions(names, BY, "code", v.AA_ORDER, "aa_fraction_").select(*BY, *r6(*_AAN))
+
+
+@query(f"{V}{_RESIDUES} SELECT pdb_id, asym_id, {r6_sql(*_ELN)} FROM el")
+def element_composition(s, d):
+    return features.fractions(heavy(s, d).withColumn("class", e.element_class(F.col("element"))), BY, "class", v.ELEMENT_ORDER, "element_fraction_").select(*BY, *r6(*_ELN))
+
+
+_MOM = """, ce AS (SELECT pdb_id, asym_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p GROUP BY ALL), de AS (SELECT p.pdb_id, p.asym_id, x-mx AS x, y-my AS y, z-mz AS z FROM p JOIN ce ON p.pdb_id = ce.pdb_id AND p.asym_id = ce.asym_id),
+ m0 AS (SELECT pdb_id, asym_id, CAST(count(*) AS DOUBLE) AS pocket_atom_count, sqrt(avg(x*x+y*y+z*z)) AS coord_radius_of_gyration, sqrt(max(x*x+y*y+z*z)) AS coord_max_radius, list_reverse_sort([max(x)-min(x), max(y)-min(y), max(z)-min(z)]) AS box,
+  avg(x*x) AS xx, avg(y*y) AS yy, avg(z*z) AS zz, avg(x*y) AS xy, avg(x*z) AS xz, avg(y*z) AS yz FROM de GROUP BY ALL)""" + "".join(f", m{i + 1} AS (SELECT *, {', '.join(f'{x} AS {k}' for k, x in step.items())} FROM m{i})" for i, step in enumerate(e.EIGEN_STEPS)) + f""",
+ mo AS (SELECT *, box[1] AS bbox_extent_large, box[2] AS bbox_extent_mid, box[3] AS bbox_extent_small, std_large AS coord_std_large, std_mid AS coord_std_mid, std_small AS coord_std_small FROM m{len(e.EIGEN_STEPS)})"""
+_MN = ["coord_radius_of_gyration", "coord_max_radius", "bbox_extent_large", "bbox_extent_mid", "bbox_extent_small"]
+_SN = ["coord_std_large", "coord_std_mid", "coord_std_small"]
+
+
+@query(f"{V}{_MOM} SELECT pdb_id, asym_id, {r6_sql(*_MN)} FROM mo")
+def coord_moments(s, d):
+    return features.moments(heavy(s, d), BY).select(*BY, *r6(*_MN))
+
+
+@query(f"{V}{_MOM} SELECT pdb_id, asym_id, {r6_sql(*_SN)} FROM mo")
+def coord_eigen(s, d):
+    return features.moments(heavy(s, d), BY).select(*BY, *r6(*_SN))
+
+
+_HN = [f"residue_pair_distance_bin_{i}" for i in range(9)]
+_HB = ", ".join(f"avg(CASE WHEN d >= {lo} AND d < {hi if hi < 1e9 else '1e300'} THEN 1e0 ELSE 0e0 END) AS {n}" for n, lo, hi in zip(_HN, v.PAIR_BINS, v.PAIR_BINS[1:]))
+_GN = ["residue_contact_edge_density_8A", "residue_contact_mean_degree_8A", "residue_contact_degree_std_8A"]
+_GRAPH = f""", ct AS (SELECT pdb_id, asym_id, seq_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY ALL),
+ pr AS (SELECT a.pdb_id, a.asym_id, a.seq_id, b.seq_id AS other, round_even(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 8) AS d FROM ct a JOIN ct b ON a.pdb_id = b.pdb_id AND a.asym_id = b.asym_id AND a.seq_id < b.seq_id),
+ hi AS (SELECT pdb_id, asym_id, {_HB} FROM pr GROUP BY 1, 2), en AS (SELECT pdb_id, asym_id, seq_id FROM pr WHERE d <= 8 UNION ALL SELECT pdb_id, asym_id, other FROM pr WHERE d <= 8), dg AS (SELECT pdb_id, asym_id, seq_id, count(*) AS g FROM en GROUP BY ALL),
+ gr AS (SELECT ct.pdb_id, ct.asym_id, CASE WHEN count(*) > 1 THEN sum(coalesce(g, 0)) / CAST(count(*) * (count(*) - 1) AS DOUBLE) ELSE 0e0 END AS {_GN[0]}, avg(coalesce(g, 0)) AS {_GN[1]}, stddev_pop(coalesce(g, 0)) AS {_GN[2]} FROM ct LEFT JOIN dg ON ct.pdb_id = dg.pdb_id AND ct.asym_id = dg.asym_id AND ct.seq_id = dg.seq_id GROUP BY 1, 2)"""
+
+
+@query(f"{V}{_GRAPH} SELECT pdb_id, asym_id, {r6_sql(*_HN)} FROM hi")
+def pair_histogram(s, d):
+    return features.histogram(features.centroid_pairs(features.centroids(heavy(s, d), BY), BY), BY).select(*BY, *r6(*_HN))
+
+
+@query(f"{V}{_GRAPH} SELECT pdb_id, asym_id, {r6_sql(*_GN)} FROM gr")
+def contact_graph(s, d):
+    res = features.centroids(heavy(s, d), BY)
+    return features.contact_graph(res, features.centroid_pairs(res, BY), BY).select(*BY, *r6(*_GN))
+
+
+@query(f"""{V}{_RESIDUES}{_MOM}{_GRAPH}, z AS (SELECT *, pocket_residue_count / 60 AS pocket_position_coverage, 1 - pocket_residue_count / 60 AS pocket_missing_fraction FROM aa JOIN el USING (pdb_id, asym_id) JOIN mo USING (pdb_id, asym_id) JOIN hi USING (pdb_id, asym_id) JOIN gr USING (pdb_id, asym_id))
+ SELECT pdb_id, asym_id, {r6_sql(*v.FEATURE_NAMES)} FROM z""")
+def pocket_features(s, d):
+    a = heavy(s, d)
+    coverage = a.groupBy(*BY).agg((F.count_distinct("seq_id") / 60).alias("coverage"))
+    return features.pocket_features(a, coverage, BY).select(*BY, *r6(*v.FEATURE_NAMES))
+
+
+@query("SELECT o_orderkey, tier, CASE WHEN tier = 'S0' THEN o_totalprice ELSE round(c_acctbal, 6) END AS value FROM orders JOIN customer ON o_custkey = c_custkey CROSS JOIN (VALUES ('S0'), ('S1')) t(tier)")
+def two_tier_views(s, d):
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    both = F.explode(F.array(F.struct(F.lit("S0").alias("tier"), F.col("o_totalprice").alias("value")), F.struct(F.lit("S1").alias("tier"), F.round("c_acctbal", 6).alias("value"))))
+    return o.select("o_orderkey", both.alias("t")).select("o_orderkey", "t.*")
+
+
+@query("SELECT o_orderkey, o_custkey, 'S2' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def template_override(s, d):
+    return table(s, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").withColumns({"o_orderstatus": F.lit("S2"), "o_totalprice": F.col("o_totalprice") * 2})
+
+
+@query("SELECT role, count(*) AS n, CAST(sum(CASE WHEN coalesce(text, '') <> '' THEN 1 ELSE 0 END) AS BIGINT) AS labelled FROM conversations GROUP BY 1")
+def quarantine_check(s, d):
+    return table(s, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.coalesce("text", F.lit("")) != "").alias("labelled"))
+
+
+_EDGE = """WITH s AS (SELECT s_suppkey AS g, s_nationkey AS view, s_suppkey % 90 + 10 AS len FROM supplier),
+ p AS (SELECT a.g AS left_g, b.g AS right_g, a.view, a.len AS length_1, b.len AS length_2, CAST((a.g*7 + b.g*13) % 100 AS DOUBLE)/100 AS tm_1, CAST((a.g*11 + b.g*3) % 100 AS DOUBLE)/100 AS tm_2, (a.g + b.g) % 60 AS aligned FROM s a JOIN s b ON a.view = b.view AND a.g < b.g),
+ m AS (SELECT p.*, region, mode, CAST((left_g + right_g + length(mode)) % 8 AS DOUBLE) AS rmsd, greatest(tm_1, tm_2) AS max_tm, CASE WHEN least(length_1, length_2) = 0 THEN 0e0 ELSE aligned / CAST(least(length_1, length_2) AS DOUBLE) END AS aligned_fraction FROM p CROSS JOIN (VALUES ('global', 'sequential'), ('pocket', 'sequential'), ('pocket', 'fully_nonsequential')) t(region, mode)),
+ e AS (SELECT *, CASE WHEN region = 'global' THEN max_tm >= 0.5 AND aligned >= 10 AND aligned_fraction >= 0.5 ELSE max_tm >= 0.5 AND aligned >= 10 AND aligned_fraction >= 0.5 AND rmsd <= 4 END AS edge FROM m)"""
+
+
+def _evidence(s, d):
+    g = table(s, d, "supplier").select(F.col("s_suppkey").alias("g"), F.col("s_nationkey").alias("view"), (F.col("s_suppkey") % 90 + 10).alias("len"))
+    p = tables.all_pairs(g, "g", "view").selectExpr("left_g", "right_g", "view", "left_len AS length_1", "right_len AS length_2", "CAST((left_g*7 + right_g*13) % 100 AS DOUBLE)/100 AS tm_1", "CAST((left_g*11 + right_g*3) % 100 AS DOUBLE)/100 AS tm_2", "(left_g + right_g) % 60 AS aligned")
+    m = tables.with_modes(p, ["sequential", "fully_nonsequential"]).withColumn("rmsd", F.expr("CAST((left_g + right_g + length(mode)) % 8 AS DOUBLE)"))
+    return tables.pair_metrics(m).withColumn("edge", tables.is_edge(0.5, 10, 0.5, 4.0))
+
+
+@query(f"{_EDGE} SELECT left_g, right_g, view, count(*) AS n FROM m GROUP BY ALL")
+def all_pairs(s, d):
+    return _evidence(s, d).groupBy("left_g", "right_g", "view").agg(F.count("*").alias("n"))
+
+
+@query(f"{_EDGE} SELECT left_g, right_g, view, region, mode, round(max_tm, 6) AS max_tm, round(aligned_fraction, 6) AS aligned_fraction, edge FROM e")
+def edge_predicate(s, d):
+    return _evidence(s, d).select("left_g", "right_g", "view", "region", "mode", *r6("max_tm", "aligned_fraction"), "edge")
+
+
+@query(f"""{_EDGE}, r AS (SELECT *, row_number() OVER (PARTITION BY left_g, right_g ORDER BY max_tm DESC, rmsd, view, region, mode) AS k FROM e WHERE edge)
+ SELECT left_g, right_g, count(*) AS evidence, array_to_string(list_sort(list_distinct(list(CAST(view AS VARCHAR)))), ';') AS views, array_to_string(list_sort(list_distinct(list(region))), ';') AS regions, array_to_string(list_sort(list_distinct(list(mode))), ';') AS modes, round(max(CASE WHEN k = 1 THEN max_tm END), 6) AS best_tm, max(CASE WHEN k = 1 THEN rmsd END) AS best_rmsd FROM r GROUP BY 1, 2""")
+def edge_rollup(s, d):
+    ev = _evidence(s, d).where("edge").withColumn("view", F.col("view").cast("string"))
+    return tables.or_blank(tables.edge_rollup(ev, ["left_g", "right_g"])).withColumn("best_tm", F.round("best_tm", 6))
+
+
+_STATUS = "CASE WHEN o_orderpriority = '5-LOW' THEN 'record_unavailable' WHEN o_totalprice < 50000 THEN 'mapping_below_threshold' WHEN o_orderstatus = 'P' THEN 'coordinate_failure' WHEN o_totalprice < 100000 THEN 'plddt_below_threshold' ELSE 'eligible' END"
+
+
+def _status():
+    c = F.col
+    return tables.waterfall([(c("o_orderpriority") == "5-LOW", "record_unavailable"), (c("o_totalprice") < 50000, "mapping_below_threshold"), (c("o_orderstatus") == "P", "coordinate_failure"), (c("o_totalprice") < 100000, "plddt_below_threshold")], "eligible")
+
+
+@query(f"SELECT o_orderkey, {_STATUS} AS status FROM orders")
+def status_waterfall(s, d):
+    return table(s, d, "orders").select("o_orderkey", _status().alias("status"))
+
+
+@query(f"SELECT o_orderstatus AS view, {_STATUS} AS status, count(*) AS n FROM orders GROUP BY 1, 2")
+def status_counts(s, d):
+    return table(s, d, "orders").select(F.col("o_orderstatus").alias("view"), _status().alias("status")).groupBy("view", "status").agg(F.count("*").alias("n"))
+
+
+@query(f"{V}, n AS (SELECT pdb_id, entity_id, asym_id, count(DISTINCT CASE WHEN atom_name = 'CA' AND \"group\" = 'ATOM' THEN seq_id END) AS positions FROM a GROUP BY ALL) SELECT pdb_id, entity_id, asym_id, positions FROM (SELECT *, row_number() OVER (PARTITION BY pdb_id ORDER BY positions DESC, entity_id, asym_id) AS k FROM n WHERE positions > 0) WHERE k = 1")
+def longest_chain(s, d):
+    return atoms.longest_chain(resolved(s, d))
+
+
+_CA = f"{V}, ca AS (SELECT * FROM (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY pdb_id, entity_id, asym_id, seq_id ORDER BY k1, k2, k3, k4, k5, k6, k7) AS k FROM a WHERE atom_name = 'CA') WHERE k = 1)"
+
+
+@query(f"{_CA} SELECT pdb_id, asym_id, seq_id, k1, k2, x, y, z FROM ca")
+def first_per_position(s, d):
+    return atoms.first_ca(resolved(s, d), ORDER).select("pdb_id", "asym_id", "seq_id", "k1", "k2", "x", "y", "z")
+
+
+@query(f"{_CA} SELECT pdb_id, asym_id, round(avg(b_factor), 6) AS mean_plddt FROM ca GROUP BY 1, 2")
+def mean_plddt(s, d):
+    return atoms.mean_plddt(atoms.first_ca(resolved(s, d), ORDER), BY).select(*BY, *r6("mean_plddt"))
+
+
+@query(f"""{_CA}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY pdb_id, entity_id, asym_id ORDER BY seq_id) AS INT) AS serial FROM ca)
+ SELECT pdb_id, entity_id, asym_id, serial, printf('ATOM  %5d  CA  %3s A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f           C', serial, residue_name, serial, round_even(x, 3), round_even(y, 3), round_even(z, 3), round_even(occupancy, 2), round_even(b_factor, 2)) AS line FROM n""")
+def ca_pdb_lines(s, d):
+    return atoms.pdb_lines(atoms.first_ca(resolved(s, d), ORDER))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def latest_record(s, d):
+    return tables.last_wins(table(s, d, "events").select("user_id", "event_id", "event_type", F.coalesce("value", F.lit(float("-inf"))).alias("v"), "ts"), ["user_id"], ["v", "ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def last_wins(s, d):
+    return tables.last_wins(table(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k = 1")
+def first_wins(s, d):
+    return tables.first_wins(table(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
+
+
+def _candidates(s, d):
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("resolution"), F.col("o_orderstatus").alias("status"))
+    return o.withColumn("ok", F.col("status") == "F"), [F.col("resolution"), F.col("o_orderkey")]
+
+
+_CAND = "WITH c AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS resolution, o_orderstatus = 'F' AS ok FROM orders), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY resolution, o_orderkey) AS INT) AS rank FROM c)"
+
+
+@query(f"{_CAND} SELECT o_custkey, o_orderkey, rank FROM r")
+def candidate_rank(s, d):
+    c, order = _candidates(s, d)
+    return tables.ranked(c, ["o_custkey"], order).select("o_custkey", "o_orderkey", "rank")
+
+
+@query(f"{_CAND} SELECT o_custkey, o_orderkey, resolution FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY resolution, o_orderkey) AS k FROM c WHERE ok) WHERE k = 1")
+def first_fit(s, d):
+    c, order = _candidates(s, d)
+    return tables.first_fit(c, ["o_custkey"], order, "ok").select("o_custkey", "o_orderkey", "resolution")
+
+
+@query(f"{_CAND}, m AS (SELECT o_custkey, min(rank) AS f FROM r WHERE ok GROUP BY 1) SELECT r.o_custkey, o_orderkey, ok FROM r LEFT JOIN m ON r.o_custkey = m.o_custkey WHERE f IS NULL OR rank <= f")
+def attempt_log(s, d):
+    c, order = _candidates(s, d)
+    return tables.attempts(c, ["o_custkey"], order, "ok").select("o_custkey", "o_orderkey", "ok")
+
+
+@query(f"""{V}, k AS (SELECT * FROM p WHERE asym_id = 'A' AND seq_id <= 10), f AS (SELECT pdb_id, x AS rx, y AS ry, z AS rz FROM p WHERE asym_id <> 'A'),
+ m AS (SELECT k.pdb_id, min(sqrt((x-rx)*(x-rx)+(y-ry)*(y-ry)+(z-rz)*(z-rz))) AS minimum FROM k JOIN f ON k.pdb_id = f.pdb_id GROUP BY 1), n AS (SELECT pdb_id, count(*) AS n FROM f GROUP BY 1)
+ SELECT i.pdb_id, coalesce(n.n, 0) AS foreign_atoms, round(minimum, 6) AS minimum, minimum IS NULL OR minimum >= 1.0 AS unoccupied FROM (SELECT DISTINCT pdb_id FROM k) i LEFT JOIN m ON i.pdb_id = m.pdb_id LEFT JOIN n ON i.pdb_id = n.pdb_id""")
+def min_foreign_distance(s, d):
+    a = resolved(s, d)
+    out = atoms.least_foreign_distance(atoms.protein_atoms(a, "1", ["A"]).where("seq_id <= 10"), atoms.foreign_atoms(a, "1", "A"), ["pdb_id"], 1.0)
+    return out.select("pdb_id", F.col("foreign").alias("foreign_atoms"), *r6("minimum"), "unoccupied")
+
+
+@query("SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 50 AS BIGINT) AS batch FROM customer")
+def id_batches(s, d):
+    return tables.batches(table(s, d, "customer").select("c_custkey"), "c_custkey", 50).select("c_custkey", "batch")
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id, i FROM r WHERE i IN (0, n // 2, n - 1)")
+def panel_sample(s, d):
+    docs = table(s, d, "documents").select("doc_id")
+    n = docs.count()
+    return tables.global_rank(docs, "doc_id").where(F.col("rank").isin(sorted({0, n // 2, n - 1}))).select("doc_id", F.col("rank").alias("i"))
+
+
+_LEDGER = "WITH e AS (SELECT doc_id AS source_id, CAST(doc_id AS VARCHAR) AS path, strlen(text) + CASE WHEN doc_id % 97 = 0 THEN 1 ELSE 0 END AS b, sha256(CASE WHEN doc_id % 89 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 83 <> 1), o AS (SELECT CAST(doc_id AS VARCHAR) AS path, strlen(text) AS b, sha256(text) AS h FROM documents WHERE doc_id % 79 <> 2)"
+
+
+@query(f"{_LEDGER} SELECT source_id, coalesce(e.path, o.path) AS path, CASE WHEN e.path IS NULL THEN 'unlisted' WHEN o.path IS NULL THEN 'missing' WHEN e.b <> o.b THEN 'bytes' WHEN e.h <> o.h THEN 'sha256' ELSE 'verified' END AS status FROM e FULL JOIN o ON e.path = o.path")
+def ledger_verify(s, d):
+    t = table(s, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    size, changed = F.octet_length("text"), F.when(F.col("doc_id") % 89 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    expected = t.where("doc_id % 83 <> 1").select(F.col("doc_id").alias("source_id"), "path", (size + (F.col("doc_id") % 97 == 0).cast("int")).alias("bytes"), F.sha2(changed, 256).alias("sha256"))
+    return tables.verify_ledger(expected, t.where("doc_id % 79 <> 2").select("path", size.alias("bytes"), F.sha2("text", 256).alias("sha256")))
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels ON documents.doc_id = labels.doc_id")
+def missing_ids(s, d):
+    return table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id, array_to_string(CASE WHEN n_chars <= 1022 THEN [0] ELSE list_sort(list_distinct(list_concat(range(0, n_chars - 1022 + 1, 766), [n_chars - 1022]))) END, ';') AS starts FROM documents")
+def sequence_windows(s, d):
+    return table(s, d, "documents").select("doc_id", F.array_join(e.window_starts(F.col("n_chars").cast("int"), 1022, 256), ";").alias("starts"))
+
+
+@query("""WITH w AS (SELECT vec_id, unnest([0, 16, 32]) AS start, embedding FROM embeddings), f AS (SELECT vec_id, start, unnest(range(32)) AS i, embedding FROM w),
+ p AS (SELECT vec_id, start + i AS pos, avg(CAST(embedding[start + i + 1] AS DOUBLE) * (start + 1)) AS value FROM f GROUP BY ALL) SELECT vec_id, count(*) AS positions, round(avg(value), 6) AS value FROM p GROUP BY 1""")
+def overlap_average(s, d):
+    w = table(s, d, "embeddings").select("vec_id", "embedding", F.explode(F.array(F.lit(0), F.lit(16), F.lit(32))).alias("start"))
+    w = w.select("vec_id", "start", F.transform(F.slice("embedding", F.col("start") + 1, 32), lambda x: x.cast("double") * (F.col("start") + 1)).alias("values"))
+    return tables.overlap_average(w, ["vec_id"]).select("vec_id", "positions", *r6("value"))
+
+
+@query("SELECT sha256(text) AS construct_sha256, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
+def construct_dedupe(s, d):
+    return table(s, d, "documents").groupBy(F.sha2("text", 256).alias("construct_sha256")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, sha256(upper(regexp_replace(text, '\\s', '', 'g'))) AS h, regexp_full_match(upper(regexp_replace(text, '\\s', '', 'g')), '[A-Za-z]+') AS valid FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+def sequence_validate(s, d):
+    t = table(s, d, "documents").where(F.octet_length("text") == F.length("text")).withColumn("q", e.normalised_sequence(F.col("text")))
+    return t.select("doc_id", F.sha2("q", 256).alias("h"), e.is_sequence(F.col("q")).alias("valid"))
+
+
+@query(f"""{V}, b AS (SELECT pdb_id, asym_id, seq_id, max(CASE WHEN atom_name = 'N' THEN x END) AS nx, max(CASE WHEN atom_name = 'CA' THEN x END) AS cax, max(CASE WHEN atom_name = 'C' THEN x END) AS cx FROM a WHERE "group" = 'ATOM' AND atom_name IN ('N','CA','C') GROUP BY 1, 2, 3),
+ sp AS (SELECT pdb_id, asym_id, unnest(range(min(seq_id), max(seq_id) + 1)) AS seq_id FROM b GROUP BY 1, 2), j AS (SELECT sp.pdb_id, sp.asym_id, CAST(sp.seq_id AS INT) AS seq_id, nx, cax, cx FROM sp LEFT JOIN b ON sp.pdb_id = b.pdb_id AND sp.asym_id = b.asym_id AND sp.seq_id = b.seq_id)
+ SELECT *, nx IS NOT NULL AND cax IS NOT NULL AND cx IS NOT NULL AS complete FROM j""")
+def backbone_densify(s, d):
+    return atoms.dense_backbone(resolved(s, d), BY).select(*BY, "seq_id", F.col("N.x").alias("nx"), F.col("CA.x").alias("cax"), F.col("C.x").alias("cx"), "complete")
+
+
+@query("SELECT r.i AS index, coalesce(sum(l_quantity), 0e0) AS value FROM range(1000) r(i) LEFT JOIN lineitem ON l_suppkey = r.i GROUP BY 1")
+def scatter_add(s, d):
+    return tables.scatter_add(table(s, d, "lineitem"), "l_suppkey", "l_quantity", 1000)
+
+
+@query("WITH f AS (SELECT label, unnest(range(64)) AS dim, embedding FROM embeddings) SELECT label, CAST(dim AS INT) AS dim, round(avg(CAST(embedding[dim + 1] AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST(embedding[dim + 1] AS DOUBLE)), 6) AS std FROM f GROUP BY 1, 2")
+def site_pool_mean_std(s, d):
+    return tables.pool(table(s, d, "embeddings"), ["label"], "embedding").select("label", "dim", *r6("mean", "std"))
+
+
+@query("""SELECT a.vec_id, round(CAST(list_max(list_transform(list_zip(a.embedding, b.embedding), lambda t: abs(t[1] - t[2]))) AS DOUBLE), 5) AS max_abs, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine, a.embedding = b.embedding AS exact
+ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def array_compare(s, d):
+    t = table(s, d, "embeddings")
+    pair = t.select("vec_id", F.col("embedding").alias("a")).join(t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    m = e.array_metrics(F.col("a"), F.col("b"))
+    return pair.select("vec_id", F.round(m["max_abs"].cast("double"), 5).alias("max_abs"), F.round(m["cosine"], 5).alias("cosine"), m["exact"].alias("exact"))
+
+
+@query("""WITH u AS (SELECT vec_id, unnest(range(64)) AS i, embedding FROM embeddings), r AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY embedding[i + 1], i) - 1 AS k FROM u)
+ SELECT vec_id, array_to_string(list(k ORDER BY i), ';') AS inverse FROM r GROUP BY 1""")
+def inverse_permutation(s, d):
+    order = F.transform(F.array_sort(F.transform("embedding", lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda t: t["i"])
+    return table(s, d, "embeddings").select("vec_id", F.array_join(e.inverse_permutation(order), ";").alias("inverse"))
+
+
+@query("SELECT sha256(array_to_string([" + ", ".join(f"'{n}'" for n in v.FEATURE_NAMES) + "], chr(10))) AS schema_sha256, CAST(52 AS BIGINT) AS n")
+def schema_hash(s, d):
+    names = F.array(*map(F.lit, v.FEATURE_NAMES))
+    return s.range(1).select(F.sha2(F.array_join(names, "\n"), 256).alias("schema_sha256"), F.size(names).cast("long").alias("n"))
+
+
+@query("SELECT event_id, event_type, json_extract_string(props, '$.' || k) AS value, k FROM (SELECT *, unnest(json_keys(props)) AS k FROM events)")
+def json_flatten(s, d):
+    pairs = F.explode(F.from_json("props", "map<string,string>")).alias("k", "value")
+    return table(s, d, "events").select("event_id", "event_type", pairs)
+
+
+@query(None)
+def local_alignment(s, d):
+    """Each part's name against its brand and type, on whole strings."""
+    return table(s, d, "part").select("p_partkey", align.aligned(F.col("p_name"), F.concat_ws(" ", "p_brand", "p_type")).alias("a")).select("p_partkey", "a.score", "a.aligned", "a.identical", "a.coverage", "a.identity")
