@@ -177,7 +177,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             right = pa.array(own == b.column(0).to_numpy())  # an id can have several texts
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["node", "z"]).filter(right)
 
-    return c.settle(docs.mapInArrow(_pack, "id long, z binary").join(wanted, "id").select("node", "z").mapInArrow(run, "node long, z binary"))
+    return c.settle(docs.mapInArrow(_pack, "id long, z binary").join(wanted.hint("merge"), "id").select("node", "z").mapInArrow(run, "node long, z binary"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -190,7 +190,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Data
             ok = [linked(p, q, percent) for p, q in zip(left, right)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sketches(texts: DataFrame, size: int) -> DataFrame:
@@ -217,9 +217,9 @@ def _fold(bits: bytes, words: int) -> np.ndarray:
     return x
 
 
-def _compare(percent: int):
+def _compare(percent: int, nearest: bool):
     def run(table: pa.Table) -> pa.Table:
-        """Pairs with different labels whose sketches are near enough; both chunks of a pair are in the table."""
+        """Pairs with different labels whose sketches are near enough, or the nearest of each node; both chunks of a pair are in the table."""
         nodes, labels, n = (np.asarray(table.column(x).to_numpy(), np.int64) for x in ("node", "label", "n"))
         raw = table.column("bits").to_pylist()
         words = min(map(len, raw)) // 8
@@ -231,7 +231,10 @@ def _compare(percent: int):
             j = np.flatnonzero((labels[rest] != labels[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))) + i + 1
             if len(j):
                 apart = np.bitwise_count(m[j] ^ m[i]).sum(1, dtype=np.int64)
-                j = j[(100 + percent) * apart <= (100 - percent) * total[j - i - 1]]
+                near = (100 + percent) * apart <= (100 - percent) * total[j - i - 1]
+                j, apart = j[near], apart[near]
+                if nearest and len(j):
+                    j = j[[np.argmin(apart)]]
                 out[0].append(np.maximum(nodes[j], nodes[i]))
                 out[1].append(np.minimum(nodes[j], nodes[i]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
@@ -240,7 +243,7 @@ def _compare(percent: int):
     return run
 
 
-def _rest(stars: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, size: int, chunk: int) -> DataFrame:
+def _rest(stars: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, size: int, chunk: int, nearest: bool) -> DataFrame:
     """Links between members of a block value that stars have left apart: compared by whole sketches, then verified."""
     label = labels.select(F.col("node").alias("x"), "label")
 
@@ -257,8 +260,8 @@ def _rest(stars: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, s
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     spread = member.withColumn("own", own).select("*", other.alias("other")).select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     held = c.settle(spread)
-    known = _sketches(texts.join(held.select("node").distinct(), "node", "left_semi"), size)
-    near = held.join(known, "node").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    known = _sketches(texts.join(held.select("node").distinct().hint("merge"), "node", "left_semi"), size)
+    near = held.join(known.hint("merge"), "node").groupBy("key", "i", "j").applyInArrow(_compare(percent, nearest), "a long, b long")
     return _verify(c.settle(near.distinct()).join(stars.select("a", "b").distinct(), ["a", "b"], "left_anti"), texts, percent, size)
 
 
@@ -284,9 +287,12 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, chunk: int
     texts = _texts(base, wanted, size)
     links = c.settle(_verify(pairs, texts, percent, size))
     labels = components(links)
-    more = c.settle(_rest(stars, labels, texts, percent, size, chunk))
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
+    # the nearest pairs first: what they join needs no comparison in full
+    for nearest in (True, False):
+        more = c.settle(_rest(stars, labels, texts, percent, size, chunk, nearest))
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            labels = components(links)
     low = docs_rows.join(labels, "node", "left").select("node", "id", "n_shingles", F.coalesce("label", "node").alias("label"))
     alone = F.col("n_shingles") == 0
     least = low.where(~alone).groupBy("label").agg(F.min("id").alias("least"))
