@@ -60,7 +60,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if text:
             buf.append(text)
             if link_depth:
-                linked += len(text)
+                linked += len("".join(text.split()))
 
     at, end = 0, len(html)
     while at < end:
@@ -140,7 +140,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not lines:
         return ""
     marked = not all(inside for *_, inside in lines) or re.search(r"<(article|main)\b", html, re.I) is not None
-    lengths = [max(0, len(t) - n) if inside else 0 for t, n, inside in lines]
+    lengths = [max(0, len(t.replace(" ", "")) - n) if inside else 0 for t, n, inside in lines]
     if marked:
         return "\n".join(t for t, _, inside in lines if inside)
     # sums over windows that begin at each line

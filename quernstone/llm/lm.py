@@ -30,7 +30,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, id_
     sizes = rows.select("doc_id", F.size("h").cast("long").alias("n_words"))
     first = F.lit(None).cast("long")
     pairs = rows.select("doc_id", F.explode(F.zip_with(F.concat(F.array(first), F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0)))), F.col("h"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    grams = pairs.select("doc_id", "p.a", "p.b").groupBy("doc_id", "a", "b").agg(F.count("*").alias("n"))
+    grams = pairs.select("doc_id", "p.a", "p.b").where("b is not null").groupBy("doc_id", "a", "b").agg(F.count("*").alias("n"))
     one = grams.groupBy("b").agg(F.sum("n").alias("c"))
     two = grams.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("c2"))
     total = F.broadcast(one.agg(F.sum("c").alias("total")))
@@ -56,7 +56,7 @@ WITH w AS (
   SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\\s]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
 ), p AS (
   SELECT doc_id, unnest(list_zip(list_concat([NULL], w[1:len(w)-1]), w)) AS p FROM w
-), g AS (SELECT doc_id, p[1] AS a, p[2] AS b FROM p),
+), g AS (SELECT doc_id, p[1] AS a, p[2] AS b FROM p WHERE p[2] IS NOT NULL),
 one AS (SELECT b AS x, count(*) AS c FROM g GROUP BY 1),
 two AS (SELECT a, b, count(*) AS c2 FROM g WHERE a IS NOT NULL GROUP BY 1, 2),
 t AS (SELECT sum(c) AS total FROM one),
