@@ -426,7 +426,7 @@ def site_pool_mean_std(s, d):
     return tables.pool(table(s, d, "embeddings"), ["label"], "embedding").select("label", "dim", *r6("mean", "std"))
 
 
-@query("""SELECT a.vec_id, round(CAST(list_max(list_transform(list_zip(a.embedding, b.embedding), lambda t: abs(t[1] - t[2]))) AS DOUBLE), 5) AS max_abs, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine, a.embedding = b.embedding AS exact
+@query("""SELECT a.vec_id, round(CAST(list_max(list_transform(list_zip(a.embedding, b.embedding), lambda t: abs(CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE)))) AS DOUBLE), 5) AS max_abs, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine, a.embedding = b.embedding AS exact
  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def array_compare(s, d):
     t = table(s, d, "embeddings")
