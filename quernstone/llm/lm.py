@@ -1,12 +1,29 @@
 """Stupid-backoff language model scores, computed relationally (operator 7).
 
-Words are what lies between white space, in lower case.  All n-grams of all texts
-are counted; a pair seen at least MIN_COUNT times scores by its share of its first
-word, any other pair backs off to ALPHA times the share of its second word.
+Words are what lies between white space, in lower case.  The n-grams of all texts
+up to ORDER words are counted.  A word scores by the count of the longest n-gram
+that ends at it over the count of that n-gram's context, if the n-gram was seen
+MIN_COUNT times; else by ALPHA times its score with one word of context less, down
+to its share of all words.
+
+The relation (slice, n-gram, count) is kept packed: a slice is a few MB of texts,
+whose n-grams are counted before they are shuffled, so a frequent one is sent once
+a slice.  It is dealt out by ranges of the n-gram's 64-bit hash; each bucket is one
+part of the count table and is joined there with the n-grams that ask for it.  The
+joined counts go back to the slice and are summed to scores by document.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,37 +31,158 @@ from . import _common as c
 
 ALPHA = 0.4
 MIN_COUNT = 2
+ORDER = 3
+#: Bytes of text whose n-grams are counted together before they are sent.
+SLICE_BYTES = 8 << 20
+#: Bytes of text for each part of the count table.
+BUCKET_BYTES = 16 << 20
+
+
+class Level(NamedTuple):
+    """The distinct n-grams of one length in a slice, and which of them ends at each word (-1: none)."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    context: np.ndarray
+    shorter: np.ndarray
+    at: np.ndarray
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def ngrams(words: list[bytes], sizes: np.ndarray, order: int) -> tuple[list[Level], np.ndarray]:
+    """The levels of a slice, and how many words of the same document stand before each word."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    own = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+    before = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    none = np.zeros(len(own), np.int64)
+    levels = [Level(own, np.bincount(ids, minlength=len(own)), none, none, ids)]
+    for k in range(1, order):
+        last, ends = levels[-1], np.flatnonzero(before >= k)
+        codes, first, which, counts = np.unique(last.at[ends - 1] * len(own) + ids[ends], return_index=True, return_inverse=True, return_counts=True)
+        context, word = np.divmod(codes, max(1, len(own)))
+        at = np.full(len(ids), -1)
+        at[ends] = which
+        hashes = _mix(last.hashes[context] * np.uint64(0x9E3779B97F4A7C15) + own[word] + np.uint64(k))
+        levels.append(Level(hashes, counts, context, last.at[ends[first]], at))
+    return levels, before
+
+
+def _unpack(row: dict) -> tuple[list[bytes], np.ndarray]:
+    body = zstandard.decompress(row["body"])
+    return body.split(b" ") if body else [], np.array(row["sizes"], np.int64)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.astype("<i8").tobytes(), 1)
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), "<i8")
 
 
-def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(slice, ids, sizes, body, n_words, n_bytes): texts as words in slices of some MB, compressed, written once."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        n = TaskContext.get().partitionId() << 32
+        for b in c.slices(batches, "text", SLICE_BYTES):
+            texts = [t.encode().split() for t in b.column(1).to_pylist()]
+            body = b" ".join([w for t in texts for w in t])
+            sizes = [len(t) for t in texts]
+            ids = pa.ListArray.from_arrays([0, len(b)], b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([n]), ids, pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.compress(body)], pa.binary()), pa.array([sum(sizes)]), pa.array([len(body)])], ["slice", "ids", "sizes", "body", "n_words", "n_bytes"])
+            n += 1
+
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    return c.settle(rows.mapInArrow(run, f"slice long, ids array<{kind}>, sizes array<long>, body binary, n_words long, n_bytes long"))
+
+
+def ask(slices: DataFrame, buckets: int, order: int) -> DataFrame:
+    """(slice, bucket, hashes, counts): the distinct n-grams of each slice by ranges of their hash, ascending."""
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                levels, _ = ngrams(*_unpack(row), order)
+                hashes = np.concatenate([x.hashes for x in levels])
+                turn = np.argsort(hashes)
+                hashes, counts = hashes[turn], np.concatenate([x.counts for x in levels])[turn]
+                bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+                for i in range(0, len(starts), 1024):
+                    spans = [(s, e) for s, e in zip(starts[i : i + 1024], [*starts[i + 1 : i + 1025], *[len(bucket)] * (i + 1024 >= len(starts))])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row["slice"]] * len(spans)), pa.array([bucket[s] for s, _ in spans], pa.int64()), pa.array([hashes[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([_packed(counts[s:e]) for s, e in spans], pa.binary())],
+                        ["slice", "bucket", "hashes", "counts"],
+                    )
+
+    return slices.select("slice", "sizes", "body").mapInArrow(run, "slice long, bucket long, hashes binary, counts binary")
+
+
+def answer(asked: DataFrame) -> DataFrame:
+    """(slice, bucket, counts): the counts over all slices of the n-grams that were asked for, in the same order."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()]
+        _, which = np.unique(np.concatenate(parts), return_inverse=True)
+        counts = np.concatenate([_numbers(x) for x in t.column("counts").to_pylist()])
+        sums = np.bincount(which, weights=counts).astype(np.int64)[which]
+        back = np.split(sums, np.cumsum([len(x) for x in parts])[:-1])
+        return pa.table({"slice": t.column("slice"), "bucket": t.column("bucket"), "counts": pa.array([_packed(x) for x in back], pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(run, "slice long, bucket long, counts binary")
+
+
+def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, lm_score) of every row: the sum of log scores over its words.
 
-    A first word scores by its share of all words.  Null and empty texts have no
-    words and score 0.  Count tables are partitioned by the hash of the n-gram;
-    repeated n-grams of a row are summed before they are joined.
+    Null and empty texts have no words and score 0; repeated rows give repeated
+    rows, each of which counts; an empty table gives none; other columns are
+    ignored.  N-grams are told apart by 64-bit hashes.
     """
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\s]+", " "), " "), lambda w: w != "")
-    base = docs.select(F.col(id_col).alias("doc_id"), words.alias("w"))
-    hashed = F.transform("w", lambda w: F.xxhash64(w))
-    rows = base.select("doc_id", hashed.alias("h"))
-    sizes = rows.select("doc_id", F.size("h").cast("long").alias("n_words"))
-    first = F.lit(None).cast("long")
-    pairs = rows.select("doc_id", F.explode(F.zip_with(F.concat(F.array(first), F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0)))), F.col("h"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    grams = pairs.select("doc_id", "p.a", "p.b").where("b is not null").groupBy("doc_id", "a", "b").agg(F.count("*").alias("n"))
-    one = grams.groupBy("b").agg(F.sum("n").alias("c"))
-    two = grams.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("c2"))
-    total = F.broadcast(one.agg(F.sum("c").alias("total")))
-    joined = (
-        grams.join(two, ["a", "b"], "left")
-        .join(one.select(F.col("b").alias("a"), F.col("c").alias("ca")), "a", "left")
-        .join(one.select("b", F.col("c").alias("cb")), "b")
-        .crossJoin(total)
-    )
-    share = F.col("cb") / F.col("total")
-    value = F.when(F.col("a").isNull(), F.log(share)).when(F.col("c2") >= min_count, F.log(F.col("c2") / F.col("ca"))).otherwise(F.log(F.lit(alpha) * share))
-    sums = joined.groupBy("doc_id").agg(F.sum(F.col("n") * value).alias("s"))
-    out = sizes.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
-    return out.join(sums, out["doc_id"].eqNullSafe(sums["doc_id"]), "left").select(out["doc_id"], "n_words", F.round(F.coalesce("s", F.lit(0.0)), 4).alias("lm_score"))
+    c.ship(docs.sparkSession)
+    slices = cut(docs, id_col, text_col)
+    size = slices.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
+    total = max(1, size["words"])
+    buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size["bytes"] // BUCKET_BYTES)
+    counted = answer(ask(slices, buckets, order))
+    less = math.log(alpha)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.to_pylist()
+        levels, before = ngrams(*_unpack(row), order)
+        turn = np.argsort(np.concatenate([x.hashes for x in levels]))
+        counts = np.zeros(len(turn))
+        if len(turn):
+            counts[turn] = np.concatenate([_numbers(x) for x in right.sort_by("bucket").column("counts").to_pylist()])
+        values, at_word, done, base, value = counts[: len(levels[0].hashes)], np.zeros(len(before)), 0, None, None
+        for k, x in enumerate(levels):
+            values, done = counts[done : done + len(x.hashes)], done + len(x.hashes)
+            if k:
+                value = np.where(values >= min_count, np.log(values / base[x.context]), less + value[x.shorter])
+            else:
+                value = np.log(values / total)
+            base, here = values, before >= k
+            at_word[here] = value[x.at[here]]
+        sizes = np.array(row["sizes"], np.int64)
+        sums, some = np.zeros(len(sizes)), sizes > 0
+        if some.any():
+            sums[some] = np.add.reduceat(at_word, (np.cumsum(sizes) - sizes)[some])
+        ids = left.column("ids").combine_chunks().flatten()
+        return pa.table({"doc_id": ids, "n_words": pa.array(sizes), "lm_score": pa.array(sums)})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = slices.select("slice", "ids", "sizes", "body").groupBy("slice")
+    out = texts.cogroup(counted.groupBy("slice")).applyInArrow(run, f"doc_id {kind}, n_words long, lm_score double")
+    return out.withColumn("lm_score", F.round("lm_score", 4))
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +193,20 @@ OP7_SQL = """
 WITH w AS (
   SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[\\s]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
 ), p AS (
-  SELECT doc_id, unnest(list_zip(list_concat([NULL], w[1:len(w)-1]), w)) AS p FROM w
-), g AS (SELECT doc_id, p[1] AS a, p[2] AS b FROM p WHERE p[2] IS NOT NULL),
-one AS (SELECT b AS x, count(*) AS c FROM g GROUP BY 1),
-two AS (SELECT a, b, count(*) AS c2 FROM g WHERE a IS NOT NULL GROUP BY 1, 2),
-t AS (SELECT sum(c) AS total FROM one),
-s AS (
-  SELECT g.doc_id, sum(CASE WHEN g.a IS NULL THEN ln(cb.c / t.total) WHEN two.c2 >= 2 THEN ln(two.c2 / ca.c) ELSE ln(0.4 * cb.c / t.total) END) AS s
-  FROM g LEFT JOIN two ON g.a = two.a AND g.b = two.b LEFT JOIN one ca ON g.a = ca.x JOIN one cb ON g.b = cb.x CROSS JOIN t GROUP BY 1
-), n AS (SELECT doc_id, CAST(sum(len(w)) AS BIGINT) AS n_words FROM w GROUP BY 1)
-SELECT n.doc_id, n.n_words, round(coalesce(s.s, 0), 4) AS lm_score FROM n LEFT JOIN s ON n.doc_id = s.doc_id
+  SELECT doc_id, unnest(list_zip(list_concat([NULL, NULL], w[1:len(w)-2]), list_concat([NULL], w[1:len(w)-1]), w)) AS p FROM w
+), g AS (SELECT doc_id, p[1] AS a, p[2] AS b, p[3] AS c FROM p WHERE p[3] IS NOT NULL),
+n1 AS (SELECT c AS x, count(*) AS n FROM g GROUP BY 1),
+n2 AS (SELECT b AS x, c AS y, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY 1, 2),
+n3 AS (SELECT a AS x, b AS y, c AS z, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY 1, 2, 3),
+t AS (SELECT sum(n) AS total FROM n1),
+v AS (
+  SELECT g.doc_id, ln(u.n / t.total) AS one,
+    CASE WHEN bc.n >= 2 THEN ln(bc.n / ub.n) END AS two,
+    CASE WHEN abc.n >= 2 THEN ln(abc.n / ab.n) END AS three, g.a, g.b
+  FROM g JOIN n1 u ON g.c = u.x LEFT JOIN n1 ub ON g.b = ub.x LEFT JOIN n2 bc ON g.b = bc.x AND g.c = bc.y
+    LEFT JOIN n2 ab ON g.a = ab.x AND g.b = ab.y LEFT JOIN n3 abc ON g.a = abc.x AND g.b = abc.y AND g.c = abc.z CROSS JOIN t
+), s AS (
+  SELECT doc_id, sum(CASE WHEN b IS NULL THEN one WHEN a IS NULL THEN coalesce(two, ln(0.4) + one) ELSE coalesce(three, ln(0.4) + coalesce(two, ln(0.4) + one)) END) AS s FROM v GROUP BY 1
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, round(coalesce(s.s, 0), 4) AS lm_score FROM w LEFT JOIN s ON w.doc_id = s.doc_id
 """

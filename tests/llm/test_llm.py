@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -176,12 +178,31 @@ def test_sharding(spark, docs):
 
 def test_lm(spark):
     df = spark.createDataFrame([(1, "a b a b"), (2, "a c"), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.lm_score) for r in lm.score(df).collect()}
+    got = {r.doc_id: (r.n_words, r.lm_score) for r in lm.score(df, order=2).collect()}
     ln = np.log
     assert got[3] == (0, 0.0)
     assert got[1] == (4, pytest.approx(ln(3 / 6) + ln(2 / 3) * 2 + ln(0.4 * 3 / 6), abs=1e-3))
 
 
+@pytest.mark.parametrize(("order", "slice_bytes"), [(3, 8 << 20), (4, 700), (1, 700)])
+def test_lm_against_counting(spark, docs, monkeypatch, order, slice_bytes):
+    monkeypatch.setattr(lm, "SLICE_BYTES", slice_bytes)
+    texts = [(i, (t or "").lower().encode().split()) for i, t, *_ in ROWS]
+    seen = Counter(tuple(w[i : i + k]) for _, w in texts for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    total = sum(len(w) for _, w in texts)
+
+    def one(context, word):
+        if not context:
+            return math.log(seen[(word,)] / total)
+        n = seen[(*context, word)]
+        return math.log(n / seen[context]) if n >= lm.MIN_COUNT else math.log(lm.ALPHA) + one(context[1:], word)
+
+    want = sorted((str(i), len(w), round(sum(one(tuple(w[max(0, j - order + 1) : j]), x) for j, x in enumerate(w)), 3)) for i, w in texts)
+    got = sorted((str(r.doc_id), r.n_words, r.lm_score) for r in lm.score(docs, order=order).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-3)
+
+
 def test_language(spark):
     df = spark.createDataFrame([(i, words(20) if i % 2 else words(20).translate(str.maketrans("abcde", "ßüökx")).upper(), "en" if i % 2 else "de") for i in range(80)] + [(900, None, "en"), (901, "12 !", "en"), (902, "", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.predict(df).collect()}
