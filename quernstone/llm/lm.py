@@ -33,7 +33,7 @@ ALPHA = 0.4
 MIN_COUNT = 2
 ORDER = 3
 #: Bytes of text whose n-grams are counted together before they are sent.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Bytes of text for each part of the count table.
 BUCKET_BYTES = 16 << 20
 
@@ -74,64 +74,96 @@ def ngrams(words: list[bytes], sizes: np.ndarray, order: int) -> tuple[list[Leve
     return levels, before
 
 
-def _unpack(row: dict) -> tuple[list[bytes], np.ndarray]:
-    body = zstandard.decompress(row["body"])
-    return body.split(b" ") if body else [], np.array(row["sizes"], np.int64)
+def _split(body: bytes) -> list[bytes]:
+    return body.split(b" ") if body else []
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(numbers.astype("<i8").tobytes(), 1)
+    """64-bit numbers by planes of equal bytes, so that high bytes without content take no room."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.compress(planes.tobytes(), 1)
 
 
 def _numbers(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(packed), "<i8")
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """The first number and each one's distance from the one before."""
+    return np.diff(ascending, prepend=np.zeros(1, np.uint64))
+
+
+def cut(batches):
+    """(slice, ids, sizes, body) of each slice: its rows' ids, their numbers of words, and all words with single spaces."""
+    n, ids, sizes, bodies, room = TaskContext.get().partitionId() << 32, [], [], [], SLICE_BYTES
+    for b in c.slices(batches, "text", SLICE_BYTES):
+        at = 0
+        for i, text in enumerate(b.column(1)):
+            words = text.as_py().encode().split()
+            bodies.append(b" ".join(words))
+            sizes.append(len(words))
+            room -= len(bodies[-1])
+            if room <= 0:
+                ids.append(b.column(0).slice(at, i + 1 - at))
+                yield n, pa.concat_arrays(ids), sizes, b" ".join([x for x in bodies if x])
+                n, ids, sizes, bodies, room, at = n + 1, [], [], [], SLICE_BYTES, i + 1
+        if at < len(b):
+            ids.append(b.column(0).slice(at))
+    if sizes:
+        yield n, pa.concat_arrays(ids), sizes, b" ".join([x for x in bodies if x])
+
+
+def measure(rows: DataFrame) -> tuple[int, int]:
+    """How many words all texts have, and how many bytes."""
 
+    def run(batches):
+        for _, _, sizes, body in cut(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([sum(sizes)]), pa.array([len(body)])], ["words", "bytes"])
+
+    sums = rows.mapInArrow(run, "words long, bytes long").agg(F.sum("words").alias("words"), F.sum("bytes").alias("bytes")).first()
+    return sums["words"] or 0, sums["bytes"] or 0
 
-def cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(slice, ids, sizes, body, n_words, n_bytes): texts as words in slices of some MB, compressed, written once."""
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def keep(rows: DataFrame) -> DataFrame:
+    """(slice, ids, sizes, body): the slices with their words compressed."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        n = TaskContext.get().partitionId() << 32
-        for b in c.slices(batches, "text", SLICE_BYTES):
-            texts = [t.encode().split() for t in b.column(1).to_pylist()]
-            body = b" ".join([w for t in texts for w in t])
-            sizes = [len(t) for t in texts]
-            ids = pa.ListArray.from_arrays([0, len(b)], b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([n]), ids, pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.compress(body)], pa.binary()), pa.array([sum(sizes)]), pa.array([len(body)])], ["slice", "ids", "sizes", "body", "n_words", "n_bytes"])
-            n += 1
+        for n, ids, sizes, body in cut(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.compress(body, 9)], pa.binary())], ["slice", "ids", "sizes", "body"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    return c.settle(rows.mapInArrow(run, f"slice long, ids array<{kind}>, sizes array<long>, body binary, n_words long, n_bytes long"))
+    return rows.mapInArrow(run, f"slice long, ids array<{kind}>, sizes array<long>, body binary")
 
 
-def ask(slices: DataFrame, buckets: int, order: int) -> DataFrame:
+def ask(rows: DataFrame, buckets: int, order: int) -> DataFrame:
     """(slice, bucket, hashes, counts): the distinct n-grams of each slice by ranges of their hash, ascending."""
 
     def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                levels, _ = ngrams(*_unpack(row), order)
-                hashes = np.concatenate([x.hashes for x in levels])
-                turn = np.argsort(hashes)
-                hashes, counts = hashes[turn], np.concatenate([x.counts for x in levels])[turn]
-                bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-                for i in range(0, len(starts), 1024):
-                    spans = [(s, e) for s, e in zip(starts[i : i + 1024], [*starts[i + 1 : i + 1025], *[len(bucket)] * (i + 1024 >= len(starts))])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["slice"]] * len(spans)), pa.array([bucket[s] for s, _ in spans], pa.int64()), pa.array([hashes[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([_packed(counts[s:e]) for s, e in spans], pa.binary())],
-                        ["slice", "bucket", "hashes", "counts"],
-                    )
-
-    return slices.select("slice", "sizes", "body").mapInArrow(run, "slice long, bucket long, hashes binary, counts binary")
+        for n, _, sizes, body in cut(batches):
+            levels, _ = ngrams(_split(body), np.array(sizes, np.int64), order)
+            hashes = np.concatenate([x.hashes for x in levels])
+            turn = np.argsort(hashes)
+            hashes, counts = hashes[turn], np.concatenate([x.counts for x in levels])[turn]
+            del levels, turn
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+            cuts = list(zip(starts, [*starts[1:], len(bucket)]))
+            for i in range(0, len(cuts), 1024):
+                spans = cuts[i : i + 1024]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n] * len(spans)), pa.array([bucket[s] for s, _ in spans], pa.int64()), pa.array([_packed(_steps(hashes[s:e])) for s, e in spans], pa.binary()), pa.array([_packed(counts[s:e]) for s, e in spans], pa.binary())],
+                    ["slice", "bucket", "hashes", "counts"],
+                )
+
+    return rows.mapInArrow(run, "slice long, bucket long, hashes binary, counts binary")
 
 
 def answer(asked: DataFrame) -> DataFrame:
     """(slice, bucket, counts): the counts over all slices of the n-grams that were asked for, in the same order."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()]
+        parts = [np.cumsum(_numbers(x), dtype=np.uint64) for x in t.column("hashes").to_pylist()]
         _, which = np.unique(np.concatenate(parts), return_inverse=True)
         counts = np.concatenate([_numbers(x) for x in t.column("counts").to_pylist()])
         sums = np.bincount(which, weights=counts).astype(np.int64)[which]
@@ -146,19 +178,20 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, ord
 
     Null and empty texts have no words and score 0; repeated rows give repeated
     rows, each of which counts; an empty table gives none; other columns are
-    ignored.  N-grams are told apart by 64-bit hashes.
+    ignored.  N-grams are told apart by 64-bit hashes.  docs is read three times and
+    must give the same rows in the same partitions each time, as a table in files
+    does; else write it first.  Slices that differ end the job with an error.
     """
     c.ship(docs.sparkSession)
-    slices = cut(docs, id_col, text_col)
-    size = slices.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
-    total = max(1, size["words"])
-    buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size["bytes"] // BUCKET_BYTES)
-    counted = answer(ask(slices, buckets, order))
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    total, size = measure(rows)
+    buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // BUCKET_BYTES)
+    counted = answer(ask(rows, buckets, order))
     less = math.log(alpha)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = left.to_pylist()
-        levels, before = ngrams(*_unpack(row), order)
+        levels, before = ngrams(_split(zstandard.decompress(row["body"])), np.array(row["sizes"], np.int64), order)
         turn = np.argsort(np.concatenate([x.hashes for x in levels]))
         counts = np.zeros(len(turn))
         if len(turn):
@@ -180,8 +213,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, ord
         return pa.table({"doc_id": ids, "n_words": pa.array(sizes), "lm_score": pa.array(sums)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = slices.select("slice", "ids", "sizes", "body").groupBy("slice")
-    out = texts.cogroup(counted.groupBy("slice")).applyInArrow(run, f"doc_id {kind}, n_words long, lm_score double")
+    out = keep(rows).groupBy("slice").cogroup(counted.groupBy("slice")).applyInArrow(run, f"doc_id {kind}, n_words long, lm_score double")
     return out.withColumn("lm_score", F.round("lm_score", 4))
 
 
