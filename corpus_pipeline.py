@@ -14,6 +14,8 @@ from quernstone.llm import _common, dedup, jaccard, langid, pack
 
 #: A document stays if one language holds this share of it.
 LEAST_SHARE = 0.4
+#: Near copies share this percentage of their shingles of so many words, or more.
+NEAR_PERCENT, NEAR_WORDS = 80, 5
 #: SQL can't express the stages on bytes and tokens; tests hold them against brute force.
 ORACLE_SQL = None
 
@@ -27,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents stays."""
-    found = jaccard.join(docs)
+    found = jaccard.join(docs, NEAR_PERCENT, NEAR_WORDS)
     first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("first")).distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi").select(*docs.columns)
 

@@ -21,7 +21,9 @@ apart are compared in full, in chunks of bounded size.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,21 @@ class Bands:
         while self.edges[-1] <= n:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * ratio)))
 
+    @lru_cache(None)  # noqa: B019
+    def _empty(self, blocks: int, edge: int) -> int:
+        """Spare blocks, so that at most one in a hundred of a band's smallest sets has more empty ones.
+
+        Few empty blocks are bounded by the number of ways to choose them, many by
+        their mean and three deviations.
+        """
+        for spare in range(2 * blocks):
+            n, k = blocks + spare, spare + 1
+            mean = n * math.exp(-edge / n)
+            ways = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+            if mean + 3 * math.sqrt(mean) < k > 9 or k < n and ways + edge * math.log1p(-k / n) < math.log(0.01):
+                return spare
+        return 0
+
     def groups(self, n: int) -> list[tuple[int, int, int]]:
         """(band, blocks, spare blocks) in which a set of n meets its partners: its own band, and the next one if a larger partner fits there."""
         self._reach(n)
@@ -60,7 +77,7 @@ class Bands:
         out = []
         for x in [g] + [g + 1] * (100 * n >= self.percent * self.edges[g + 1]):
             d = 2 * (self.edges[x + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-            spare = 0 if d < 5 else 1 if d < 20 else 2 + d // 64
+            spare = max(0 if d < 5 else 1 if d < 20 else 2 + d // 64, self._empty(d + 1, self.edges[x]))
             out.append((x, d + 1 + spare, spare))
         return out
 

@@ -230,7 +230,8 @@ def test_topk(spark):
         assert (-r.score, r.vec_id) == want
 
 
-def test_jaccard(spark, docs):
+@pytest.mark.parametrize(("percent", "size"), [(90, 3), (80, 5)])
+def test_jaccard(spark, docs, percent, size):
     more = []
     base = words(120).split(" ")
     for i in range(40):  # a chain of near copies and a star around one
@@ -239,14 +240,14 @@ def test_jaccard(spark, docs):
             near[RND.randrange(120)] = "q%d" % RND.randrange(9)
         more.append((100 + i, " ".join(near)))
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    got = {(r.id, r.n_shingles, r.component_id) for r in jaccard.join(df, chunk=8).collect()}
+    got = {(r.id, r.n_shingles, r.component_id) for r in jaccard.join(df, percent, size, chunk=8).collect()}
     items = [(r[0], r[1]) for r in rows()] + more
 
     def shingles(t):
         import re
 
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
     sets = [(i, shingles(t)) for i, t in items]
     root = list(range(len(sets)))
@@ -259,7 +260,7 @@ def test_jaccard(spark, docs):
     for a in range(len(sets)):
         for b in range(a):
             both = len(sets[a][1] & sets[b][1])
-            if sets[a][1] and sets[b][1] and 100 * both >= 90 * len(sets[a][1] | sets[b][1]):
+            if sets[a][1] and sets[b][1] and 100 * both >= percent * len(sets[a][1] | sets[b][1]):
                 root[find(a)] = find(b)
     low = {}
     for k, (i, _) in enumerate(sets):
