@@ -369,15 +369,20 @@ def panel_sample(s, d):
     return tables.global_rank(docs, "doc_id").where(F.col("rank").isin(sorted({0, n // 2, n - 1}))).select("doc_id", F.col("rank").alias("i"))
 
 
-_LEDGER = "WITH e AS (SELECT doc_id AS source_id, CAST(doc_id AS VARCHAR) AS path, strlen(text) + CASE WHEN doc_id % 97 = 0 THEN 1 ELSE 0 END AS b, sha256(CASE WHEN doc_id % 89 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 83 <> 1), o AS (SELECT CAST(doc_id AS VARCHAR) AS path, strlen(text) AS b, sha256(text) AS h FROM documents WHERE doc_id % 79 <> 2)"
+#: Documents with their stated sizes, pages that are nowhere, and items with another text's digest; turns are listed nowhere.
+_LEDGER = """WITH e AS (SELECT doc_id AS source_id, 'd/' || doc_id AS path, n_chars AS b, sha256(text) AS h FROM documents UNION ALL SELECT page_id, 'p/' || page_id, strlen(html), sha256(html) FROM pages
+  UNION ALL SELECT item_id, 'b/' || item_id, strlen(text), sha256(text || 'x') FROM benchmark),
+ o AS (SELECT 'd/' || doc_id AS path, strlen(text) AS b, sha256(text) AS h FROM documents UNION ALL SELECT 'b/' || item_id, strlen(text), sha256(text) FROM benchmark UNION ALL SELECT 'c/' || conv_id || '/' || turn, strlen(text), sha256(text) FROM conversations)"""
 
 
 @query(f"{_LEDGER} SELECT source_id, coalesce(e.path, o.path) AS path, CASE WHEN e.path IS NULL THEN 'unlisted' WHEN o.path IS NULL THEN 'missing' WHEN e.b <> o.b THEN 'bytes' WHEN e.h <> o.h THEN 'sha256' ELSE 'verified' END AS status FROM e FULL JOIN o ON e.path = o.path")
 def ledger_verify(s, d):
-    t = table(s, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
-    size, changed = F.octet_length("text"), F.when(F.col("doc_id") % 89 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
-    expected = t.where("doc_id % 83 <> 1").select(F.col("doc_id").alias("source_id"), "path", (size + (F.col("doc_id") % 97 == 0).cast("int")).alias("bytes"), F.sha2(changed, 256).alias("sha256"))
-    return tables.verify_ledger(expected, t.where("doc_id % 79 <> 2").select("path", size.alias("bytes"), F.sha2("text", 256).alias("sha256")))
+    t = {n: table(s, d, n) for n in ("documents", "pages", "benchmark", "conversations")}
+    expected = t["documents"].selectExpr("doc_id AS source_id", "concat('d/', doc_id) AS path", "n_chars AS bytes", "sha2(text, 256) AS sha256")
+    expected = expected.unionAll(t["pages"].selectExpr("page_id", "concat('p/', page_id)", "octet_length(html)", "sha2(html, 256)")).unionAll(t["benchmark"].selectExpr("item_id", "concat('b/', item_id)", "octet_length(text)", "sha2(concat(text, 'x'), 256)"))
+    observed = t["documents"].selectExpr("concat('d/', doc_id) AS path", "octet_length(text) AS bytes", "sha2(text, 256) AS sha256")
+    observed = observed.unionAll(t["benchmark"].selectExpr("concat('b/', item_id)", "octet_length(text)", "sha2(text, 256)")).unionAll(t["conversations"].selectExpr("concat('c/', conv_id, '/', turn)", "octet_length(text)", "sha2(text, 256)"))
+    return tables.verify_ledger(expected, observed)
 
 
 @query("SELECT doc_id FROM documents ANTI JOIN labels ON documents.doc_id = labels.doc_id")
@@ -403,9 +408,9 @@ def construct_dedupe(s, d):
     return table(s, d, "documents").groupBy(F.sha2("text", 256).alias("construct_sha256")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, sha256(upper(regexp_replace(text, '\\s', '', 'g'))) AS h, regexp_full_match(upper(regexp_replace(text, '\\s', '', 'g')), '[A-Za-z]+') AS valid FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("WITH q AS (SELECT doc_id, upper(replace(regexp_replace(text, '[\\s\\x0B]', '', 'g'), 'ß', 'SS')) AS q FROM documents) SELECT doc_id, sha256(q) AS h, regexp_full_match(q, '[A-Za-z]+') AS valid FROM q")
 def sequence_validate(s, d):
-    t = table(s, d, "documents").where(F.octet_length("text") == F.length("text")).withColumn("q", e.normalised_sequence(F.col("text")))
+    t = table(s, d, "documents").withColumn("q", e.normalised_sequence(F.col("text")))
     return t.select("doc_id", F.sha2("q", 256).alias("h"), e.is_sequence(F.col("q")).alias("valid"))
 
 
