@@ -52,11 +52,11 @@ def is_edge(tm: float, aligned: int, fraction: float, rmsd: float) -> Column:
     return F.when(F.col("region") == "global", base).otherwise(base & (F.col("rmsd") <= rmsd))
 
 
-def edge_rollup(evidence: DataFrame, pair: list[str]) -> DataFrame:
-    """One row per pair: count, what it was seen in, and the best evidence."""
+def edge_rollup(evidence: DataFrame, pair: list[str], extra: list[str] | tuple = ()) -> DataFrame:
+    """One row per pair: count, what it was seen in, and the best evidence with the extra columns asked for."""
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ";")
-    best = F.min_by(F.struct("max_tm", "rmsd"), F.struct(-F.col("max_tm"), F.col("rmsd"), F.col("view"), F.col("region"), F.col("mode"))).alias("b")
-    return evidence.groupBy(*pair).agg(F.count("*").alias("evidence"), joined("view").alias("views"), joined("region").alias("regions"), joined("mode").alias("modes"), best).select(*pair, "evidence", "views", "regions", "modes", F.col("b.max_tm").alias("best_tm"), F.col("b.rmsd").alias("best_rmsd"))
+    best = F.min_by(F.struct("max_tm", "rmsd", *extra), F.struct(-F.col("max_tm"), F.col("rmsd"), F.col("view"), F.col("region"), F.col("mode"))).alias("b")
+    return evidence.groupBy(*pair).agg(F.count("*").alias("evidence"), joined("view").alias("views"), joined("region").alias("regions"), joined("mode").alias("modes"), best).select(*pair, "evidence", "views", "regions", "modes", F.col("b.max_tm").alias("best_tm"), F.col("b.rmsd").alias("best_rmsd"), *(F.col(f"b.{c}").alias(f"best_{c}") for c in extra))
 
 
 def or_blank(df: DataFrame) -> DataFrame:

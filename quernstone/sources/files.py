@@ -6,6 +6,8 @@ import hashlib
 import io
 import json
 import os
+import tempfile
+import uuid
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -54,6 +56,18 @@ def tree_sha256(ledger: list[tuple[str, str]]) -> str:
     return h.hexdigest()
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the folder that the cluster shares, and read back: one use of its lineage, safe from lost executors."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:  # as in tests
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quernstone-"))
+        root = spark.sparkContext.getCheckpointDir()
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def utc_now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
