@@ -20,24 +20,31 @@ NEAR_PERCENT, NEAR_WORDS = 80, 5
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with columns that no stage reads under names that no operator gives; selecting them restores docs.columns by place."""
+    return docs.toDF(*(n if n in ("doc_id", "text", "lang") else f"__{i}" for i, n in enumerate(docs.columns)))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language go on; those without a letter, or in no language for the most part, go."""
     langs, logp = langid.train(docs.where(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))))
-    kept = langid.label(docs, langs, logp).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return kept.select(*docs.columns)
+    own = _apart(docs)
+    kept = langid.label(own, langs, logp).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return kept.select(*own.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents stays."""
     found = jaccard.join(docs, NEAR_PERCENT, NEAR_WORDS)
     first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi").select(*docs.columns)
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 400 bytes and more that occur more than once are cut out of every document."""
-    out = dedup.strip_repeats(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own = _apart(docs)
+    out = dedup.strip_repeats(own).select(*own.columns).toDF(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

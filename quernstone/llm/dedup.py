@@ -285,13 +285,15 @@ def with_rid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with text cut down to the bytes that stay, and columns removed_spans and removed_bytes.
+    """docs with text cut down to the bytes that stay, and columns removed_spans and removed_bytes, which displace columns of these names.
 
     Bytes are removed, so a cut can fall inside a character; what is left of it is
     dropped from the text.  Null texts stay null; other columns stay.
     """
+    docs = docs.drop("removed_spans", "removed_bytes")
     schema = docs.schema
-    found = find_repeats(with_rid(docs), length).select(*docs.columns, "runs")
+    apart = docs.toDF(*(n if n in ("doc_id", "text") else f"__c{i}" for i, n in enumerate(docs.columns)))  # no name of the work's own
+    found = find_repeats(with_rid(apart), length).select(*apart.columns, "runs")
 
     def run(batches):
         for b in c.slices(batches):
@@ -304,7 +306,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 n_bytes.append(sum(e - s for s, e in cut))
                 out.append(text if not cut else _left(raw, cut).decode("utf-8", "ignore"))
             cols = [pa.array(out, pa.string()) if i == k else x for i, x in enumerate(b.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_spans, pa.int64()), pa.array(n_bytes, pa.int64())], [*b.schema.names[:-1], "removed_spans", "removed_bytes"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_spans, pa.int64()), pa.array(n_bytes, pa.int64())], [*schema.names, "removed_spans", "removed_bytes"])
 
     from pyspark.sql import types as T
 

@@ -116,8 +116,13 @@ def held_out(doc_id) -> F.Column:
 
 
 def label(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
-    """docs with lang_pred, score and lang_set; the table of likelihoods is broadcast (256 kB a language)."""
+    """docs with lang_pred, score and lang_set, which displace columns of these names.
+
+    Null texts and texts without a letter are und; other columns stay. The table
+    of likelihoods is broadcast (256 kB a language).
+    """
     spark = docs.sparkSession
+    docs = docs.drop("lang_pred", "score", "lang_set")
     c.ship(spark)
     model = spark.sparkContext.broadcast((langs, logp))
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_set", T.ArrayType(T.StringType()))]

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import _common as c
 from quernstone.llm import dedup, html, jaccard, langid, lm, mpeg, pack, shard, suffix, tokenize, topk
@@ -274,6 +275,22 @@ def test_empty_tables(spark, docs):
         assert out.collect() == []
 
 
+def test_clashing_columns(spark, docs):
+    import corpus_pipeline as p
+
+    path = c.default_tokenizer()
+    plain = docs.withColumnRenamed("ids", "source")
+    names = "id ids rid node key a b kind label least first bucket length rank run runs rn start offset n n_shingles component_id size law shard slot lang_pred score lang_set removed_spans removed_bytes h hash part word".split()
+    more = plain.select("*", *(F.lit("x").alias(n) for n in names))
+    for run in (dedup.digest, lambda x: tokenize.roundtrip_digest(x, path), lambda x: mpeg.inspect(mpeg.media(x)), lambda x: pack.pack(x, path), shard.shard_by_bytes, lm.score, langid.predict, jaccard.join):
+        assert Counter(map(str, run(plain).collect())) == Counter(map(str, run(more).collect()))
+    for _, stage in p.STAGES[:-1]:
+        a, b = stage(spark, plain, ""), stage(spark, more, "")
+        assert b.columns == more.columns
+        assert Counter(map(str, a.collect())) == Counter(map(str, b.select(*plain.columns).collect()))
+        assert {r[n] for r in b.collect() for n in names} <= {"x"}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
