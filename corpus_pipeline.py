@@ -16,6 +16,9 @@ from quernstone.llm import _common, dedup, jaccard, langid, pack
 LEAST_SHARE = 0.4
 #: Near copies share this percentage of their shingles of so many words, or more.
 NEAR_PERCENT, NEAR_WORDS = 80, 5
+#: A repeated passage holds so many words or more; each takes a byte, and another one parts it from the next.
+PASSAGE_WORDS = 51
+PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 #: SQL can't express the stages on bytes and tokens; tests hold them against brute force.
 ORACLE_SQL = None
 
@@ -41,9 +44,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur more than once are cut out of every document."""
+    """Passages of over 50 words, or of 400 bytes and more, that occur more than once are cut out of every document."""
     own = _apart(docs)
-    out = dedup.strip_repeats(own).select(*own.columns).toDF(*docs.columns)
+    out = dedup.strip_repeats(own, PASSAGE_BYTES, PASSAGE_WORDS).select(*own.columns).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

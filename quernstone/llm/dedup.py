@@ -251,6 +251,23 @@ def _sort(length: int, chunk: int):
     return run
 
 
+def long_runs(found: list, raw: bytes, length: int, words: int) -> list[dict]:
+    """Runs of consecutive starts that cover LENGTH bytes, or so many whole words, or more."""
+    runs: list[list[int]] = []
+    for lo, n in sorted((x["lo"], x["n"]) for x in found or []):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], lo + n)
+        else:
+            runs.append([lo, lo + n])
+    out = []
+    for lo, to in runs:
+        end = to - 1 + length
+        cut = raw[max(0, lo - 1) : lo + 1], raw[end - 1 : end + 1]  # a word across an end is not whole
+        if end - lo >= LENGTH or len(raw[lo:end].split()) - sum(len(x) == 2 and x.split() == [x] for x in cut) >= words:
+            out.append({"lo": lo, "n": to - lo})
+    return out
+
+
 def spans(found: list, size: int, length: int) -> list[list[int]]:
     """Maximal covered runs [from, to) from (lo, n) runs of starts."""
     out: list[list[int]] = []
@@ -284,9 +301,11 @@ def with_rid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.withColumn("rid", F.xxhash64(F.col(id_col), F.col(text_col)))
 
 
-def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def strip_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """docs with text cut down to the bytes that stay, and columns removed_spans and removed_bytes, which displace columns of these names.
 
+    Where words are given, a run of text whose every string of length bytes also
+    starts elsewhere goes only if it holds so many whole words or LENGTH bytes.
     Bytes are removed, so a cut can fall inside a character; what is left of it is
     dropped from the text.  Null texts stay null; other columns stay.
     """
@@ -301,7 +320,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out, n_spans, n_bytes = [], [], []
             for text, runs in zip(b.column(k).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 raw = (text or "").encode()
-                cut = spans(runs, len(raw), length)
+                cut = spans(long_runs(runs, raw, length, words) if words else runs, len(raw), length)
                 n_spans.append(len(cut))
                 n_bytes.append(sum(e - s for s, e in cut))
                 out.append(text if not cut else _left(raw, cut).decode("utf-8", "ignore"))

@@ -299,3 +299,34 @@ def test_pipeline(spark, tmp_path):
     df.unionByName(near).write.parquet(str(tmp_path / "documents.parquet"))
     out = p.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(range(30))
+
+
+def test_passages_by_words(spark):
+    import corpus_pipeline as p
+
+    texts, kept = [], []
+    for n, letters in ((51, "abcde"), (51, "a"), (58, "abcd"), (65, "abcde"), (50, "abcde"), (20, "abcdefgh"), (2, "a" * 300)):
+        passage = " ".join("".join(RND.choice("abcdefgh") for _ in letters) for _ in range(n))
+        for _ in range(2):
+            a, b = words(70), words(70)
+            mark = chr(65 + len(texts))
+            texts.append(f"{a} {mark} {passage} {mark} {b}")
+            kept.append((passage, n not in (50, 20)))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r for r in p.repeated_passages(spark, df, "").collect()}
+    for i, (passage, goes) in enumerate(kept):
+        assert len(out[i].text) == out[i].n_chars
+        if goes:  # the space on either side repeats too
+            assert out[i].text == texts[i].replace(f" {passage} ", "")
+        else:
+            assert out[i].text == texts[i]
+
+
+def test_runs_by_words():
+    raw = b"xone two three four"
+    run = lambda lo, to: [{"lo": lo, "n": to - lo - 9}]
+    for lo, to, n in ((0, 14, 3), (0, 13, 2), (1, 14, 2), (0, 15, 3), (0, 19, 4), (4, 19, 3)):
+        assert dedup.long_runs(run(lo, to), raw, 10, n) and not dedup.long_runs(run(lo, to), raw, 10, n + 1)
+    split = [{"lo": 0, "n": 2}, {"lo": 2, "n": 3}]
+    assert dedup.long_runs(split, raw, 10, 3) == [{"lo": 0, "n": 5}]
+    assert not dedup.long_runs([{"lo": 0, "n": 1}, {"lo": 5, "n": 1}], raw, 10, 4)
