@@ -45,6 +45,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     buf: list[str] = []
     linked = link_depth = main_depth = 0
     marked = False
+    open_: list[str] = []
 
     def flush() -> None:
         nonlocal linked
@@ -80,6 +81,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                 link_depth = max(0, link_depth - 1)
             elif name in BLOCKS:
                 flush()
+                _end(open_, name)
                 if name in ("article", "main"):
                     main_depth = max(0, main_depth - 1)
             continue
@@ -90,18 +92,21 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             elif name == "hr":
                 flush()
             continue
+        if name in BLOCKS:
+            _start(open_, name)
         drop = name in OUTSIDE or name == "header" and not main_depth
         if not drop and attrs and name not in ("body", "html", "article", "main") and (names := _NAMES.findall(attrs)):
             drop = any(_WORDS.search(x) for x in names)
         if drop:
             if name in BLOCKS or name in OUTSIDE:
                 flush()
-            at = _after(html, at, name, attrs)
+            at = _after(html, at, name, attrs, open_)
             continue
         if name == "a":
             link_depth += 1
         elif name in BLOCKS:
             flush()
+            open_.append(name)
             if name in ("article", "main"):
                 main_depth += 1
                 marked = True
@@ -109,29 +114,62 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     return [(t, n, inside) for t, n, inside in out] if marked else [(t, n, True) for t, n, _ in out]
 
 
-_CLOSERS: dict[str, re.Pattern] = {}
+_ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I | re.S) for name in RAW}
+_CELLS, _PARTS = frozenset(("td", "th")), frozenset(("tr", "tbody", "thead", "tfoot"))
+#: Elements that need no end tag, with the start tags that end them.
+_ENDED_BY = {"p": BLOCKS, "head": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option", "optgroup")), "tr": _PARTS, "td": _CELLS | _PARTS, "th": _CELLS | _PARTS}
+_TRACKED = BLOCKS | OUTSIDE | {"option"}
 
 
-def _after(html: str, at: int, name: str, attrs: str) -> int:
-    """Place after the end tag that closes an element opened before at; the end of the page if none does."""
+def _start(open_: list[str], name: str) -> None:
+    """Take off the elements that a start tag ends."""
+    while open_ and name in _ENDED_BY.get(open_[-1], ()):
+        open_.pop()
+
+
+def _end(open_: list[str], name: str) -> bool:
+    """Take off the innermost element of that name and what it holds."""
+    if name not in open_:
+        return False
+    while open_.pop() != name:
+        pass
+    return True
+
+
+def _after(html: str, at: int, name: str, attrs: str, around: list[str]) -> int:
+    """Place where an element opened before at ends, by its end tag or without one.
+
+    One that is never closed ends where an element around it does, or before an
+    article or main part inside of it.
+    """
     if attrs.endswith("/"):
         return at
-    if name not in _CLOSERS:
-        raw = name in RAW
-        if len(_CLOSERS) > 256:
-            _CLOSERS.clear()
-        _CLOSERS[name] = re.compile(rf"</{name}\b[^>]*(?:>|$)" if raw else rf"<!--.*?(?:-->|$)|<(/?){name}\b[^>]*(?:>|$)", re.I | re.S)
     if name in RAW:
-        m = _CLOSERS[name].search(html, at)
+        m = _ENDS[name].search(html, at)
         return m.end() if m else len(html)
-    depth = 1
-    for m in _CLOSERS[name].finditer(html, at):
-        if m[0].startswith("<!--"):
+    open_, main = [name], None
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        other = (m[2] or "").lower()
+        if other != name and other not in _TRACKED or other in VOID:
+            continue
+        if m[1]:
+            if _end(open_, other):
+                if not open_:
+                    return at
+            elif other in around:
+                return m.start() if main is None else main
+            continue
+        _start(open_, other)
+        if not open_:
+            return m.start()
+        if other in RAW:
+            at = _after(html, at, other, m[3], [])
             continue
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return len(html)
+        if other in ("article", "main") and main is None:
+            main = m.start()
+        open_.append(other)
+    return len(html) if main is None else main
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:

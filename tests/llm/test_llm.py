@@ -330,3 +330,12 @@ def test_runs_by_words():
     split = [{"lo": 0, "n": 2}, {"lo": 2, "n": 3}]
     assert dedup.long_runs(split, raw, 10, 3) == [{"lo": 0, "n": 5}]
     assert not dedup.long_runs([{"lo": 0, "n": 1}, {"lo": 5, "n": 1}], raw, 10, 4)
+
+
+def test_html_without_end_tags():
+    body = "<p>One<p>Two<p>Three"
+    for dropped in ('<p class="notice">Note', '<ul><li class="share">x<li>Item</ul>', '<dl><dt class="ad">x<dd>Item</dl>', '<table><tr><td class="ad">x<td>Item</table>', '<section><div class="ad">buy</section>', "<div><aside>x<p>y</div>", '<div class="ad"><p>x<ul><li>y</div>', '<p>Item <span class="share">x</p>', "<nav><ul><li>x<li>y</ul></nav>"):
+        want = (["Item"] if "Item" in dropped else []) + ["One", "Two", "Three"]
+        assert html.main_text(f"<body><article>{dropped}{body}</article></body>").split("\n") == want
+    assert html.main_text(f"<head><title>t</title><body><aside>x<article>{body}</article></body>") == "One\nTwo\nThree"
+    assert html.main_text(f'<article><div class="ad">x</b></p></div>{body}') == "One\nTwo\nThree"
