@@ -4,8 +4,9 @@ The markup is stripped into lines, one for each block element.  Regions that
 never hold article text (navigation, headers and footers of the page, sidebars,
 forms, scripts, adverts, notices, comments of readers) leave lines of no length.
 The lengths of the other lines, without linked text, are summed over sliding
-windows; the text surges where a sum rises over a threshold and dives where a
-sum falls to nothing, and what lies between is kept.  Where the page marks its
+windows; the text surges where a sum rises over a threshold, which a page of short
+lines lowers, and dives where a sum falls to nothing.  What lies between is kept,
+with the unlinked lines that adjoin a surge and the linked ones inside.  Where the page marks its
 article or main part, lines outside of it have no length and any length surges.
 """
 
@@ -61,7 +62,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if text:
             buf.append(text)
             if link_depth:
-                linked += len("".join(text.split()))
+                linked += len("".join(unescape(text).split()))
 
     at, end = 0, len(html)
     while at < end:
@@ -172,30 +173,35 @@ def _after(html: str, at: int, name: str, attrs: str, around: list[str]) -> int:
     return len(html) if main is None else main
 
 
+def _body(free: list[int], window: int, surge: int) -> list[int]:
+    """Numbers of the lines between surges and dives.
+
+    A stretch runs from one line with unlinked text to another and holds no window
+    without such text; linked lines inside of it stay.  It is kept whole if the sum
+    of some window in it rises over the threshold, or over half of the page's
+    largest sum where that is less.
+    """
+    stretches: list[list[int]] = []  # [first, last] line
+    for i in (i for i, n in enumerate(free) if n):
+        if stretches and i - stretches[-1][1] <= window:
+            stretches[-1][1] = i
+        else:
+            stretches.append([i, i])
+    tops = [max(sum(free[i : min(i + window, last + 1)]) for i in range(first, last + 1)) for first, last in stretches]
+    least = min(surge, max(tops, default=0) // 2)
+    return [i for (first, last), top in zip(stretches, tops) if top > least for i in range(first, last + 1)]
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks joined by line feeds; empty for null, empty or textless pages."""
     lines = lines_of(html or "")
     if not lines:
         return ""
     marked = not all(inside for *_, inside in lines) or re.search(r"<(article|main)\b", html, re.I) is not None
-    lengths = [max(0, len(t.replace(" ", "")) - n) if inside else 0 for t, n, inside in lines]
     if marked:
         return "\n".join(t for t, _, inside in lines if inside)
-    # sums over windows that begin at each line
-    sums, total = [0] * len(lengths), 0
-    for i in range(len(lengths) - 1, -1, -1):
-        total += lengths[i] - (lengths[i + window] if i + window < len(lengths) else 0)
-        sums[i] = total
-    keep, i, n = [], 0, len(lengths)
-    while i < n:
-        if sums[i] > surge and lengths[i]:
-            j = i
-            while j < n and (lengths[j] or j + 1 < n and sums[j + 1] > surge):
-                j += 1
-            keep += [t for (t, *_), size in zip(lines[i:j], lengths[i:j]) if size]
-            i = j
-        i += 1
-    return "\n".join(keep)
+    free = [max(0, len(t.replace(" ", "")) - n) for t, n, _ in lines]
+    return "\n".join(lines[i][0] for i in _body(free, window, surge))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -339,3 +339,14 @@ def test_html_without_end_tags():
         assert html.main_text(f"<body><article>{dropped}{body}</article></body>").split("\n") == want
     assert html.main_text(f"<head><title>t</title><body><aside>x<article>{body}</article></body>") == "One\nTwo\nThree"
     assert html.main_text(f'<article><div class="ad">x</b></p></div>{body}') == "One\nTwo\nThree"
+
+
+def test_html_without_article():
+    menu = "".join(f'<div><a href="{i}">page number {i} of many</a></div>' for i in range(5))
+    long_ = ["x" * 90, "y" * 200, "z" * 70]
+    for want in (["a rose", "is a rose", "is"], ["short"], ["Heading", "By someone", "Monday", *long_, "The end"], [*long_, "- A", "- B", "- C", "- D", *long_]):
+        assert html.main_text(f"<body>{menu}{''.join(f'<p>{x}</p>' for x in want)}{menu}</body>").split("\n") == want
+    linked = "<p><a href=x>all &amp; only link</a></p>"
+    assert html.main_text(f"<body>{menu}<p>{long_[0]}</p>{linked}{linked}<p>{long_[1]}</p>{linked}{menu}").split("\n") == [long_[0], "all & only link", "all & only link", long_[1]]
+    assert html.main_text(f"<body><p>slogan</p>{menu}<p>{long_[1]}</p>{menu}<p>imprint</p>") == long_[1]
+    assert html.main_text(f"<body>{menu}</body>") == ""
