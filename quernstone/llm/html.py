@@ -7,13 +7,16 @@ The lengths of the other lines, without linked text, are summed over sliding
 windows; the text surges where a sum rises over a threshold, which a page of short
 lines lowers, and dives where a sum falls to nothing.  What lies between is kept,
 with the unlinked lines that adjoin a surge and the linked ones inside.  Where the page marks its
-article or main part, lines outside of it have no length and any length surges.
+article or main part, lines outside of it have no length and any length surges;
+linked lines dive there too.  A mark that leaves most of the text outside, such as
+a teaser's, is no evidence, and the page is taken as one without.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,8 @@ from . import _common as c
 
 WINDOW = 3
 SURGE = 80
+#: A marked part is taken for the article unless so many times its unlinked text lies outside.
+MARK = 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 #: Elements whose content is no markup.
@@ -38,6 +43,8 @@ _WORDS = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscribe|comments?|disqus|replies|sidebar|side-?bar|widget|nav\w*|menu|breadcrumbs?|footer|masthead|site-?header|page-?header|share|social|related|complementary|contentinfo|search|pagination|login|signup)(?![a-z])",
     re.I,
 )
+#: Names of article elements that hold something else; whole names, as an article may be called has-sidebar.
+_NO_ARTICLE = re.compile(r"comments?(?:-\d+)?|repl(?:y|ies)|ads?|advert\w*|sponsor\w*|promo\w*|related|teaser", re.I)
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
@@ -45,7 +52,6 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     buf: list[str] = []
     linked = link_depth = main_depth = 0
-    marked = False
     open_: list[str] = []
 
     def flush() -> None:
@@ -96,6 +102,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if name in BLOCKS:
             _start(open_, name)
         drop = name in OUTSIDE or name == "header" and not main_depth
+        if name == "article" and attrs and any(_NO_ARTICLE.fullmatch(y) for x in _NAMES.findall(attrs) for y in x.strip("\"'").split()):
+            drop = True
         if not drop and attrs and name not in ("body", "html", "article", "main") and (names := _NAMES.findall(attrs)):
             drop = any(_WORDS.search(x) for x in names)
         if drop:
@@ -110,9 +118,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             open_.append(name)
             if name in ("article", "main"):
                 main_depth += 1
-                marked = True
     flush()
-    return [(t, n, inside) for t, n, inside in out] if marked else [(t, n, True) for t, n, _ in out]
+    return out
 
 
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I | re.S) for name in RAW}
@@ -192,16 +199,31 @@ def _body(free: list[int], window: int, surge: int) -> list[int]:
     return [i for (first, last), top in zip(stretches, tops) if top > least for i in range(first, last + 1)]
 
 
+def _marked(part: list[int], free: list[int], window: int) -> list[int]:
+    """Lines of a marked part without its dives: any length surges, and linked lines next to a surge stay."""
+    out: list[int] = []
+    for linked, run in groupby(part, lambda i: not free[i]):
+        run = list(run)
+        if not linked or len(run) < window:
+            out += run
+    return out
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks joined by line feeds; empty for null, empty or textless pages."""
     lines = lines_of(html or "")
     if not lines:
         return ""
-    marked = not all(inside for *_, inside in lines) or re.search(r"<(article|main)\b", html, re.I) is not None
-    if marked:
-        return "\n".join(t for t, _, inside in lines if inside)
     free = [max(0, len(t.replace(" ", "")) - n) for t, n, _ in lines]
-    return "\n".join(lines[i][0] for i in _body(free, window, surge))
+    within = sum(n for n, (*_, inside) in zip(free, lines) if inside)
+    marked = any(inside for *_, inside in lines) and MARK * within >= sum(free) - within
+    if not marked:
+        return "\n".join(lines[i][0] for i in _body(free, window, surge))
+    out: list[str] = []
+    for inside, part in groupby(range(len(lines)), lambda i: lines[i][2]):
+        if inside:
+            out += (lines[i][0] for i in _marked(list(part), free, window))
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:

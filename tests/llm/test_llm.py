@@ -350,3 +350,19 @@ def test_html_without_article():
     assert html.main_text(f"<body>{menu}<p>{long_[0]}</p>{linked}{linked}<p>{long_[1]}</p>{linked}{menu}").split("\n") == [long_[0], "all & only link", "all & only link", long_[1]]
     assert html.main_text(f"<body><p>slogan</p>{menu}<p>{long_[1]}</p>{menu}<p>imprint</p>") == long_[1]
     assert html.main_text(f"<body>{menu}</body>") == ""
+
+
+def test_html_marks_are_evidence():
+    want = ["Heading", "x" * 90, "y" * 200, "The end"]
+    body = "".join(f"<p>{x}</p>" for x in want)
+    links = "<ul>" + "".join(f"<li><a href={i}>page {i}</a></li>" for i in range(4)) + "</ul>"
+    pages = (
+        f"<body>{links}{body}{links}<article class='comment'><p>nice</article>",
+        f"<body><p>slogan</p>{links}{body}{links}<article class=teaser>Read this next</article>",
+        f"<body>{links}{body}{links}<article><p>Read this next</article>",
+        f"<body><p>slogan</p><article class='has-sidebar'>{body}{links}</article><p>imprint</p>",
+        f"<body><main id=main>{links}{body}</main><p>imprint</p>",
+    )
+    assert ["Read this next" not in html.main_text(p) for p in pages] == [True] * 5
+    assert [html.main_text(p).split("\n") for p in pages] == [want] * 5
+    assert html.main_text(f"<article><h1><a href=x>Linked</a></h1>{body}</article>").split("\n") == ["Linked", *want]
