@@ -37,10 +37,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents stays."""
-    found = jaccard.join(docs, NEAR_PERCENT, NEAR_WORDS)
-    first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi")
+    """Of each group of linked documents one row stays: the one with the smallest id, a null before others, then the smallest hash of its text.
+
+    Rows that are equal in both are told apart by a tag; texts without a word link to nothing and stay.
+    """
+    if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        found = jaccard.join(docs, NEAR_PERCENT, NEAR_WORDS)
+        first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("first"))
+        return docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi")
+    # ids that repeat name no row: rows get a tag of their own, written once so that it stays
+    own = _apart(docs)
+    tagged = _common.settle(own.withColumn("__tag", F.monotonically_increasing_id()))
+    found = jaccard.join(tagged.select(F.col("__tag").alias("doc_id"), "text"), NEAR_PERCENT, NEAR_WORDS).select(F.col("id").alias("__tag"), "component_id")
+    ranked = tagged.select("__tag", "doc_id", F.xxhash64("text").alias("hash")).join(found, "__tag")
+    first = ranked.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash", "__tag")).alias("least")).select(F.col("least.__tag").alias("__tag"))
+    return tagged.join(first, "__tag", "left_semi").select(*own.columns).toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

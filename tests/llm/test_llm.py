@@ -366,3 +366,13 @@ def test_html_marks_are_evidence():
     assert ["Read this next" not in html.main_text(p) for p in pages] == [True] * 5
     assert [html.main_text(p).split("\n") for p in pages] == [want] * 5
     assert html.main_text(f"<article><h1><a href=x>Linked</a></h1>{body}</article>").split("\n") == ["Linked", *want]
+
+
+def test_near_copies_with_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    a, b, d, e = (words(120) for _ in range(4))
+    texts = [(5, a), (5, a), (7, a + " end"), (None, b), (None, b), (8, b), (None, d), (7, e), (9, e + " end"), (5, e), (10, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], SCHEMA)
+    out = Counter((r.doc_id, r.text) for r in p.near_copies(spark, df, "").collect())
+    assert out == Counter([(5, a), (None, b), (None, d), (5, e), (10, "")])
