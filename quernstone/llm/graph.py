@@ -13,15 +13,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels spread along edges and then jump to their label's label, so that the
     rounds grow with the logarithm of a chain's length.  Each round is a table in
-    the shared folder; nothing but a count of changes reaches the driver.
+    the shared folder; nothing but a count of changes reaches the driver.  Only
+    labels that have a smaller label themselves are looked up, and the rows of a
+    label are dealt over several tasks, as one component may hold most nodes.
     """
     both = c.settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = c.settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = c.lookup(both, labels.select(F.col("node").alias("b"), "label"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = c.settle(spread.join(ahead, "label", "left").select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")))
+        ahead = labels.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("far"))
+        moved = c.settle(c.lookup(spread, ahead, "label", "node", "left").select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")))
+        c.drop(labels)
         if not moved.where("label <> was").limit(1).count():
-            return moved.select("node", "label")
-        labels = moved.select("node", "label")
+            c.drop(both)
+            return moved
+        labels = moved

@@ -12,11 +12,14 @@ The sketch is wide and sparse, 2^32 bits a block; a block is known by the
 exclusive or of the scrambled places of its bits, in which even counts cancel as
 they do in the sketch.
 
-Nodes are distinct shingle sets, so copies cost nothing.  A map task sends one
-row a block value, however many sets have it, and keeps a star of the others
-around the first; the reducer stars the firsts.  Stars are verified, linked sets
-become components, and blocks of three and more sets whose members are still
-apart are compared in full, in chunks of bounded size.
+Nodes are distinct shingle sets, so copies cost nothing.  A map task sends a block
+value once, however many sets have it, and keeps a star of the others around the
+first; the reducer stars the firsts.  Values travel packed, by ranges of their
+hash.  Pairs of a star whose narrow sketches (two to four bits a shingle) are too
+far apart to be linked go; the others are verified on their texts.  Linked sets
+become components, and in block values of three and more sets the members that
+are still apart are compared by their narrow sketches, in chunks of bounded size,
+and verified in turn.
 """
 
 from __future__ import annotations
@@ -38,7 +41,12 @@ from .words import mix, shingle_sets
 WORDS = 3
 PERCENT = 90
 CHUNK = 2048
+#: Partners of a member of one block value that are verified at once; with more, the nearest comes first.
+PARTNERS = 8
 TEXT_BYTES = 1 << 20  # of text worked on at a time; hashes take some twenty times as much
+#: Bytes of all texts for each range of block values, and block values that a task gathers before it sends them.
+RANGE_BYTES = 16 << 20
+FLUSH = 1 << 20
 _U = np.uint64
 
 
@@ -69,6 +77,7 @@ class Bands:
                 return spare
         return 0
 
+    @lru_cache(None)  # noqa: B019
     def groups(self, n: int) -> list[tuple[int, int, int]]:
         """(band, blocks, spare blocks) in which a set of n meets its partners: its own band, and the next one if a larger partner fits there."""
         self._reach(n)
@@ -82,15 +91,29 @@ class Bands:
         return out
 
 
-def sketch(shingles: np.ndarray, blocks: int) -> np.ndarray:
-    """The blocks of a parity sketch, each by the exclusive or of its bits' scrambled places; 0 is an empty block."""
-    own = (mix(shingles, 7) >> _U(32)) * _U(blocks) >> _U(32)
-    order = np.argsort(own, kind="stable")
-    first = np.searchsorted(own[order], np.arange(blocks, dtype=np.uint64))
-    bits = mix(mix(shingles, 7) & _U(0xFFFFFFFF), 8)[order]
-    out = np.bitwise_xor.reduceat(np.append(bits, _U(0)), first)
-    out[np.append(first[1:], len(bits)) == first] = 0
-    return out
+def block_values(flat: np.ndarray, sizes: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, block, value) of the blocks that are not empty, of the parity sketches of sets that lie end to end.
+
+    A value is the exclusive or of the scrambled places of the block's bits.
+    """
+    h = mix(flat, 7)
+    base = np.cumsum(blocks) - blocks
+    place = ((h >> _U(32)) * np.repeat(blocks.astype(np.uint64), sizes) >> _U(32)).astype(np.int64) + np.repeat(base, sizes)
+    order = np.argsort(place)
+    place = place[order]
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    value = np.bitwise_xor.reduceat(mix(h & _U(0xFFFFFFFF), 8)[order], first)
+    own = place[first]
+    number = np.searchsorted(base, own, "right") - 1
+    full = value != 0
+    return number[full], (own - base[number])[full], value[full]
+
+
+def narrow(shingles: np.ndarray) -> bytes:
+    """A parity sketch of two to four bits a shingle, a power of two."""
+    m = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles, 9) & _U(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -108,69 +131,125 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, first node), and (key, node, first node) of the others."""
-    order = np.lexsort((nodes, keys))
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, first node), ascending, and (key, node, first node) of the others."""
+    order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[new], nodes[new]
     head = np.ones(len(keys), bool)
     head[1:] = keys[1:] != keys[:-1]
-    first = nodes[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(keys) else nodes
-    return keys[head], nodes[head], keys[~head], nodes[~head], first[~head]
-
-
-ROW = "key long, a long, b long, kind int"
+    if head.all():
+        return keys, nodes, keys[:0], nodes[:0], nodes[:0]
+    first = np.flatnonzero(head)
+    least = np.minimum.reduceat(nodes, first)
+    own = np.repeat(least, np.diff(np.append(first, len(keys))))
+    rest = np.flatnonzero(nodes != own)
+    k, n, f = keys[rest], nodes[rest], own[rest]
+    order = np.lexsort((n, k))
+    k, n, f = k[order], n[order], f[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
+    return keys[head], least, k[new], n[new], f[new]
+
+
+ROW = "kind int, key long, a long, b long, p binary, q binary"
 FIRST, STAR, DOC = 0, 1, 2
 
 
-def _rows(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
-    n = len(cols[0])
-    return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64()) for x in cols), pa.array(np.full(n, kind, np.int32))], ["key", "a", "b", "kind"])
+def _rows(kind: int, key, a, b, p=None, q=None) -> pa.RecordBatch:
+    n = len(key)
+    cols = [pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(x).view(np.int64), pa.int64()) for x in (key, a, b)), *(pa.array(x, pa.binary()) if x is not None else pa.nulls(n, pa.binary()) for x in (p, q))]
+    return pa.RecordBatch.from_arrays(cols, ["kind", "key", "a", "b", "p", "q"])
+
+
+def _values(sets: list[np.ndarray], nodes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(key, node) of the block values in which sets meet their partners."""
+    keys, owners = [], []
+    own = [i for i, s in enumerate(sets) if len(s)]
+    groups = [bands.groups(len(sets[i])) for i in own]
+    for turn in (0, 1):
+        pick = [k for k, g in enumerate(groups) if len(g) > turn]
+        if not pick:
+            continue
+        at = np.array([own[k] for k in pick])
+        band, blocks, spare = (np.array([groups[k][turn][x] for k in pick], np.int64) for x in range(3))
+        sizes = np.array([len(sets[i]) for i in at], np.int64)
+        number, block, value = block_values(np.concatenate([sets[i] for i in at]), sizes, blocks)
+        one = blocks[number] == 1  # no shingle may differ there
+        value[one] = nodes[at][number[one]].view(np.uint64)
+        few = np.flatnonzero(np.bincount(number, minlength=len(at)) < blocks - spare)
+        if len(few):  # too many empty blocks to leave them out: they join as well
+            have = set(zip(number.tolist(), block.tolist()))
+            more = [(i, j) for i in few.tolist() for j in range(int(blocks[i])) if (i, j) not in have]
+            number = np.concatenate([number, np.array([i for i, _ in more], np.int64)])
+            block = np.concatenate([block, np.array([j for _, j in more], np.int64)])
+            value = np.concatenate([value, np.zeros(len(more), np.uint64)])
+        keys.append(mix(value ^ mix(block.astype(np.uint64) + (band[number] << 32).astype(np.uint64), 1000)))
+        owners.append(nodes[at][number])
+    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _send(keys: list[np.ndarray], nodes: list[np.ndarray], ranges: int):
+    """Block values with their first nodes by ranges, packed; and the stars around those."""
+    k, first, *star = _stars(np.concatenate(keys), np.concatenate(nodes))
+    if len(star[0]):
+        yield _rows(STAR, *star)
+    number = ((k >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+    at = np.flatnonzero(np.diff(number, prepend=-1))
+    for i in range(0, len(at), 1024):
+        cut = at[i : i + 1024]
+        out: tuple[list, list] = ([], [])
+        for a, b in zip(cut.tolist(), np.append(at, len(k))[i + 1 : i + 1025].tolist()):
+            out[0].append(c.pack_numbers(c.steps(k[a:b] >> _U(8))))
+            names, which = np.unique(first[a:b], return_inverse=True)
+            out[1].append(len(names).to_bytes(4, "little") + names.tobytes() + c.pack_numbers(which.astype(np.uint64)))
+        yield _rows(FIRST, number[cut], number[cut], number[cut], *out)
 
 
-def _emit(percent: int, size: int):
+def _emit(percent: int, size: int, ranges: int):
     def run(batches):
-        bands, keys, nodes = Bands(percent), [], []
+        bands, keys, nodes, held = Bands(percent), [], [], 0
         for b in c.slices(batches, "text", TEXT_BYTES):
             sets = shingle_sets(b.column(1), size)
             own = np.array([node_of(s) for s in sets], np.int64)
-            yield _rows(DOC, own, np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64), np.array(list(map(len, sets)), np.int64))
-            for s, node in zip(sets, own.tolist()):
-                if len(s):
-                    for g, blocks, spare in bands.groups(len(s)):
-                        parity = sketch(s, blocks) if blocks > 1 else np.array([node], np.int64).view(np.uint64)
-                        number = np.arange(blocks, dtype=np.uint64)
-                        full = parity != 0
-                        if full.sum() >= blocks - spare:
-                            parity, number = parity[full], number[full]
-                        keys.append(mix(parity ^ mix(number, 1000 + g)))
-                        nodes.append(np.full(len(parity), node, np.int64))
-        if keys:
-            k, first, sk, sn, sf = _stars(np.concatenate(keys), np.concatenate(nodes))
-            for i in range(0, len(k), 1 << 18):
-                yield _rows(FIRST, k[i : i + (1 << 18)], first[i : i + (1 << 18)], np.zeros(len(k[i : i + (1 << 18)]), np.int64))
-            if len(sk):
-                yield _rows(STAR, sk, sn, sf)
+            yield _rows(DOC, own, np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64), np.array(list(map(len, sets)), np.int64), [narrow(s) for s in sets])
+            for k, n in [_values(sets, own, bands)]:
+                keys.append(k)
+                nodes.append(n)
+                held += len(k)
+            if held >= FLUSH:
+                yield from _send(keys, nodes, ranges)
+                keys, nodes, held = [], [], 0
+        if held:
+            yield from _send(keys, nodes, ranges)
 
     return run
 
 
 def _meet(batches):
-    """Stars of the firsts of one partition's block values; other rows pass."""
-    keys, nodes = [], []
+    """Stars of the firsts of one range of block values after another; other rows pass."""
+    held: list = []  # range, then (keys, nodes) of it
+
+    def done():
+        keys, nodes = (np.concatenate(x) for x in zip(*held[1:]))
+        *_, k, n, f = _stars(keys, nodes)
+        if len(k):
+            yield _rows(STAR, k, n, f)
+
     for b in batches:
-        kind = b.column(3).to_numpy()
-        pick = kind == FIRST
-        keys.append(b.column(0).to_numpy()[pick])
-        nodes.append(b.column(1).to_numpy()[pick])
+        pick = b.column(0).to_numpy() == FIRST
         if not pick.all():
             yield b.filter(pa.array(~pick))
-    if keys:
-        _, _, k, n, f = _stars(np.concatenate(keys), np.concatenate(nodes))
-        if len(k):
-            yield _rows(STAR, k, n, f)
+        rows = b.filter(pa.array(pick))
+        for number, p, q in zip(rows.column(1).to_pylist(), rows.column(4).to_pylist(), rows.column(5).to_pylist()):
+            if held and held[0] != number:
+                yield from done()
+                held = []
+            held = held or [number]
+            names = int.from_bytes(q[:4], "little")
+            nodes = np.frombuffer(q, np.int64, names, 4)[c.numbers(q[4 + 8 * names :]).astype(np.int64)]
+            held.append((np.cumsum(c.numbers(p), dtype=np.uint64) << _U(8), nodes))
+    if held:
+        yield from done()
 
 
 def _pack(batches):
@@ -198,7 +277,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """The linked ones among (a, b) rows."""
+    """The linked ones among distinct (a, b) rows; rows of a hot b are dealt over several tasks."""
     x, y = texts.select(F.col("node").alias("a"), F.col("z").alias("x")), texts.select(F.col("node").alias("b"), F.col("z").alias("y"))
 
     def run(batches):
@@ -207,79 +286,156 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Data
             ok = [linked(p, q, percent) for p, q in zip(left, right)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    hubs = y.join(pairs.select("b").distinct().hint("merge"), "b", "left_semi")
+    return c.lookup(pairs, hubs, "b", "a").join(x.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _folded(bits: list[bytes], words: int) -> np.ndarray:
+    """Sketches as rows of so many words: those with more are halved, as often as needed, by the exclusive or of their halves."""
+    out = np.empty((len(bits), words), np.uint64)
+    size = np.array([len(x) // 8 for x in bits])
+    for w in np.unique(size).tolist():
+        own = np.flatnonzero(size == w)
+        m = np.frombuffer(b"".join([bits[i] for i in own.tolist()]), np.uint64).reshape(-1, w)
+        while m.shape[1] > words:
+            half = m.shape[1] // 2
+            m = m[:, :half] ^ m[:, half:]
+        out[own] = m
+    return out
+
+
+def _apart(bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Hamming distances of pairs of sketches, each at the width of the narrower one; no more than the sets' symmetric difference."""
+    words = np.array([len(x) // 8 for x in bits])
+    least = np.minimum(words[i], words[j])
+    out = np.empty(len(i), np.int64)
+    for w in np.unique(least).tolist():
+        at = np.flatnonzero(least == w)
+        step = max(1, (1 << 21) // w)
+        for k in range(0, len(at), step):
+            own = at[k : k + step]
+            rows, which = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
+            m = _folded([bits[r] for r in rows.tolist()], w)
+            out[own] = np.bitwise_count(m[which[: len(own)]] ^ m[which[len(own) :]]).sum(1, dtype=np.int64)
+    return out
 
 
-def _sketches(texts: DataFrame, size: int) -> DataFrame:
-    """(node, n, bits binary): parity sketches of about eight bits a shingle, in powers of two."""
+def _near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) rows whose sizes and narrow sketches allow a link."""
+    x, y = (known.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"z{k}")) for k in "ab")
 
     def run(batches):
-        for b in c.slices(batches, "z", TEXT_BYTES // 4):
-            sets = _unpack(b.column(1).to_pylist(), size)
-            bits = []
-            for s in sets:
-                m = max(64, 1 << (8 * len(s) - 1).bit_length())
-                odd = np.bincount((mix(s, 9) & _U(m - 1)).astype(np.int64), minlength=m) & 1
-                bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(bits, pa.binary())], ["node", "n", "bits"])
-
-    return texts.mapInArrow(run, "node long, n long, bits binary")
-
-
-def _fold(bits: bytes, words: int) -> np.ndarray:
-    """A sketch with half the bits, as often as needed: its halves' exclusive or."""
-    x = np.frombuffer(bits, np.uint64)
-    while len(x) > words:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
-
-
-def _compare(percent: int, nearest: bool):
-    def run(table: pa.Table) -> pa.Table:
-        """Pairs with different labels whose sketches are near enough, or the nearest of each node; both chunks of a pair are in the table."""
-        nodes, labels, n = (np.asarray(table.column(x).to_numpy(), np.int64) for x in ("node", "label", "n"))
-        raw = table.column("bits").to_pylist()
-        words = min(map(len, raw)) // 8
-        m = np.stack([_fold(x, words) for x in raw])
-        out: tuple[list, list] = ([], [])
-        for i in range(len(nodes) - 1):
-            rest = slice(i + 1, None)
-            total = n[rest] + n[i]
-            j = np.flatnonzero((labels[rest] != labels[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))) + i + 1
-            if len(j):
-                apart = np.bitwise_count(m[j] ^ m[i]).sum(1, dtype=np.int64)
-                near = (100 + percent) * apart <= (100 - percent) * total[j - i - 1]
-                j, apart = j[near], apart[near]
-                if nearest and len(j):
-                    j = j[[np.argmin(apart)]]
-                out[0].append(np.maximum(nodes[j], nodes[i]))
-                out[1].append(np.minimum(nodes[j], nodes[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for b in c.slices(batches, "za", TEXT_BYTES):
+            na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
+            ok = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            bits = b.column(3).to_pylist() + b.column(5).to_pylist()
+            i = np.flatnonzero(ok)
+            ok[i] = (100 + percent) * _apart(bits, i, i + len(ok)) <= (100 - percent) * (na + nb)[i]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    hubs = y.join(pairs.select("b").distinct().hint("merge"), "b", "left_semi")
+    return c.lookup(pairs, hubs, "b", "a").join(x.hint("merge"), "a").select("a", "b", "na", "za", "nb", "zb").mapInArrow(run, "a long, b long")
+
+
+def _pairs_of(group: np.ndarray, label: np.ndarray, n: np.ndarray, percent: int):
+    """Row numbers (i, j) of pairs within groups (sorted) that are apart and of fitting sizes, some at a time."""
+    first = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+    size = np.diff(np.append(first, len(group)))
+
+    def fitting(i, j):
+        ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        return i[ok], j[ok]
+
+    for s in np.unique(size).tolist():
+        own = first[size == s]
+        if s <= 64:
+            left, right = np.triu_indices(s, 1)
+            step = max(1, (1 << 18) // max(1, len(left)))
+            for k in range(0, len(own), step):
+                at = own[k : k + step, None]
+                yield fitting((at + left).ravel(), (at + right).ravel())
+        else:
+            for at in own.tolist():
+                step = max(1, (1 << 18) // s)
+                for k in range(0, s, step):
+                    i = np.repeat(np.arange(at + k, min(at + k + step, at + s)), s)
+                    j = np.tile(np.arange(at, at + s), len(i) // s)
+                    yield fitting(i[i < j], j[i < j])
+
+
+def _compare(percent: int, most: int | None, rows: int = 1 << 14):
+    """Pairs within sorted groups whose narrow sketches allow a link.
+
+    Of a member with more than most such partners only the nearest one comes, and a
+    row with a = b says that there are more.
+    """
+
+    def block(held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held)
+        group, node, label, n = (t.column(k).to_numpy() for k in range(4))
+        bits, out = t.column(4).to_pylist(), []
+        for i, j in _pairs_of(np.cumsum(np.diff(group, prepend=group[0] - 1) != 0), label, n, percent):
+            apart = _apart(bits, i, j)
+            near = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
+            i, j, apart = i[near], j[near], apart[near]
+            if not len(i):
+                continue
+            order = np.lexsort((apart, i))
+            i, j = i[order], j[order]
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            count = np.diff(np.append(first, len(i)))
+            if most and (count > most).any():
+                keep = np.repeat(count <= most, count)
+                keep[first] = True
+                i, j = i[keep], j[keep]
+                out.append(np.zeros((2, 1), np.int64))
+            out.append(np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])]), axis=1))
+        if out:
+            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches):
+        held, count = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if count >= rows:  # what is held ends where its last group does
+                group = b.column(0).to_numpy()
+                same = int(np.searchsorted(group != held[-1].column(0)[-1].as_py(), True))
+                if same:
+                    held.append(b.slice(0, same))
+                if same < b.num_rows:
+                    yield from block(held)
+                    held, count = [b.slice(same)], b.num_rows - same
+                continue
+            held.append(b)
+            count += b.num_rows
+        if held:
+            yield from block(held)
 
     return run
 
 
-def _rest(stars: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, size: int, chunk: int, nearest: bool) -> DataFrame:
-    """Links between members of a block value that stars have left apart: compared by whole sketches, then verified."""
+def _rest(stars: DataFrame, labels: DataFrame, known: DataFrame, percent: int, chunk: int, most: int | None) -> DataFrame:
+    """Pairs of members of a block value that stars have left apart and whose narrow sketches allow a link."""
+    parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     label = labels.select(F.col("node").alias("x"), "label")
 
-    def named(df, col, out):
-        return df.join(label.select(F.col("x").alias(col), F.col("label").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
+    def named(df, col, out, by):
+        return c.lookup(df, label.select(F.col("x").alias(col), F.col("label").alias(out)), col, by, "left").withColumn(out, F.coalesce(out, col))
 
-    apart = named(named(stars, "a", "la"), "b", "lb").where("la <> lb").select("key").distinct()
+    apart = named(named(stars, "a", "la", "key"), "b", "lb", "key").where("la <> lb").select("key").distinct()
     member = stars.join(apart, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
     # of block values with the same members one is enough; two members were compared
     same = member.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.min("node").alias("m")).where("n > 2")
     one = same.groupBy("n", "s", "m").agg(F.min("key").alias("key")).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
-    member = named(member.join(one.select("key", "chunks"), "key"), "node", "label")
+    member = member.join(one.select("key", "chunks"), "key")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    spread = member.withColumn("own", own).select("*", other.alias("other")).select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    held = c.settle(spread)
-    known = _sketches(texts.join(held.select("node").distinct().hint("merge"), "node", "left_semi"), size)
-    near = held.join(known.hint("merge"), "node").groupBy("key", "i", "j").applyInArrow(_compare(percent, nearest), "a long, b long")
-    return _verify(c.settle(near.distinct()).join(stars.select("a", "b").distinct(), ["a", "b"], "left_anti"), texts, percent, size)
+    spread = member.withColumn("own", own).select("*", other.alias("other")).select("node", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part"))
+    held = c.lookup(named(spread, "node", "label", "part"), known.select("node", "n", "bits"), "node", "part")
+    near = held.select("part", "node", "label", "n", "bits").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(percent, most), "a long, b long")
+    return near.distinct()
 
 
 def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,25 +451,44 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, chunk: int
     none = -(1 << 63)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("id"), F.col(text_col).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = c.settle(base.mapInArrow(_emit(percent, size), ROW).repartition(n, "key").mapInArrow(_meet, ROW), ["kind"])
-    docs_rows = rows.where(F.col("kind") == DOC).select(F.col("key").alias("node"), F.col("a").alias("id"), F.col("b").alias("n_shingles"))
+    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(n, total // RANGE_BYTES)
+    sent = base.mapInArrow(_emit(percent, size, ranges), ROW).repartition(n, "key").sortWithinPartitions("kind", "key")
+    rows = c.settle(sent.mapInArrow(_meet, ROW), ["kind"])
+    docs_rows = rows.where(F.col("kind") == DOC).select(F.col("key").alias("node"), F.col("a").alias("id"), F.col("b").alias("n_shingles"), F.col("p").alias("bits"))
     stars = rows.where(F.col("kind") == STAR).select("key", "a", "b")
     pairs = c.settle(stars.select("a", "b").distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = c.settle(docs_rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
-    texts = _texts(base, wanted, size)
-    links = c.settle(_verify(pairs, texts, percent, size))
+    known = c.settle(docs_rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
+
+    def verified(near: DataFrame) -> DataFrame:
+        ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = _texts(base, known.join(ends, "node", "left_semi").select("node", "id"), size)
+        found = c.settle(_verify(near, texts, percent, size))
+        c.drop(texts)
+        return found
+
+    near = c.settle(_near(pairs, known, percent))
+    links = verified(near)
+    c.drop(near)
     labels = components(links)
-    # the nearest pairs first: what they join needs no comparison in full
-    for nearest in (True, False):
-        more = c.settle(_rest(stars, labels, texts, percent, size, chunk, nearest))
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
-    low = docs_rows.join(labels, "node", "left").select("node", "id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    # where a member has many near partners, the nearest first: what they join needs no comparison in full
+    for most in (PARTNERS, None):
+        near = c.settle(_rest(stars, labels, known, percent, chunk, most).join(pairs, ["a", "b"], "left_anti"))
+        again = near.where("a = b").limit(1).count()
+        if near.where("a <> b").limit(1).count():
+            more = verified(near.where("a <> b"))
+            if more.limit(1).count():
+                links = links.unionByName(more)
+                labels = components(links)
+        c.drop(near)
+        if not again:
+            break
+    c.drop(pairs, known)
+    low = docs_rows.select("node", "id", "n_shingles").join(labels.select("node", "label"), "node", "left").select("node", "id", "n_shingles", F.coalesce("label", "node").alias("label"))
     alone = F.col("n_shingles") == 0
     least = low.where(~alone).groupBy("label").agg(F.min("id").alias("least"))
-    full = low.join(least, "label", "left").select("id", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    full = c.lookup(low, least, "label", "id", "left").select("id", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
     def shown(x):
         return F.when(F.col(x) != none, F.col(x)).alias(x)
