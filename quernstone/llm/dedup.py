@@ -6,13 +6,17 @@ Suffixes are brought together by content: of the 16-byte grams inside a string o
 LENGTH bytes the one with the smallest hash is its anchor, so equal strings have
 the same anchor at the same place.  Consecutive starts with one anchor form a
 context.  A context travels under the hash of the half string that all its
-strings contain on one side of the anchor.  Contexts that are equal as a whole are
-settled by count.  Where different contexts meet under one half string, their
-bytes are fetched and their suffixes are sorted blockwise with a difference-cover
-sample; equal neighbours in the order repeat.
-
-A half string under which more than HOT contexts meet is not sorted in one task:
-its strings are dealt out again by the hash of the whole LENGTH bytes.
+strings contain on one side of the anchor.  The distinct contexts of a key, told
+apart by 128-bit hashes, are the text whose suffixes are sorted, blockwise and with
+a difference-cover sample; equal neighbours in the order repeat.  A context that
+occurs several times repeats as a whole, and enters the sort once, for the others;
+where a key has no other context there is nothing to sort.
+
+No block of the sort grows with the corpus.  A key under which more than HOT
+different contexts meet is split by more of its bytes: its contexts are cut into
+runs of 32 starts at fixed distances from the anchor, which travel under the hash
+of the 369 bytes that their strings share, and where that is not enough into single
+starts under the whole string.  Runs are settled and sorted as contexts are.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +36,12 @@ from .words import _BASE, mix, powers, text_bytes
 
 LENGTH = 400
 GRAM = 16
-HOT = 4096
-CHUNK_BYTES = 2 << 20
+HOT = 1024
+#: Starts in a run of a split context, at each level.
+WIDTHS = (32, 1)
+CHUNK_BYTES = 1 << 20
+#: Bytes of text that are hashed at a time; their hashes take some sixty times as much.
+TEXT_BYTES = 1 << 20
 _U = np.uint64
 _VALUE = np.random.default_rng(20240602).integers(1, 1 << 63, 256, dtype=np.uint64)
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -61,8 +70,8 @@ class Hashes:
 
 
 def contexts(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text number, first start, number of starts, key, hash) of the contexts of texts that lie end to end."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    """(text number, first start, number of starts, key, place of the first start) of the contexts of texts that lie end to end."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
     sizes = np.diff(at)
     mask = np.zeros(len(data) + 1, np.int8)
     long_ = sizes >= length
@@ -72,9 +81,7 @@ def contexts(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     np.add.at(mask, (at[1:] - length + 1)[long_], -1)
     starts = np.flatnonzero(np.cumsum(mask[:-1]))
     h = Hashes(data)
-    n = len(data) - GRAM + 1
-    low = _U((1 << n.bit_length()) - 1)
-    value = mix((h.sums[GRAM:] - h.sums[:-GRAM]) * h.back[:n], 12) & ~low | np.arange(n, dtype=np.uint64)
+    value, low = _gram_order(h)
     width, window = 1, length - GRAM + 1
     while 2 * width <= window:
         value = np.minimum(value[:-width], value[width:])
@@ -89,18 +96,45 @@ def contexts(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     count = np.diff(np.append(first, len(starts)))
     lo, where, left = starts[first], anchor[first], left[first]
     key = mix(h.of(where - np.where(left, side, 0), side + GRAM) + left.astype(np.uint64), 13)
-    whole = mix(h.of(lo, count + length - 1) + count.astype(np.uint64), 14)
     text = np.searchsorted(at, lo, "right") - 1
-    return text, lo - at[text], count, key, whole
+    return text, lo - at[text], count, key, lo
+
+
+def _gram_order(h: Hashes) -> tuple[np.ndarray, np.uint64]:
+    """For each gram its hash with its place in the low bits, and the mask of these."""
+    n = len(h.sums) - GRAM
+    low = _U((1 << n.bit_length()) - 1)
+    return mix((h.sums[GRAM:] - h.sums[:-GRAM]) * h.back[:n], 12) & ~low | np.arange(n, dtype=np.uint64), low
+
 
+def runs_of(data: np.ndarray, h: Hashes, order: tuple[np.ndarray, np.uint64], lo: int, n: int, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, number of starts, key) of the runs into which a context is cut at fixed distances from its anchor."""
+    value, low = order
+    anchor = int(value[lo : lo + length - GRAM + 1].min() & low)
+    number = np.arange((lo - anchor) // width, (lo + n - 1 - anchor) // width + 1)
+    first = np.maximum(lo, anchor + number * width)
+    count = np.minimum(lo + n, anchor + (number + 1) * width) - first
+    shared = anchor + (number + 1) * width - 1  # the last start that a whole run has
+    return first, count, mix(h.of(shared, length - width + 1) + number.astype(np.uint64) * _U(2) + _U(1), 15 + width)
 
-REPEAT, SINGLE, MANY, COMPARE, HOT_COMPARE = range(5)
-ROW = "key long, whole long, rid long, lo int, n int, kind int"
-_NAMES = ["key", "whole", "rid", "lo", "n", "kind"]
 
+def whole_hashes(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a 128-bit hash of each stretch."""
+    view = memoryview(np.ascontiguousarray(data))
+    digest = xxhash.xxh3_128_digest
+    raw = b"".join([digest(view[a:b]) for a, b in zip(lo.tolist(), (lo + size).tolist())])
+    both = np.frombuffer(raw, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
-def _rows(key, whole, rid, lo, n, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(t, copy=False)) for x, t in ((key, np.int64), (whole, np.int64), (rid, np.int64), (lo, np.int32), (n, np.int32), (kind, np.int32))], _NAMES)
+
+REPEAT, SINGLE, MANY, COMPARE, SPLIT = range(5)
+ROW = "key long, whole long, more long, rid long, lo int, n int, kind int"
+_NAMES = ["key", "whole", "more", "rid", "lo", "n", "kind"]
+
+
+def _rows(key, whole, more, rid, lo, n, kind) -> pa.RecordBatch:
+    kinds = (np.int64,) * 4 + (np.int32,) * 3
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(t, copy=False)) for x, t in zip((key, whole, more, rid, lo, n, kind), kinds)], _NAMES)
 
 
 def _groups(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -112,57 +146,79 @@ def _groups(*sorted_keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _witnesses(key, whole, more, rid, lo, n):
+    """Of contexts that are equal within this part all are settled, and one goes on as a witness."""
+    order = np.lexsort((more, whole, key))
+    key, whole, more, rid, lo, n = (x[order] for x in (key, whole, more, rid, lo, n))
+    new = _groups(key, whole, more)
+    many = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1
+    if many.any():
+        yield _rows(rid[many], whole[many], more[many], rid[many], lo[many], n[many], np.full(many.sum(), REPEAT))
+    yield _rows(key[new], whole[new], more[new], rid[new], lo[new], n[new], np.where(many[new], MANY, SINGLE))
+
+
 def _emit(length: int):
     def run(batches):
-        for b in c.slices(batches):
+        for b in c.slices(batches, "text", TEXT_BYTES):
             data, at = text_bytes(b.column(1))
-            text, lo, n, key, whole = contexts(data, at, length)
-            if not len(text):
-                continue
-            rid = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)[text]
-            key, whole = key.view(np.int64), whole.view(np.int64)
-            order = np.lexsort((whole, key))
-            key, whole, rid, lo, n = (x[order] for x in (key, whole, rid, lo, n))
-            new = _groups(key, whole)
-            many = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1
-            if many.any():  # copies within this part are settled here; one of them goes on as a witness
-                yield _rows(rid[many], whole[many], rid[many], lo[many], n[many], np.full(many.sum(), REPEAT))
-            yield _rows(key[new], whole[new], rid[new], lo[new], n[new], np.where(many[new], MANY, SINGLE))
+            text, lo, n, key, place = contexts(data, at, length)
+            if len(text):
+                rid = np.asarray(b.column(0).to_numpy(zero_copy_only=False), np.int64)[text]
+                yield from _witnesses(key.view(np.int64), *whole_hashes(data, place, n + length - 1), rid, lo, n)
 
     return run
 
 
-def _meet(hot: int):
-    """Settle equal contexts of a partition; contexts that differ under one key go on to be compared."""
+def _split(length: int, width: int):
+    """The runs of the contexts under keys that are split."""
+
+    def run(batches):
+        for b in c.slices(batches, "text", TEXT_BYTES):
+            out: list[tuple] = []
+            for rid, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                data = np.frombuffer(text.encode(), np.uint8)
+                h = Hashes(data)
+                order = _gram_order(h)
+                lo, n, key = (np.concatenate(x) for x in zip(*(runs_of(data, h, order, w["lo"], w["n"], length, width) for w in wanted)))
+                out.append((key.view(np.int64), *whole_hashes(data, lo, n + length - 1), np.full(len(lo), rid), lo, n))
+            if out:
+                yield from _witnesses(*(np.concatenate(x) for x in zip(*out)))
+
+    return run
+
+
+def _meet(hot: int | None):
+    """Settle equal contexts of a partition; contexts that differ under one key go on to be compared, or split if they are many."""
 
     def run(batches):
         parts = []
         for b in batches:
-            pick = pa.compute.not_equal(b.column(5), REPEAT)
+            pick = pa.compute.not_equal(b.column(6), REPEAT)
             done = b.filter(pa.compute.invert(pick))
             if done.num_rows:
                 yield done
             parts.append([x.to_numpy() for x in b.filter(pick).columns])
         if not parts:
             return
-        key, whole, rid, lo, n, kind = (np.concatenate(x) for x in zip(*parts))
+        key, whole, more, rid, lo, n, kind = (np.concatenate(x) for x in zip(*parts))
+        del parts
         if not len(key):
             return
-        order = np.lexsort((kind == SINGLE, whole, key))
-        key, whole, rid, lo, n, kind = (x[order] for x in (key, whole, rid, lo, n, kind))
-        new = _groups(key, whole)
+        order = np.lexsort((kind == SINGLE, more, whole, key))
+        key, whole, more, rid, lo, n, kind = (x[order] for x in (key, whole, more, rid, lo, n, kind))
+        new = _groups(key, whole, more)
         number = np.cumsum(new) - 1
         twice = np.bincount(number)[number] > 1
         out = twice & (kind == SINGLE)
         if out.any():
-            yield _rows(key[out], whole[out], rid[out], lo[out], n[out], np.full(out.sum(), REPEAT))
-        key, whole, rid, lo, n = (x[new] for x in (key, whole, rid, lo, n))
+            yield _rows(key[out], whole[out], more[out], rid[out], lo[out], n[out], np.full(out.sum(), REPEAT))
+        key, whole, more, rid, lo, n = (x[new] for x in (key, whole, more, rid, lo, n))
         head = _groups(key)
         number = np.cumsum(head) - 1
         different = np.bincount(number)[number]
         out = different > 1
         if out.any():
-            yield _rows(key[out], whole[out], rid[out], lo[out], n[out], np.where(different[out] > hot, HOT_COMPARE, COMPARE))
+            yield _rows(key[out], whole[out], more[out], rid[out], lo[out], n[out], np.where(different[out] > hot, SPLIT, COMPARE) if hot else np.full(out.sum(), COMPARE))
 
     return run
 
@@ -171,26 +227,17 @@ PIECE = "key long, rid long, lo int, n int, bytes binary"
 
 
 def _fetch(length: int):
-    """Bytes of the contexts to compare; strings of hot keys by the hash of the whole string, without bytes."""
+    """Bytes of the contexts to compare."""
 
     def run(batches):
-        for b in c.slices(batches):
+        for b in c.slices(batches, "text", TEXT_BYTES):
             out: tuple[list, ...] = ([], [], [], [], [])
             for rid, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                raw, hashes = (text or "").encode(), None
+                raw = (text or "").encode()
                 for w in wanted:
                     lo, n = w["lo"], w["n"]
-                    if w["kind"] == COMPARE:
-                        for col, v in zip(out, (w["key"], rid, lo, n, raw[lo : lo + n + length - 1])):
-                            col.append(v)
-                        continue
-                    hashes = hashes or Hashes(np.frombuffer(raw, np.uint8))
-                    own = np.arange(lo, lo + n)
-                    out[0].extend(hashes.of(own, length).view(np.int64).tolist())
-                    out[1].extend([rid] * n)
-                    out[2].extend(own.tolist())
-                    out[3].extend([1] * n)
-                    out[4].extend([b""] * n)
+                    for col, v in zip(out, (w["key"], rid, lo, n, raw[lo : lo + n + length - 1])):
+                        col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["key", "rid", "lo", "n", "bytes"])
 
     return run
@@ -210,36 +257,27 @@ def _runs(rid: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
 def _sort(length: int, chunk: int):
     """Repeated starts of a partition's contexts, sorted by key: whole keys are put together to blocks of text."""
 
-    def block(keys, rids, los, ns, raws):
+    def block(_, rids, los, ns, raws):
         n = np.array(ns)
-        key, rid, lo = np.array(keys, np.int64), np.array(rids, np.int64), np.array(los, np.int64)
-        bare = np.array([not r for r in raws], bool)
-        if bare.any():
-            k, order = key[bare], np.argsort(key[bare], kind="stable")
-            new = _groups(k[order])
-            number = np.cumsum(new) - 1
-            twice = np.bincount(number)[number] > 1
-            if twice.any():
-                yield _runs(rid[bare][order][twice], lo[bare][order][twice])
-        full = np.flatnonzero(~bare)
-        if len(full) > 1:
-            size = np.array([len(raws[i]) for i in full])
+        rid, lo = np.array(rids, np.int64), np.array(los, np.int64)
+        if len(raws) > 1:
+            size = np.array([len(r) for r in raws])
             at = np.concatenate([[0], np.cumsum(-(-size // V) * V)])
             text = np.zeros(at[-1], np.uint8)
-            for i, a in zip(full, at):
-                text[a : a + len(raws[i])] = np.frombuffer(raws[i], np.uint8)
-            own = np.repeat(np.arange(len(full)), n[full])
-            inner = np.arange(len(own)) - np.repeat(np.cumsum(n[full]) - n[full], n[full])
+            for r, a in zip(raws, at):
+                text[a : a + len(r)] = np.frombuffer(r, np.uint8)
+            own = np.repeat(np.arange(len(raws)), n)
+            inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
             found = repeated(text, at[own] + inner, length)
             if found.any():
-                yield _runs(rid[full][own[found]], lo[full][own[found]] + inner[found])
+                yield _runs(rid[own[found]], lo[own[found]] + inner[found])
 
     def run(batches):
         held: tuple[list, ...] = ([], [], [], [], [])
         size = 0
         for b in batches:
             for row in zip(*(x.to_pylist() for x in b.columns)):
-                if held[0] and row[0] != held[0][-1] and (size > chunk or len(held[0]) > 200_000):
+                if held[0] and row[0] != held[0][-1] and size > chunk:
                     yield from block(*held)
                     held, size = ([], [], [], [], []), 0
                 for col, v in zip(held, row):
@@ -286,14 +324,24 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, chunk: i
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_text = docs.select("rid", "text")
+
+    def wanted(met, kind, *columns):
+        return met.where(F.col("kind") == kind).groupBy("rid").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+
+    # repeated rows have one rid and equal texts: one of them is enough wherever texts are fetched again
     met = c.settle(id_text.mapInArrow(_emit(length), ROW).repartition(parts, "key").mapInArrow(_meet(hot), ROW), ["kind"])
-    wanted = met.where(F.col("kind").isin(COMPARE, HOT_COMPARE)).groupBy("rid").agg(F.collect_list(F.struct("key", "lo", "n", "kind")).alias("wanted"))
-    # repeated rows have one rid and equal texts: one of them is enough here
-    pieces = id_text.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(_fetch(length), PIECE)
-    sorted_ = pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort(length, chunk), "rid long, lo int, n int")
-    starts = met.where(F.col("kind") == REPEAT).select("rid", "lo", "n").unionByName(c.settle(sorted_))
+    all_met = met
+    for width in WIDTHS:
+        if not met.where(F.col("kind") == SPLIT).limit(1).count():
+            break
+        runs = id_text.join(wanted(met, SPLIT, "lo", "n").hint("merge"), "rid").select("rid", "text", "wanted").mapInArrow(_split(length, width), ROW)
+        met = c.settle(runs.repartition(parts, "key").mapInArrow(_meet(hot if width > 1 else None), ROW), ["kind"])
+        all_met = all_met.unionByName(met)
+    pieces = id_text.join(wanted(all_met, COMPARE, "key", "lo", "n").hint("merge"), "rid").select("rid", "text", "wanted").mapInArrow(_fetch(length), PIECE)
+    sorted_ = c.settle(pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort(length, chunk), "rid long, lo int, n int"))
+    starts = all_met.where(F.col("kind") == REPEAT).select("rid", "lo", "n").unionByName(sorted_)
     runs = starts.groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
-    return docs.join(runs, "rid", "left")
+    return docs.join(runs.hint("merge"), "rid", "left")
 
 
 def with_rid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,17 +6,20 @@ forms, scripts, adverts, notices, comments of readers) leave lines of no length.
 The lengths of the other lines, without linked text, are summed over sliding
 windows; the text surges where a sum rises over a threshold, which a page of short
 lines lowers, and dives where a sum falls to nothing.  What lies between is kept,
-with the unlinked lines that adjoin a surge and the linked ones inside.  Where the page marks its
-article or main part, lines outside of it have no length and any length surges;
-linked lines dive there too.  A mark that leaves most of the text outside, such as
-a teaser's, is no evidence, and the page is taken as one without.
+with the unlinked lines that adjoin a surge and the linked ones inside.
+
+Tags and names are evidence for the windows and no way around them.  Where the page
+marks its article or main part, lines outside of it have no length, any length
+surges, and a few linked lines beside a surge stay.  A mark that leaves most of the
+text outside, such as a teaser's, is no evidence.  A class, id or role marks a
+region as something else only if all parts of a name say so (ad-slot, but not
+notice-of-motion), and not where such regions would take most of the page.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,17 +41,36 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-#: Words in class, id or role that mark a region as no article text.
-_WORDS = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscribe|comments?|disqus|replies|sidebar|side-?bar|widget|nav\w*|menu|breadcrumbs?|footer|masthead|site-?header|page-?header|share|social|related|complementary|contentinfo|search|pagination|login|signup)(?![a-z])",
-    re.I,
+#: Parts of names in class, id or role that mark a region as no article text, and neutral parts beside them.
+MARKERS = frozenset(
+    """ad ads advert adverts advertisement advertising sponsor sponsored promo promos promotion banner cookie cookies consent notice alert
+    popup modal newsletter subscribe subscription comment comments disqus reply replies respond sidebar widget widgets nav navbar navigation menu
+    breadcrumb breadcrumbs footer masthead share sharing social related complementary contentinfo search pagination pager login signup""".split()
 )
+NEUTRAL = frozenset("box block wrapper wrap container content area section list bar slot unit item items inner outer left right top bottom main site page side header links link form thread primary secondary global".split())
+WHOLE = frozenset(("site-header", "page-header", "side-bar", "sign-up", "log-in"))
+_PARTS_OF = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
+#: Names are no evidence where they leave less than one part in so many of the page.
+NAMES = 5
+
+
+def named_other(value: str) -> bool:
+    """Whether some name among the words of an attribute says in all its parts that this is no article text."""
+    for name in value.strip("\"'").split():
+        parts = [x for x in _PARTS_OF.split(name) if x and not x.isdigit()]
+        low = [x.lower() for x in parts]
+        if name.lower() in WHOLE or any(x in MARKERS for x in low) and all(x in MARKERS or x in NEUTRAL for x in low):
+            return True
+    return False
+
+
 #: Names of article elements that hold something else; whole names, as an article may be called has-sidebar.
 _NO_ARTICLE = re.compile(r"comments?(?:-\d+)?|repl(?:y|ies)|ads?|advert\w*|sponsor\w*|promo\w*|related|teaser", re.I)
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, linked characters, inside a marked main part) of each block, in page order."""
+def lines_of(html: str, names: bool = True) -> tuple[list[tuple[str, int, bool]], int]:
+    """(text, linked characters, inside a marked main part) of each block, in page order, and how much was left out for its name."""
+    left_out = 0
     out: list[tuple[str, int, bool]] = []
     buf: list[str] = []
     linked = link_depth = main_depth = 0
@@ -104,12 +126,13 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         drop = name in OUTSIDE or name == "header" and not main_depth
         if name == "article" and attrs and any(_NO_ARTICLE.fullmatch(y) for x in _NAMES.findall(attrs) for y in x.strip("\"'").split()):
             drop = True
-        if not drop and attrs and name not in ("body", "html", "article", "main") and (names := _NAMES.findall(attrs)):
-            drop = any(_WORDS.search(x) for x in names)
-        if drop:
+        by_name = not drop and names and attrs and name not in ("body", "html", "article", "main") and any(map(named_other, _NAMES.findall(attrs)))
+        if drop or by_name:
             if name in BLOCKS or name in OUTSIDE:
                 flush()
-            at = _after(html, at, name, attrs, open_)
+            to = _after(html, at, name, attrs, open_)
+            left_out += (to - at) * by_name
+            at = to
             continue
         if name == "a":
             link_depth += 1
@@ -119,7 +142,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             if name in ("article", "main"):
                 main_depth += 1
     flush()
-    return out
+    return out, left_out
 
 
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I | re.S) for name in RAW}
@@ -180,54 +203,69 @@ def _after(html: str, at: int, name: str, attrs: str, around: list[str]) -> int:
     return len(html) if main is None else main
 
 
-def _body(free: list[int], window: int, surge: int) -> list[int]:
+def _body(free: list[int], window: int, surge: int, beside: list[bool] | None = None) -> list[int]:
     """Numbers of the lines between surges and dives.
 
     A stretch runs from one line with unlinked text to another and holds no window
     without such text; linked lines inside of it stay.  It is kept whole if the sum
     of some window in it rises over the threshold, or over half of the page's
-    largest sum where that is less.
+    largest sum where that is less.  Lines in beside that have no length stay if
+    fewer of them than a window adjoin a stretch that is kept.
     """
     stretches: list[list[int]] = []  # [first, last] line
     for i in (i for i, n in enumerate(free) if n):
-        if stretches and i - stretches[-1][1] <= window:
+        if stretches and i - stretches[-1][1] <= window and not (beside and not all(beside[stretches[-1][1] : i + 1])):
             stretches[-1][1] = i
         else:
             stretches.append([i, i])
     tops = [max(sum(free[i : min(i + window, last + 1)]) for i in range(first, last + 1)) for first, last in stretches]
     least = min(surge, max(tops, default=0) // 2)
-    return [i for (first, last), top in zip(stretches, tops) if top > least for i in range(first, last + 1)]
-
-
-def _marked(part: list[int], free: list[int], window: int) -> list[int]:
-    """Lines of a marked part without its dives: any length surges, and linked lines next to a surge stay."""
-    out: list[int] = []
-    for linked, run in groupby(part, lambda i: not free[i]):
-        run = list(run)
-        if not linked or len(run) < window:
-            out += run
-    return out
+    kept: set[int] = set()
+    for (first, last), top in zip(stretches, tops):
+        if top > least:
+            kept.update(range(first, last + 1))
+            for way, at in ((-1, first), (1, last)) if beside else ():
+                run, i = [], at + way
+                while 0 <= i < len(free) and beside[i] and not free[i]:
+                    run.append(i)
+                    i += way
+                if len(run) < window:
+                    kept.update(run)
+    return sorted(kept)
+
+
+def main_lines(html: str | None, window: int = WINDOW, surge: int = SURGE) -> tuple[list[str], bool]:
+    """The article's blocks, and whether a mark of the page was taken as evidence."""
+    lines, left_out = lines_of(html or "")
+    if left_out > NAMES * (sum(len(t) for t, *_ in lines) + 1):
+        every, _ = lines_of(html or "", names=False)
+        if sum(len(t) for t, *_ in every) > NAMES * sum(len(t) for t, *_ in lines):
+            lines = every
+    free = [max(0, len(t.replace(" ", "")) - n) for t, n, _ in lines]
+    within = sum(n for n, (*_, inside) in zip(free, lines) if inside)
+    marked = any(inside for *_, inside in lines) and MARK * within >= sum(free) - within
+    if marked:
+        inside = [x for *_, x in lines]
+        kept = _body([n if x else 0 for n, x in zip(free, inside)], window, 0, inside)
+        if not kept:  # all of the marked part is linked
+            kept = [i for i, x in enumerate(inside) if x] if sum(inside) < window else []
+    else:
+        kept = _body(free, window, surge)
+    return [lines[i][0] for i in kept], marked
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks joined by line feeds; empty for null, empty or textless pages."""
-    lines = lines_of(html or "")
-    if not lines:
-        return ""
-    free = [max(0, len(t.replace(" ", "")) - n) for t, n, _ in lines]
-    within = sum(n for n, (*_, inside) in zip(free, lines) if inside)
-    marked = any(inside for *_, inside in lines) and MARK * within >= sum(free) - within
-    if not marked:
-        return "\n".join(lines[i][0] for i in _body(free, window, surge))
-    out: list[str] = []
-    for inside, part in groupby(range(len(lines)), lambda i: lines[i][2]):
-        if inside:
-            out += (lines[i][0] for i in _marked(list(part), free, window))
-    return "\n".join(out)
+    return "\n".join(main_lines(html, window, surge)[0])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page, in one pass without a shuffle; other columns are ignored."""
+    """(page_id, url, text, n_chars) of every page, in one pass without a shuffle; other columns are ignored.
+
+    A null or empty html gives an empty text; repeated rows give repeated rows, and
+    nothing depends on the order of rows; an empty table gives an empty result.  A
+    page is worked on whole, in memory of a few times its size.
+    """
     c.ship(pages.sparkSession)
 
     def run(batches):

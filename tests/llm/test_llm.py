@@ -55,7 +55,7 @@ def test_suffix_blocks_match_brute_force():
     assert {(a - b) % 32 for a in suffix.cover(32) for b in suffix.cover(32)} == set(range(32))
 
 
-@pytest.mark.parametrize("hot", [1, 4096])
+@pytest.mark.parametrize("hot", [1, 1024])
 def test_dedup(spark, docs, monkeypatch, hot):
     length = 400
     found = dedup.find_repeats(dedup.with_rid(docs.select("doc_id", "text")), length, hot)
@@ -217,20 +217,39 @@ def test_topk(spark):
     rng = np.random.default_rng(3)
     v = rng.integers(-160, 160, (700, 16)).astype(np.int32)
     v[5] = v[6] = v[7]
-    index, ids = topk.BitSlices(v, 2), np.arange(700) * 10
+    index, ids = topk.BitSlices(v, 2), np.arange(700, dtype=np.int64) * 10
     for q in range(0, 700, 50):
         found, scores = index.top(v[q], ids, int(ids[q]))
         want = sorted((-int(v[q] @ v[j]), int(ids[j])) for j in range(700) if j != q)[:5]
         assert list(zip((-scores).tolist(), found.tolist())) == want
     df = spark.createDataFrame([(i, [float(x) / 256 for x in row]) for i, row in enumerate(v.tolist())] + [(1000, None), (1050, [float("nan")] * 16), (1100, [None] * 16)], "vec_id long, embedding array<double>")
     q = topk.quantise(df)
-    out = topk.search(q, q.where("vec_id % 50 = 0"), 5, 100, 4).collect()
+    out = topk.search(q, q.where("vec_id % 50 = 0"), 5, 100, 900).collect()
     assert len(out) == 14 * 5
     for r in out:
         want = sorted((-int(v[r.query_id] @ v[j]), j) for j in range(700) if j != r.query_id)[r["rank"] - 1]
         assert (-r.score, r.vec_id) == want
 
 
+def test_topk_large_components(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-100, 100, (60, 4)).astype(object)
+    v[0] = [256 * 10**9, 0, 0, 0]
+    v[7] = [-256 * 10**6, 5, 0, 1]
+    more = [(60, [0.5, 0.25]), (61, []), (61, [])]
+    rows = [(i, [x / 256 for x in row]) for i, row in enumerate(v.tolist())] + more
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("score", F.lit("y")).withColumn("ids", F.lit("z"))
+    q = topk.quantise(df)
+    out = {(r.query_id, r["rank"]): (-r.score, r.vec_id) for r in topk.search(q.where("vec_id <> 0"), q, 3, 16).collect()}
+    ints = [(i, [int(x * 256 // 1) for x in e]) for i, e in rows]
+    for i, a in ints:
+        want = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in ints if j not in (0, i))[:3]
+        assert [out[i, k + 1] for k in range(3)] == want
+    with pytest.raises(OverflowError):
+        topk.inner(np.array([[1 << 40]]), np.array([1 << 40]))
+    assert topk.search(q.limit(0), q.limit(0)).collect() == topk.search(q.limit(0), q).collect() == []
+
+
 @pytest.mark.parametrize(("percent", "size"), [(90, 3), (80, 5)])
 def test_jaccard(spark, docs, percent, size):
     more = []
@@ -368,6 +387,55 @@ def test_html_marks_are_evidence():
     assert html.main_text(f"<article><h1><a href=x>Linked</a></h1>{body}</article>").split("\n") == ["Linked", *want]
 
 
+def test_html_names_are_evidence():
+    assert html.main_text('<article><ul><li class="notice">x<li>kept one</ul><p>real text here</p></article>') == "kept one\nreal text here"
+    assert html.main_text('<article><div class="notice-of-motion">We move</div><p>real text here</p></article>') == "We move\nreal text here"
+    assert html.main_text('<article><div class="ad-slot-3">buy</div><p id="cookieBanner">x</p><p>real text here</p><div class="related main">more</div></article>') == "real text here"
+    page = "".join(f"<p>{words(30)}</p>" for _ in range(4))
+    assert html.main_text(f'<body><div class="widget">{page}</div><p>imprint</p>').count("\n") >= 3
+
+
+def test_html_every_page_goes_through_the_windows(monkeypatch):
+    seen, own = [], html._body
+    monkeypatch.setattr(html, "_body", lambda *x: seen.append(1) or own(*x))
+    for page in ("<article><p>a</article>", "<main><p>a</main>", "<p>a", "", None):
+        html.main_text(page)
+    assert len(seen) == 5
+
+
+def _page(marked: bool, kind: int) -> tuple[str, list[str]]:
+    """A page made of labelled blocks, and the text of those that belong to the article."""
+    say = lambda n: words(n).capitalize() + "."
+    body = [("h1", say(6))] + [("p", say(RND.randint(12, 60))) for _ in range(RND.randint(3, 9))]
+    if kind % 3 == 0:
+        body[2:2] = [("li", say(5)) for _ in range(4)]
+    if kind % 4 == 0:
+        body.insert(3, ("h2", say(3)))
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>{words(2)}</a></li>" for i in range(RND.randint(4, 9))) + "</ul>"
+    inside = "".join(f"<{t}>{x}</{t}>" if kind % 2 else f"<{t}>{x}" for t, x in body)
+    tag = "article" if marked else "div"
+    advert, notice, comments = f'<div class="ad-box">{say(8)}</div>', f'<div class="cookie-notice"><p>{say(20)}</div>', f'<div id="comments"><p>{say(25)}<p>{say(30)}</div>'
+    return f"<html><head><title>{say(4)}</title><style>p{{}}</style></head><body><header>{menu}</header>{notice}<nav>{menu}</nav>{advert}<{tag}>{inside}</{tag}>{comments}<aside>{menu}{say(9)}</aside><footer>{say(7)}</footer></body></html>", [x for _, x in body]
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_html_labelled_pages(marked):
+    right = found = wanted = 0
+    for kind in range(60):
+        page, want = _page(marked, kind)
+        got = html.main_text(page).split("\n")
+        both = Counter(got) & Counter(want)
+        right, found, wanted = right + sum(both.values()), found + len(got), wanted + len(want)
+    assert right / found >= 0.99 and right / wanted >= 0.99
+
+
+def test_html_table(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a", "x"), (1, "u", "<p>a", "x"), (None, None, None, None), (2, "v", "", "y"), (3, "w", "<p>" + "long " * 400_000, "z")], "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("x"))
+    got = Counter((r.page_id, r.url, r.text[:9], r.n_chars) for r in html.extract(df).collect())
+    assert got == Counter([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (2, "v", "", 0), (3, "w", "long long", 1_999_999)])
+    assert html.extract(df.limit(0)).collect() == []
+
+
 def test_near_copies_with_repeated_ids(spark):
     import corpus_pipeline as p
 
