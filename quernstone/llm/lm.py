@@ -6,7 +6,12 @@ that ends at it over the count of that n-gram's context, if the n-gram was seen
 MIN_COUNT times; else by ALPHA times its score with one word of context less, down
 to its share of all words.
 
-The relation (slice, n-gram, count) is kept packed: a slice is a few MB of texts,
+An n-gram that a text alone holds once says nothing about it, so MIN_COUNT is 2 unless
+told otherwise; with 1, as in the plain definition, every n-gram of a scored corpus is
+seen and nothing backs off.
+
+The relation (slice, n-gram, count) is kept packed, as one row an n-gram would take
+some fifteen times the input in the shuffle: a slice is a few MB of texts,
 whose n-grams are counted before they are shuffled, so a frequent one is sent once
 a slice.  It is dealt out by ranges of the n-gram's 64-bit hash; each bucket is one
 part of the count table and is joined there with the n-grams that ask for it.  The
@@ -78,22 +83,6 @@ def _split(body: bytes) -> list[bytes]:
     return body.split(b" ") if body else []
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """64-bit numbers by planes of equal bytes, so that high bytes without content take no room."""
-    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def _numbers(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
-
-
-def _steps(ascending: np.ndarray) -> np.ndarray:
-    """The first number and each one's distance from the one before."""
-    return np.diff(ascending, prepend=np.zeros(1, np.uint64))
-
-
 def cut(batches):
     """(slice, ids, sizes, body) of each slice: its rows' ids, their numbers of words, and all words with single spaces."""
     n, ids, sizes, bodies, room = TaskContext.get().partitionId() << 32, [], [], [], SLICE_BYTES
@@ -152,7 +141,7 @@ def ask(rows: DataFrame, buckets: int, order: int) -> DataFrame:
             for i in range(0, len(cuts), 1024):
                 spans = cuts[i : i + 1024]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([n] * len(spans)), pa.array([bucket[s] for s, _ in spans], pa.int64()), pa.array([_packed(_steps(hashes[s:e])) for s, e in spans], pa.binary()), pa.array([_packed(counts[s:e]) for s, e in spans], pa.binary())],
+                    [pa.array([n] * len(spans)), pa.array([bucket[s] for s, _ in spans], pa.int64()), pa.array([c.packc.numbers(c.steps(hashes[s:e])) for s, e in spans], pa.binary()), pa.array([c.packc.numbers(counts[s:e]) for s, e in spans], pa.binary())],
                     ["slice", "bucket", "hashes", "counts"],
                 )
 
@@ -163,12 +152,12 @@ def answer(asked: DataFrame) -> DataFrame:
     """(slice, bucket, counts): the counts over all slices of the n-grams that were asked for, in the same order."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = [np.cumsum(_numbers(x), dtype=np.uint64) for x in t.column("hashes").to_pylist()]
+        parts = [np.cumsum(c.numbers(x), dtype=np.uint64) for x in t.column("hashes").to_pylist()]
         _, which = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.concatenate([_numbers(x) for x in t.column("counts").to_pylist()])
+        counts = np.concatenate([c.numbers(x) for x in t.column("counts").to_pylist()])
         sums = np.bincount(which, weights=counts).astype(np.int64)[which]
         back = np.split(sums, np.cumsum([len(x) for x in parts])[:-1])
-        return pa.table({"slice": t.column("slice"), "bucket": t.column("bucket"), "counts": pa.array([_packed(x) for x in back], pa.binary())})
+        return pa.table({"slice": t.column("slice"), "bucket": t.column("bucket"), "counts": pa.array([c.packc.numbers(x) for x in back], pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, "slice long, bucket long, counts binary")
 
@@ -195,7 +184,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, ord
         turn = np.argsort(np.concatenate([x.hashes for x in levels]))
         counts = np.zeros(len(turn))
         if len(turn):
-            counts[turn] = np.concatenate([_numbers(x) for x in right.sort_by("bucket").column("counts").to_pylist()])
+            counts[turn] = np.concatenate([c.numbers(x) for x in right.sort_by("bucket").column("counts").to_pylist()])
         values, at_word, done, base, value = counts[: len(levels[0].hashes)], np.zeros(len(before)), 0, None, None
         for k, x in enumerate(levels):
             values, done = counts[done : done + len(x.hashes)], done + len(x.hashes)

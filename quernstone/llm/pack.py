@@ -23,7 +23,8 @@ from . import _common as c
 from .bpe import SPLIT, byte_alphabet
 
 LENGTH = 1024
-BUCKETS = 64
+#: Pieces of one length that are ranked in one task.
+BUCKET_ROWS = 1 << 17
 PIECE = "id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
@@ -75,22 +76,25 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
     return rows
 
 
-def place_ranked(pieces: DataFrame, capacity: int, buckets: int = BUCKETS) -> DataFrame:
-    """Add sequence_id and offset to pieces with columns id, start, length and ids_crc32.
+def place_ranked(pieces: DataFrame, capacity: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add sequence_id and offset to pieces with columns id, start, length, ids_crc32 and doc_tokens.
 
     Ranks are made of counts per (length, bucket of the id's hash) and row numbers
-    inside, so that a length that most pieces have is spread over the buckets.
+    inside; a length has as many buckets as its count needs.  The driver holds the
+    histogram (capacity rows), one row a bucket (the pieces over bucket_rows, and
+    capacity) and the patterns' places, at most capacity for each length; these are
+    what is broadcast.
     """
     spark = pieces.sparkSession
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(buckets)))
-    counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    # at most capacity x buckets rows
-    cells = sorted((r[0], r[1], r[2]) for r in counts.collect())
-    histogram: dict[int, int] = {}
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    buckets = spark.createDataFrame([(k, -(-n // bucket_rows)) for k, n in histogram.items()], "length int, buckets long")
+    keyed = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.col("buckets"))).drop("buckets")
+    cells = sorted((r[0], r[1], r[2]) for r in keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect())
+    taken: dict[int, int] = {}
     offsets = []
     for length, bucket, n in cells:
-        offsets.append((length, bucket, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
+        offsets.append((length, bucket, taken.get(length, 0)))
+        taken[length] = taken.get(length, 0) + n
     runs: dict[int, list] = {}
     for length, rank, n, sequence, offset in places(spfhp(histogram, capacity)):
         runs.setdefault(length, []).append((rank, sequence, offset))
@@ -150,7 +154,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH) -> DataFrame:
 
     A null text counts as empty and has the end id alone.  Repeated rows are
     packed each; an empty table gives an empty result.  The pieces are written
-    once to the shared folder, so that texts are encoded a single time.
+    once to the shared folder, so that texts are encoded a single time.  A single
+    text is encoded whole, in memory of some ten times its size.
     """
     pieces = c.settle(cut(docs, tokenizer, capacity))
     return place_ranked(pieces, capacity).select(F.col("id").alias("doc_id"), "start", F.col("length").cast("long"), "ids_crc32", "doc_tokens", "sequence_id", "offset")

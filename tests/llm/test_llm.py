@@ -1,8 +1,10 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -99,17 +101,128 @@ def test_bpe_matches_the_library(spark, docs):
 
 
 def test_media_round_trip(spark, docs):
-    for r in mpeg.inspect(mpeg.media(docs)).collect():
-        assert r.payload_bytes % 576 == 0 and r.payload_bytes >= max(1, r.n_bytes) and r.n_samples == r.payload_bytes and "skipped=0" in r.feature
-    payload = bytes(RND.choice((255, 242, 224, 1)) for _ in range(576 * 9))
-    data = mpeg.store(payload)
+    text = {(r[0], r[1]): mpeg.padded(r[1]) for r in ROWS}
+    seen = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.n_samples) for r in mpeg.inspect(mpeg.media(docs)).collect())
+    want = Counter()
+    for i, t, *_ in ROWS:
+        raw = text[i, t]
+        stored = mpeg.store(raw)
+        assert len(raw) % 576 == 0 and raw.startswith((t or "").encode()) and not raw[len((t or "").encode()) :].strip(b"\xff")
+        want[i, len((t or "").encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), len(raw)] += 1
+    assert seen == want
+    held = bytes(RND.choice((255, 242, 224, 1)) for _ in range(576 * 9))
+    data = mpeg.store(held)
     s = mpeg.load(data)
-    assert s.payload == payload and s.table["frames"] == 9 and len(s.table["toc"]) == 100
+    assert mpeg.payload(data, s) == held and s.table["frames"] == 9 and len(s.table["toc"]) == 100 and s.tags["TSSE"] == "quernstone" and s.tags["title"] == "payload"
     junk = b"\xff\xf2\xd8\xc0" * 40
-    assert mpeg.load(data[: s.offsets[3]] + junk + data[s.offsets[3] :]).payload == payload
+    more = data[: s.offsets[3]] + junk + data[s.offsets[3] :]
+    assert mpeg.payload(more, mpeg.load(more)) == held
     broken = bytearray(data)
     broken[s.offsets[4] + 4] ^= 1
     assert len(mpeg.load(bytes(broken)).offsets) == 8
+    for k, at in enumerate(s.offsets):
+        assert s.seek(Fraction(576 * k + 5, s.rate)) == (at, 5) and abs(s.table_seek(Fraction(576 * k, s.rate)) - at) <= 720 + len(data) // 256  # a frame and a step of the table
+    assert mpeg.load(b"").offsets == mpeg.load(b"\xff" * 5000).offsets == [] and mpeg.feature(mpeg.load(b"")).startswith("none")
+
+
+def _crc_by_bits(bits):
+    x = 0xFFFF
+    for b in bits:
+        x = ((x << 1) ^ (0x8005 if (x >> 15) ^ b else 0)) & 0xFFFF
+    return x
+
+
+def _bits(data):
+    return [x >> k & 1 for x in data for k in range(7, -1, -1)]
+
+
+def _frame(version, layer, index, rate, mode, protected, extension=0, pad=0, body=None):
+    """A frame made by hand: header, checksum over what its layer guards, and content."""
+    code = {"1": 3, "2": 2, "2.5": 0}[version]
+    head = bytes((0xFF, 0xE0 | code << 3 | 4 - layer << 1 | (not protected), index << 4 | rate << 2 | pad << 1, mode << 6 | extension << 4))
+    h = mpeg.header(head)
+    body = bytes(h.length - 4 - 2 * protected) if body is None else body.ljust(h.length - 4 - 2 * protected, b"\0")
+    if not protected:
+        return head + body
+    stereo, bound = mode != 3, 4 * (extension + 1) if mode == 1 else 32
+    own = _bits(body)
+    if layer == 3:
+        n = 8 * {("1", True): 32, ("1", False): 17}.get((version, stereo), 17 if stereo else 9)
+    elif layer == 1:
+        n = 4 * (2 * bound + 32 - bound) if stereo else 128
+    else:
+        widths = {("1", 128, True): [4] * 11 + [3] * 12 + [2] * 4, ("1", 192, False): [4] * 11 + [3] * 12 + [2] * 7, ("2", 64, True): [4] * 4 + [3] * 7 + [2] * 19}[version, h.kbps, stereo]
+        n = used = 0
+        for sb, w in enumerate(widths):
+            for _ in range(2 if stereo and sb < bound else 1):
+                if any(own[n : n + w]):
+                    used += 2 if stereo and sb >= bound else 1
+                n += w
+        n += 2 * used
+    return head + _crc_by_bits(_bits(head[2:]) + own[:n]).to_bytes(2, "big") + body
+
+
+#: version, layer, bitrate index, rate index, mode, and the kbit/s, rate, length and samples that they mean.
+KINDS = [
+    ("1", 3, 9, 0, 0, 128, 44100, 417, 1152), ("1", 3, 14, 1, 1, 320, 48000, 960, 1152), ("1", 3, 5, 2, 3, 64, 32000, 288, 1152), ("2", 3, 8, 0, 0, 64, 22050, 208, 576), ("2.5", 3, 4, 0, 3, 32, 11025, 208, 576),
+    ("1", 2, 8, 0, 0, 128, 44100, 417, 1152), ("1", 2, 10, 0, 3, 192, 44100, 626, 1152), ("1", 2, 8, 1, 1, 128, 48000, 384, 1152), ("2", 2, 8, 1, 0, 64, 24000, 384, 1152),
+    ("1", 1, 4, 0, 0, 128, 44100, 136, 384), ("1", 1, 12, 1, 1, 384, 48000, 384, 384), ("2", 1, 3, 0, 3, 56, 22050, 120, 384),
+]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("protected", [False, True])
+def test_media_streams_made_by_hand(kind, protected):
+    version, layer, index, rate, mode, kbps, hertz, length, samples = kind
+    rng = np.random.default_rng(index)
+    frames = [_frame(version, layer, index, rate, mode, protected, extension=1 if mode == 1 else 0, pad=k % 2, body=rng.integers(0, 200, 90, dtype=np.uint8).tobytes()) for k in range(5)]
+    slot = 4 if layer == 1 else 1
+    assert [len(x) for x in frames] == [length + slot * (k % 2) for k in range(5)]
+    s = mpeg.load(b"junk" + b"".join(frames))
+    at = np.cumsum([4, *map(len, frames)])[:5].tolist()
+    assert s.offsets == at and s.skipped == 4 and s.bitrates == {kbps} and s.first.version == version and s.first.layer == layer
+    assert s.duration == Fraction(5 * samples, hertz) and (s.checked, s.unchecked) == ((5, 0) if protected else (0, 5))
+    assert [s.seek(Fraction(k * samples + 7, hertz)) for k in range(5)] == [(a, 7) for a in at]
+    if protected:
+        damaged = bytearray(b"".join(frames))
+        damaged[len(frames[0]) + len(frames[1]) + 7] ^= 0x10
+        assert len(mpeg.load(bytes(damaged)).offsets) == 4
+
+
+def _tag2(major, frames, flags=0, extra=b""):
+    return b"ID3" + bytes((major, 0, flags)) + mpeg._syncsafe(len(extra + frames)) + extra + frames
+
+
+def test_media_tags_and_tables():
+    sound = b"".join(_frame("1", 3, 9, 0, 0, False) for _ in range(6))
+    long_ = b"\x03" + b"x" * 200
+    tags = (
+        _tag2(2, b"TT2\0\0\x04\0abc" + b"TP1\0\0\x02\0z"), _tag2(3, b"TIT2\0\0\0\x09\0\0\x01\xff\xfea\0b\0c\0" + b"TPE1\0\0\0\x02\0\0\0z"),
+        _tag2(4, b"TIT2" + mpeg._syncsafe(4) + b"\0\0\x03abc" + b"TALB" + mpeg._syncsafe(len(long_)) + b"\0\0" + long_ + b"TPE1" + mpeg._syncsafe(2) + b"\0\0\x00z", 0x10) + b"3DI" + bytes(7),
+        _tag2(3, b"TIT2\0\0\0\x04\0\0\0abc" + b"TPE1\0\0\0\x02\0\0\0z", 0x40, b"\0\0\0\x06" + bytes(6)),
+    )
+    for tag in tags:
+        s = mpeg.load(tag + sound)
+        assert (s.tags.get("TIT2") or s.tags.get("TT2")) == "abc" and (s.tags.get("TPE1") or s.tags.get("TP1")) == "z" and s.offsets[0] == len(tag) and s.skipped == 0
+    assert mpeg.load(tags[2] + sound).tags["TALB"] == "x" * 200
+    item = struct.pack("<II", 2, 0) + b"Artist\0me"
+    ape = item + b"APETAGEX" + struct.pack("<IIII", 2000, len(item) + 32, 1, 0) + bytes(8)
+    old = b"TAG" + b"song".ljust(30, b"\0") + b"me".ljust(30) + bytes(30) + b"1999" + bytes(28) + b"\0\x07" + b"\x01"
+    s = mpeg.load(sound + ape + old)
+    assert s.tags == {"title": "song", "artist": "me", "year": "1999", "track": "7", "ape:Artist": "me"} and len(s.offsets) == 6 and s.skipped == 0
+
+    lame = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    for name, protected in ((b"Xing", False), (b"Info", False), (b"Xing", True)):
+        info = _frame("1", 3, 9, 0, 0, protected, body=bytes(32) + name + struct.pack(">III", 7, 6, 2502) + bytes(range(0, 200, 2)) + lame)
+        s = mpeg.load(info + sound)
+        assert s.table["kind"] == name.decode() and s.table["frames"] == 6 and len(s.offsets) == 6 and (s.delay, s.trailing) == (576, 1000)
+        assert s.duration == Fraction(6 * 1152 - 1576, 44100) and s.seek(0) == (s.offsets[0], 576) and s.table_seek(0) == 0
+    vbri = _frame("1", 3, 9, 0, 0, False, body=bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 2502, 6, 3, 2, 2, 2) + struct.pack(">HHH", 417, 417, 417))
+    s = mpeg.load(vbri + sound)
+    assert s.table["kind"] == "VBRI" and s.table["toc"] == [834] * 3 and len(s.offsets) == 6 and s.table_seek(s.duration / 2) == 834
+    free = [bytes((0xFF, 0xFB, pad << 1, 0)) + bytes(396 + pad) for pad in (0, 0, 1, 0, 0)]
+    s = mpeg.load(b"".join(free))
+    assert s.offsets == np.cumsum([0, *map(len, free)])[:5].tolist() and s.duration == Fraction(5 * 1152, 44100)
 
 
 def test_html():
@@ -213,6 +326,42 @@ def test_language(spark):
     assert all(r.lang_pred == "und" for r in langid.predict(df.limit(0)).collect())
 
 
+def test_language_sets_against_all_sets():
+    """The chosen set against every set, each fitted by many rounds."""
+    rng = np.random.default_rng(12)
+    from itertools import combinations
+
+    for trial in range(40):
+        p = rng.dirichlet(np.full(30, 0.4), 4) + 1e-4
+        mix = rng.dirichlet(np.full(4, 0.5)) if trial % 2 else np.eye(4)[trial % 4]
+        n = rng.multinomial(int(rng.integers(5, 400)), mix @ p / (mix @ p).sum())
+        keep = n > 0
+        q, n = p[:, keep], n[keep]
+        cost = 3.0 * np.log(n.sum() + 1)
+        every = {own: langid.mixture(q[list(own)], n, 400)[1] - cost * (len(own) - 1) for k in range(1, 5) for own in combinations(range(4), k)}
+        own, share, value = langid.best_set(q, n, cost)
+        assert max(every.values()) - every[own] < 0.05 and value == pytest.approx(every[own], abs=0.05) and share.sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_language_held_out(spark):
+    """Accuracy on held-out texts of four toy languages of own letter statistics, and mixed texts by their larger part."""
+    rng = np.random.default_rng(2)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    weights = {x: rng.dirichlet(np.full(26, 0.3)) for x in ("aa", "bb", "cc", "dd")}
+    say = lambda x, n: " ".join("".join(rng.choice(alphabet, rng.integers(2, 8), p=weights[x])) for _ in range(n))
+    rows = [(i, say(x, int(rng.integers(8, 60))), x) for i, x in enumerate(list(weights) * 60)]
+    mixed = [(1000 + i, say("aa", 90) + " " + say("bb", 30), None) for i in range(8)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")).collect()}
+    held = [(got[i].lang_pred, x) for i, _, x in rows if got[i].held_out]
+    assert len(held) > 40 and sum(a == b for a, b in held) / len(held) >= 0.97
+    assert all(got[i].lang_pred == "aa" and 0.55 < got[i].score < 0.95 and set(got[i].lang_set) >= {"aa", "bb"} for i, *_ in mixed)
+
+
+def test_unlearnt_languages_are_not_known(spark):
+    langs, logp = langid.train(spark.createDataFrame([(words(40), "en") for _ in range(50)], "text string, lang string"))
+    assert langid.identify(words(3), langs, logp)[3] > 0.9 and langid.identify("Щедрик щедрик щедрівочка прилетіла ластівочка", langs, logp)[3] < 0.3
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     v = rng.integers(-160, 160, (700, 16)).astype(np.int32)
@@ -288,6 +437,28 @@ def test_jaccard(spark, docs, percent, size):
     assert got == {(i, len(s), None if low[find(k)] == -(1 << 63) else low[find(k)]) for k, (i, s) in enumerate(sets)}
 
 
+def test_very_long_text(spark):
+    """One text of some 4 MB among short ones goes through every operator whole."""
+    import corpus_pipeline as p
+
+    long_ = " ".join("".join(RND.choice("abcdefghij") for _ in range(RND.randint(2, 7))) for _ in range(720_000))
+    passage = words(120)
+    rows = [(1, long_ + " " + passage, "en", "s", 0), (2, words(30) + " " + passage, "en", "s", 0), (3, words(50), "en", "s", 0)]
+    df, path = spark.createDataFrame(rows, SCHEMA), c.default_tokenizer()
+    text = {r[0]: r[1].encode() for r in rows}
+    cut = {r.doc_id: r for r in dedup.digest(df).collect()}
+    assert cut[1].n_bytes == len(text[1]) and cut[1].n_removed == cut[2].n_removed >= len(passage) and cut[3].n_removed == 0
+    assert {r.doc_id: r.n_bytes for r in mpeg.inspect(mpeg.media(df)).collect()} == {i: len(t) for i, t in text.items()}
+    n = {r.doc_id: r.n_tokens for r in tokenize.roundtrip_digest(df, path).collect()}
+    pieces = pack.pack(df, path).collect()
+    assert {i: sum(r.length for r in pieces if r.doc_id == i) for i in text} == {i: n[i] + 1 for i in text}
+    assert {r.doc_id: r.n_words for r in lm.score(df).collect()} == {i: len(t.split()) for i, t in text.items()}
+    assert all(r.component_id == r.id and (r.id != 1 or r.n_shingles > 700_000) for r in jaccard.join(df).collect())
+    assert {r.lang_pred for r in langid.predict(df.where("doc_id <> 2").union(df.where("doc_id = 2"))).collect()} == {"en"}
+    out = {r.doc_id: r.text for r in p.repeated_passages(spark, df, "").collect()}
+    assert passage[10:-10] not in out[1] and passage[10:-10] not in out[2]
+
+
 def test_empty_tables(spark, docs):
     none, path = docs.limit(0), c.default_tokenizer()
     for out in (dedup.digest(none), tokenize.roundtrip_digest(none, path), mpeg.inspect(mpeg.media(none)), pack.pack(none, path), shard.shard_by_bytes(none), lm.score(none), jaccard.join(none)):
@@ -320,6 +491,25 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out} == set(range(30))
 
 
+def test_pipeline_stages_at_the_edges(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows = [(i, words(60), "en", "s", 0) for i in range(12)]
+    odd = [(20, None, "en", "s", 0), (21, "", "en", None, None), (22, "12 !", None, "s", 0), (23, "Щедрик щедрик щедрівочка прилетіла ластівочка стала собі щебетати", None, "s", 0), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows + odd, SCHEMA)
+    assert {r.doc_id for r in p.language(spark, df, "").collect()} == set(range(12))
+    twice = df.union(df)
+    kept = Counter((r.doc_id, r.text) for r in p.near_copies(spark, twice, "").collect())
+    assert kept == Counter([(i, t) for i, t, *_ in rows] + [(23, odd[3][1]), (22, "12 !"), *2 * [(20, None), (21, ""), (None, None)]])
+    cut = {r.doc_id: r.text for r in p.repeated_passages(spark, twice.where("doc_id < 12 or doc_id > 19"), "").collect()}
+    assert cut[20] is None and cut[21] == "" and cut[22] == "12 !" and all(cut[i] == "" for i in range(12))
+    assert {r.doc_id for r in p.packing(spark, df, "").collect()} == {r[0] for r in rows + odd}
+    for _, stage in p.STAGES:
+        assert stage(spark, df.limit(0), "").collect() == []
+    df.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).collect() == []
+
+
 def test_passages_by_words(spark):
     import corpus_pipeline as p
 
