@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import _common, dedup, jaccard, langid, pack
 
-#: A document stays if one language holds this share of it.
-LEAST_SHARE = 0.4
+#: A document stays if one language holds this share of it, and its languages know this share of its trigrams.
+LEAST_SHARE, LEAST_KNOWN = 0.4, 0.5
 #: Near copies share this percentage of their shingles of so many words, or more.
 NEAR_PERCENT, NEAR_WORDS = 80, 5
 #: A repeated passage holds so many words or more; each takes a byte, and another one parts it from the next.
@@ -29,17 +29,24 @@ def _apart(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language go on; those without a letter, or in no language for the most part, go."""
+    """Documents with a language go on; those without a letter, in no language for the most part, or in one that was not learnt, go.
+
+    A null or empty text has no letter and goes.  Rows are judged by their own text,
+    so repeated rows stay or go together, and there are no ties; an empty table, or
+    one without any language to learn, gives an empty result.
+    """
     langs, logp = langid.train(docs.where(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))))
     own = _apart(docs)
-    kept = langid.label(own, langs, logp).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    kept = langid.label(own, langs, logp).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE) & (F.col("lang_known") >= LEAST_KNOWN))
     return kept.select(*own.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents one row stays: the one with the smallest id, a null before others, then the smallest hash of its text.
 
-    Rows that are equal in both are told apart by a tag; texts without a word link to nothing and stay.
+    Rows that are equal in both are told apart by a tag, so one of repeated rows
+    stays.  Null and empty texts, and those without a word, link to nothing and stay,
+    each row of them; an empty table gives an empty result.
     """
     if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         found = jaccard.join(docs, NEAR_PERCENT, NEAR_WORDS)
@@ -55,14 +62,23 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words, or of 400 bytes and more, that occur more than once are cut out of every document."""
+    """Passages of over 50 words, or of 400 bytes and more, that occur more than once are cut out of every document.
+
+    No occurrence is kept, so equal rows lose all that is long enough, and there are
+    no ties.  A null text stays null, and an empty one empty; every row stays, with
+    n_chars of what is left; an empty table gives an empty result.
+    """
     own = _apart(docs)
     out = dedup.strip_repeats(own, PASSAGE_BYTES, PASSAGE_WORDS).select(*own.columns).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids with their places in sequences."""
+    """Pieces of the documents' token ids with their places in sequences.
+
+    A null or empty text is the end id alone; repeated rows are packed each; equal
+    pieces may stand for one another; an empty table gives an empty result.
+    """
     return pack.pack(docs, _common.default_tokenizer())
 
 
@@ -70,7 +86,10 @@ STAGES = [("language", language), ("near_copies", near_copies), ("repeated_passa
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = _common.settle(stage(spark, docs, sf_dir))
+        if spent is not None:  # its successor has been written
+            _common.drop(spent)
+        spent = docs
     return STAGES[-1][1](spark, docs, sf_dir)
