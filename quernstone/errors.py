@@ -18,6 +18,30 @@ class ProvenanceError(QuernstoneError):
     """Files differ from what a manifest says."""
 
 
+class ArtifactError(ProvenanceError):
+    """A file that is written once would change."""
+
+
+class PocketError(ContractError):
+    """A pocket cannot be defined or mapped."""
+
+
+class ViewError(ContractError):
+    """A structure view breaks its contract."""
+
+
+class ServiceError(QuernstoneError):
+    """A remote service answered otherwise than agreed, or not at all."""
+
+
+class EncoderError(QuernstoneError):
+    """An encoder, its files or its output break the contract."""
+
+
+class LigandError(QuernstoneError):
+    """A molecule or its atom mapping is outside of the contract."""
+
+
 def require_none(bad: DataFrame, message: str, show: int = 5) -> None:
     """Fail if there is any row, and name the first ones."""
     rows = bad.limit(show).collect()
@@ -50,9 +74,28 @@ def disjoint(left: DataFrame, right: DataFrame, on: list[str], message: str) ->
     require_none(left.join(right, on, "left_semi").select(*on), message)
 
 
-def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+def _not_finite(columns: list[str]) -> Column:
     bad = F.lit(False)
     for c in columns:
         bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    require_none(df.where(bad), "values must be finite")
+    return bad
+
+
+def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Fail now if a value is null, not a number or infinite."""
+    require_none(df.where(_not_finite(columns)), "values must be finite")
     return df
+
+
+def finite_rows(df: DataFrame, columns: list[str], names: tuple[str, ...] | None = None) -> DataFrame:
+    """The same inside the plan: the query that reads such a row fails. names: the columns must be these, in order."""
+    if names is not None and tuple(columns) != tuple(names):
+        raise ContractError("columns differ from their schema")
+    return df.where(F.when(_not_finite(columns), F.raise_error(F.lit("values must be finite")).cast("boolean")).otherwise(F.lit(True)))
+
+
+def finite_array(column: str, size: int) -> Column:
+    """An array of so many finite values; anything else fails the query."""
+    c = F.col(column)
+    good = (F.size(c) == size) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(F.coalesce(good, F.lit(False)), c).otherwise(F.raise_error(F.lit(f"{column} must hold {size} finite values")).cast("array<double>"))

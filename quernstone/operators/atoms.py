@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as e
 from ..functions import vocab as v
+from ..sources.files import landed
 
 CHAIN = ["pdb_id", "entity_id", "asym_id"]
 
@@ -21,17 +22,29 @@ def in_text_order(atoms: DataFrame) -> DataFrame:
     return atoms.orderBy("pdb_id", "entity_id", "asym_id", F.coalesce(F.col("seq_id").cast("string"), F.lit("None")), "atom_name")
 
 
+def is_protein(entity: str, chains: list[str]) -> Column:
+    return e.heavy() & (F.col("entity_id") == entity) & F.col("asym_id").isin(chains) & F.col("seq_id").isNotNull()
+
+
+def is_ligand(entity: str, chains: list[str], component: str) -> Column:
+    return e.heavy() & (F.col("entity_id") == entity) & F.col("asym_id").isin(chains) & (F.col("residue_name") == component)
+
+
+def is_foreign(entity: str, asym: str) -> Column:
+    own = (F.col("entity_id") == entity) & (F.col("asym_id") == asym)
+    return ~own & ~F.col("residue_name").isin(*v.WATERS) & e.heavy() & F.col("group").isin("ATOM", "HETATM")
+
+
 def protein_atoms(atoms: DataFrame, entity: str, chains: list[str]) -> DataFrame:
-    return atoms.where(e.heavy() & (F.col("entity_id") == entity) & F.col("asym_id").isin(chains) & F.col("seq_id").isNotNull())
+    return atoms.where(is_protein(entity, chains))
 
 
 def ligand_atoms(atoms: DataFrame, entity: str, chains: list[str], component: str) -> DataFrame:
-    return atoms.where(e.heavy() & (F.col("entity_id") == entity) & F.col("asym_id").isin(chains) & (F.col("residue_name") == component))
+    return atoms.where(is_ligand(entity, chains, component))
 
 
 def foreign_atoms(atoms: DataFrame, entity: str, asym: str) -> DataFrame:
-    own = (F.col("entity_id") == entity) & (F.col("asym_id") == asym)
-    return atoms.where(~own & ~F.col("residue_name").isin(*v.WATERS) & e.heavy() & F.col("group").isin("ATOM", "HETATM"))
+    return atoms.where(is_foreign(entity, asym))
 
 
 def modal_residues(atoms: DataFrame, by: list[str] = CHAIN) -> DataFrame:
@@ -105,7 +118,7 @@ def first_ca(atoms: DataFrame, order: list[str]) -> DataFrame:
 
 
 def mean_plddt(ca: DataFrame, by: list[str]) -> DataFrame:
-    return ca.groupBy(*by).agg(F.coalesce(F.avg(F.when(~F.isnan("b_factor"), F.col("b_factor"))), F.lit(float("nan"))).alias("mean_plddt"))
+    return ca.groupBy(*by).agg(F.coalesce(F.avg(F.when(~F.isnan("b_factor") & (F.abs("b_factor") < float("inf")), F.col("b_factor"))), F.lit(float("nan"))).alias("mean_plddt"))
 
 
 def pdb_lines(ca: DataFrame) -> DataFrame:
@@ -117,15 +130,28 @@ def pdb_lines(ca: DataFrame) -> DataFrame:
     return ca.select("*", n).withColumns(fixed).select(*CHAIN, "serial", line.alias("line"))
 
 
-def least_foreign_distance(pocket: DataFrame, foreign: DataFrame, by: list[str], radius: float) -> DataFrame:
+def least_foreign_distance(pocket: DataFrame, foreign: DataFrame, by: list[str], radius: float, rounds: int = 12) -> DataFrame:
     """Least distance and number of foreign atoms of each pocket; unoccupied if there are none or none is nearer than the radius.
 
-    The least distance itself is reported even beyond the radius, so every pair of one structure counts.
+    The least distance itself is reported even beyond the radius. Pockets look for
+    neighbours by grid cells; those that find none look again at twice the distance.
+    What is left after the rounds (4,096 times the radius) is compared in full.
     """
-    f = foreign.select(*by, *(F.col(a).alias("r" + a) for a in "xyz"))
-    d = pocket.join(f, by).groupBy(*by).agg(F.min(e.distance(*((F.col(a), F.col("r" + a)) for a in "xyz"))).alias("minimum"))
+    f = landed(foreign.select(*by, *(F.col(a).alias("r" + a) for a in "xyz")))
+    own = landed(pocket.select(*by, "x", "y", "z"))
     n = f.groupBy(*by).agg(F.count("*").alias("foreign"))
-    out = pocket.select(*by).distinct().join(n, by, "left").join(d, by, "left").withColumn("foreign", F.coalesce("foreign", F.lit(0).cast("long")))
+    found, left, reach = None, own.join(n.select(*by), by, "left_semi"), float(radius)
+    for k in range(rounds + 1):
+        if k < rounds:
+            pairs = near(left, f, by, reach)
+        else:
+            pairs = left.join(f, by).withColumn("d", e.distance(*((F.col(a), F.col("r" + a)) for a in "xyz")))
+        got = landed(pairs.groupBy(*by).agg(F.min("d").alias("minimum")))
+        found = got if found is None else found.unionByName(got)
+        left, reach = landed(left.join(got, by, "left_anti")), reach * 2
+        if not left.limit(1).count():
+            break
+    out = own.select(*by).distinct().join(n, by, "left").join(found, by, "left").withColumn("foreign", F.coalesce("foreign", F.lit(0).cast("long")))
     return out.withColumn("unoccupied", F.col("minimum").isNull() | (F.col("minimum") >= radius))
 
 
@@ -137,3 +163,40 @@ def dense_backbone(atoms: DataFrame, by: list[str]) -> DataFrame:
     span = got.groupBy(*by).agg(F.min("seq_id").alias("lo"), F.max("seq_id").alias("hi")).select(*by, F.explode(F.sequence("lo", "hi")).alias("seq_id"))
     out = span.join(got, [*by, "seq_id"], "left")
     return out.withColumn("complete", F.col("N").isNotNull() & F.col("CA").isNotNull() & F.col("C").isNotNull())
+
+
+def chain_atoms(atoms: DataFrame, entity: str, asym: str) -> DataFrame:
+    """ATOM records of one chain, whatever their element."""
+    return atoms.where((F.col("entity_id") == entity) & (F.col("asym_id") == asym) & (F.col("group") == "ATOM"))
+
+
+def site_backbone(backbone: DataFrame, sites: DataFrame, by: list[str], minimum: float = 0.0) -> DataFrame:
+    """Sites on a dense backbone, positions kept in the order in which a site lists them.
+
+    sites: by and positions (array). Adds the listed positions that the chain has and
+    that are complete, and their share of all listed ones; a site that touches no
+    position of its chain, or whose share is below the minimum, fails the query.
+    """
+    listed = sites.select(*by, F.posexplode("positions").alias("place", "seq_id"))
+    inside = listed.join(backbone.select(*by, "seq_id", "complete"), [*by, "seq_id"])
+    got = inside.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col("complete"), F.struct("place", "seq_id")))).alias("p"))
+    rows = backbone.groupBy(*by).agg(F.min("seq_id").alias("first"), F.max("seq_id").alias("last"), F.count("*").alias("rows"), F.count_if("complete").alias("complete_rows"))
+    out = sites.join(got, by, "left").join(rows, by, "left").withColumn("complete_positions", F.transform("p", lambda x: x["seq_id"]))
+    share = F.size("complete_positions") / F.size("positions")
+    good = F.col("p").isNotNull() & (share >= minimum)
+    return out.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit("too little of a site has a backbone")).cast("boolean"))).withColumn("complete_fraction", share).drop("p")
+
+
+def centred(backbone: DataFrame, by: list[str], atoms: tuple[str, ...] = ("N", "CA", "C")) -> DataFrame:
+    """Backbone places moved so that the mean of those that are there is the origin, rounded half to even at 4 places, as floats.
+
+    The 10,000fold is rounded, which is what array libraries do; a decimal rounding differs where a value ends in a 5.
+    """
+    flat = backbone.select(*by, "seq_id", F.explode(F.array(*(F.struct(F.lit(a).alias("atom"), F.col(a).alias("p")) for a in atoms))).alias("a")).select(*by, "seq_id", "a.atom", "a.p.*")
+    centre = flat.groupBy(*by).agg(*(F.avg(a).alias("m" + a) for a in "xyz"))
+    return flat.join(centre, by).select(*by, "seq_id", "atom", *((F.rint((F.col(a) - F.col("m" + a)) * 10000) / 10000).cast("float").alias(a) for a in "xyz"))
+
+
+def moved(points: DataFrame, rotation: list[list[float]], shift: list[float]) -> DataFrame:
+    """Points turned and shifted."""
+    return points.withColumns({a: sum((F.lit(float(r)) * F.col(b) for r, b in zip(row, "xyz")), F.lit(float(t))) for a, row, t in zip("xyz", rotation, shift)})

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ContractError, ProvenanceError
+from ..sources.files import landed
+
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -60,9 +63,11 @@ def edge_rollup(evidence: DataFrame, pair: list[str], extra: list[str] | tuple =
 
 
 def or_blank(df: DataFrame) -> DataFrame:
-    """The table, or one row of blanks if it is empty."""
-    blank = df.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
-    return df.unionByName(blank.join(df.limit(1).select(F.lit(1).alias("__any")), F.lit(True), "left_anti"))
+    """The table, or one row of blanks if it is empty; the table is planned once."""
+    df = landed(df)
+    if df.limit(1).count():
+        return df
+    return df.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
 
 
 def waterfall(rules: list[tuple[Column, str]], last: str) -> Column:
@@ -80,31 +85,63 @@ def batches(ids: DataFrame, id_col: str, size: int) -> DataFrame:
     return global_rank(ids, id_col).withColumn("batch", F.floor(F.col("rank") / size))
 
 
-def global_rank(df: DataFrame, key: str, parts: int = 32) -> DataFrame:
-    """Zero-based rank by a unique key: quantile ranges, their counts summed, and ranks inside."""
-    cuts = df.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01)
-    bucket = F.lit(0)
-    for x in sorted(set(cuts)):
-        bucket = bucket + (F.col(key) > x).cast("int")
-    d = df.withColumn("__b", bucket)
-    before = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offset = d.groupBy("__b").agg(F.count("*").alias("n")).select("__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))  # at most parts rows
+def global_rank(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Zero-based rank by a unique key of any type: range partitions written once, their counts summed, ranks inside."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = landed(df.repartitionByRange(n, key).withColumn("__b", F.spark_partition_id()))
+    counts = sorted((r[0], r[1]) for r in d.groupBy("__b").count().collect())  # one row a partition
+    offset, rows = 0, []
+    for b, size in counts:
+        rows.append((b, offset))
+        offset += size
+    offsets = df.sparkSession.createDataFrame(rows, "__b int, __o long")
     inside = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
-    return d.withColumn("__r", inside).join(F.broadcast(offset), "__b").withColumn("rank", F.col("__o") + F.col("__r")).drop("__b", "__o", "__r")
+    return d.withColumn("__r", inside).join(F.broadcast(offsets), "__b").withColumn("rank", F.col("__o") + F.col("__r")).drop("__b", "__o", "__r")
 
 
 def verify_ledger(expected: DataFrame, observed: DataFrame) -> DataFrame:
-    """(source_id, path, status): the first violation of each file of either side."""
-    e = expected.select("source_id", "path", F.col("bytes").alias("eb"), F.col("sha256").alias("eh"))
-    o = observed.select(F.col("path").alias("opath"), F.col("bytes").alias("ob"), F.col("sha256").alias("oh"))
-    status = waterfall([(F.col("path").isNull(), "unlisted"), (F.col("opath").isNull(), "missing"), (F.col("eb") != F.col("ob"), "bytes"), (F.col("eh") != F.col("oh"), "sha256")], "verified")
-    return e.join(o, e["path"] == o["opath"], "full").select("source_id", F.coalesce("path", "opath").alias("path"), status.alias("status"))
-
-
-def scatter_add(source: DataFrame, index: str, value: str, size: int) -> DataFrame:
-    """Sums by index over 0..size-1, with zeros for indices that do not occur."""
+    """(source_id, path, status): the first violation of each file of either side.
+
+    A null is a violation, never a match: blank or repeated ids and paths, paths
+    that leave the root, files that are not there, and sizes or digests that differ
+    or are not stated. Digests count without regard to case.
+    """
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    often = lambda c: F.count("*").over(Window.partitionBy(c)) > 1
+    e = expected.select("source_id", "path", F.col("bytes").alias("eb"), F.lower("sha256").alias("eh")).withColumns({"__ids": often("source_id"), "__paths": often("path")})
+    o = observed.select(F.col("path").alias("opath"), F.col("bytes").alias("ob"), F.lower("sha256").alias("oh"))
+    listed = F.col("__ids").isNotNull()
+    outside = F.startswith("path", F.lit("/")) | F.array_contains(F.split("path", "/"), "..")
+    rules = [
+        (~listed, "unlisted"), (blank("source_id"), "no_id"), (F.col("__ids"), "duplicate_id"), (blank("path"), "no_path"), (F.col("__paths"), "duplicate_path"), (outside, "outside"),
+        (F.col("opath").isNull(), "missing"), (~F.coalesce(F.col("eb") == F.col("ob"), F.lit(False)), "bytes"), (~F.coalesce(F.col("eh") == F.col("oh"), F.lit(False)), "sha256"),
+    ]
+    rules = [(F.coalesce(c, F.lit(False)), n) for c, n in rules[:1]] + rules[1:]
+    joined = e.join(o, e["path"] == o["opath"], "full")
+    return joined.select("source_id", F.coalesce("path", "opath").alias("path"), waterfall(rules, "verified").alias("status"))
+
+
+def verified(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """(source_id, path, bytes, sha256) of a ledger that holds in every row and is not empty; else an error names the first violations."""
+    if not expected.limit(1).count():
+        raise ProvenanceError("a ledger must list files")
+    bad = verify_ledger(expected, observed).where(~F.col("status").isin("verified", "unlisted")).limit(5).collect()
+    if bad:
+        raise ProvenanceError(f"{[r.asDict() for r in bad]}")
+    return expected.select("source_id", "path", "bytes", F.lower("sha256").alias("sha256"))
+
+
+def scatter_add(source: DataFrame, index: str, value: str, size: int | None = None) -> DataFrame:
+    """Sums by index over 0..size-1, with zeros for indices that do not occur; size defaults to one more than the largest.
+
+    A null index, or one outside of the size, is an error.
+    """
+    low, high, nulls = source.agg(F.min(index), F.max(index), F.count_if(F.col(index).isNull())).first()
+    n = size if size is not None else (0 if high is None else int(high) + 1)
+    if nulls or (high is not None and (low < 0 or high >= n)):
+        raise ContractError(f"indices {low} to {high} with {nulls} nulls do not fit {n} places")
     got = source.groupBy(F.col(index).cast("long").alias("id")).agg(F.sum(value).alias("s"))
-    return source.sparkSession.range(size).join(got, "id", "left").select(F.col("id").alias("index"), F.coalesce("s", F.lit(0.0)).alias("value"))
+    return source.sparkSession.range(n).join(got, "id", "left").select(F.col("id").alias("index"), F.coalesce("s", F.lit(0.0)).alias("value"))
 
 
 def pool(vectors: DataFrame, by: list[str], vec: str) -> DataFrame:
@@ -113,8 +150,42 @@ def pool(vectors: DataFrame, by: list[str], vec: str) -> DataFrame:
     return flat.groupBy(*by, "dim").agg(F.avg(F.col("value").cast("double")).alias("mean"), F.stddev_pop(F.col("value").cast("double")).alias("std"))
 
 
+def pooled_vector(vectors: DataFrame, by: list[str], vec: str) -> DataFrame:
+    """(by, pooled): the components' means followed by their population standard deviations, as one array."""
+    each = pool(vectors, by, vec).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("p"))
+    return each.select(*by, F.concat(F.transform("p", lambda x: x["mean"]), F.transform("p", lambda x: x["std"])).alias("pooled"))
+
+
 def overlap_average(windows: DataFrame, by: list[str]) -> DataFrame:
     """Positions of several windows are averaged first, then all positions with equal weight. windows: by, start, values."""
     flat = windows.select(*by, "start", F.posexplode("values").alias("i", "value"))
     at = flat.groupBy(*by, (F.col("start") + F.col("i")).alias("position")).agg(F.avg("value").alias("value"))
     return at.groupBy(*by).agg(F.count("*").alias("positions"), F.avg("value").alias("value"))
+
+
+def overlap_average_vectors(windows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, vector) of windows (by, start, states): positions of several windows are averaged first, then all positions with equal weight."""
+    rows = windows.select(*by, "start", F.posexplode("states").alias("i", "state"))
+    flat = rows.select(*by, (F.col("start") + F.col("i")).alias("position"), F.posexplode("state").alias("dim", "value"))
+    at = flat.groupBy(*by, "position", "dim").agg(F.avg("value").alias("value"))
+    means = at.groupBy(*by, "dim").agg(F.avg("value").alias("value"))
+    each = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("p"))
+    return each.select(*by, F.transform("p", lambda x: x["value"]).alias("vector"))
+
+
+def tier_counts(views: DataFrame, column: str, tiers: list[str]) -> DataFrame:
+    """One row with the number of rows of each tier, 0 for those that do not occur, and of all rows."""
+    return views.agg(*(F.count_if(F.col(column) == t).alias(f"{t}_views") for t in tiers), F.count("*").alias("rows"))
+
+
+def sorted_pairs(pairs: DataFrame) -> DataFrame:
+    """The pair table in the order of its groups, view, region and mode."""
+    return pairs.orderBy("left_construct_group_id", "right_construct_group_id", "view", "region", "mode")
+
+
+def sorted_edges(edges: DataFrame) -> DataFrame:
+    return edges.orderBy("left_construct_group_id", "right_construct_group_id")
+
+
+def sorted_coordinates(records: DataFrame, key: str = "pdb_id") -> DataFrame:
+    return records.orderBy(key)

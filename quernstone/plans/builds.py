@@ -1,4 +1,4 @@
-"""Builds made of the operators: pocket views, structural edges and unoccupied views.
+"""Builds made of the operators: pocket views, predicted views, structural edges, unoccupied views and their manifests.
 
 All of them take and give DataFrames. Sites, picked chains, pocket atoms and
 features are used several times, so a build lands them as Parquet in the shared
@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ContractError, disjoint, mandatory, no_labels, require_none
+from ..errors import ContractError, ViewError, disjoint, mandatory, no_labels, require_none
 from ..functions import exprs as e
 from ..functions import vocab as v
+from ..operators import align, features, mapping, tables
 from ..operators import atoms as A
-from ..operators import features, tables
-from ..sources.files import landed
+from ..sources.files import ca_pdb_text, landed, utc_now
 
 COPY = ["pdb_id", "entity_id", "asym_id"]
 
@@ -148,3 +148,109 @@ def unoccupied_views(candidates: DataFrame, atoms: DataFrame, expected: DataFram
     told = tries.join(judged, "__key", "left").withColumn("ok", ok)
     done = [x.drop("__key", "__date") for x in (tables.first_fit(told, [group], order, "ok"), tables.attempts(told, [group], order, "ok"))]
     return done[0], done[1]
+
+
+def groups_of(pilot: DataFrame, order: str) -> DataFrame:
+    """The first supervised row of each group: its construct and accession."""
+    rows = pilot.where("role = 'supervised_s0'").select("construct_group_id", "construct_sha256", "construct_sequence", "uniprot_accession", order)
+    return tables.first_wins(rows, ["construct_group_id"], [order]).drop(order)
+
+
+def ca_files(chain: DataFrame, pocket: DataFrame, view: str) -> DataFrame:
+    """(construct_group_id, view, region, text, ca_count, sha256) of whole chains and pockets; both hold the group as pdb_id."""
+    out = None
+    for region, own in (("global", chain), ("pocket", pocket)):
+        text = ca_pdb_text(A.pdb_lines(A.first_ca(own, ["ord"])), A.CHAIN).select(F.col("pdb_id").alias("construct_group_id"), F.lit(view).alias("view"), F.lit(region).alias("region"), "text", "ca_count", "sha256")
+        out = text if out is None else out.unionByName(text)
+    return out
+
+
+def predicted_views(
+    pilot: DataFrame, sites: DataFrame, expected: DataFrame, atoms: DataFrame, records: DataFrame, predicted_atoms: DataFrame, views: DataFrame,
+    construct_coverage: float, identity: float, site_coverage: float, site_identity: float, plddt: float, order: str = "ord",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(view records, S2 rows, CA files) of each group: its fixed view S1 and, where a prediction can carry the site, S2.
+
+    sites and expected come from site_definitions; records are available predictions
+    (uniprot_accession, entry_id, sequence, cif_sha256), whose atoms hold the entry id
+    as pdb_id; views are the pocket views whose S1 rows are the templates. A group has
+    one record of each view, whose status is the first reason why it is not eligible.
+    A group without a site, an S1 pocket that fails, and no S2 row at all are errors.
+    """
+    key = "construct_group_id"
+    site = sites.select(key, "positions", "reference_pdb_id", "reference_protein_entity_id", F.col("protein_asym_id").alias("reference_asym_id"))
+    group = landed(mandatory(groups_of(pilot, order), site, [key], "a group without a site"))
+    fixed = group.select(F.col("reference_pdb_id").alias("pdb_id"), F.col("reference_protein_entity_id").alias("entity_id"), F.col("reference_asym_id").alias("asym_id"), F.col(key).alias("__key"))
+    s1, s1_pocket = extract(fixed, atoms, expected, v.MINIMUM_COVERAGE)
+    require_none(s1.where("gate <> 'pass'").select("pdb_id", "gate"), "fixed pockets failed")
+    files = ca_files(_keyed(atoms.where("group = 'ATOM'"), fixed), s1_pocket, "S1")
+
+    record = records.select("uniprot_accession", "entry_id", "sequence", "cif_sha256").withColumn("has_record", F.lit(True))
+    found = group.join(record, "uniprot_accession", "left").withColumn("has_record", F.coalesce("has_record", F.lit(False)))
+    aligned = mapping.with_site(found.where("has_record").withColumn("alignment", align.aligned(F.col("construct_sequence"), F.col("sequence"))))
+    aligned = landed(aligned.withColumn("mapped", mapping.mapping_gate(construct_coverage, identity, site_coverage, site_identity)))
+    passed = aligned.where("mapped")
+    best = A.longest_chain(predicted_atoms).select(F.col("pdb_id").alias("entry_id"), "entity_id", "asym_id")
+    picked_chain = landed(mandatory(passed.select(key, "entry_id"), best, ["entry_id"], "a prediction without a protein chain"))
+    chains = picked_chain.select(F.col("entry_id").alias("pdb_id"), "entity_id", "asym_id", F.col(key).alias("__key"))
+    s2, s2_pocket = extract(chains, predicted_atoms, mapping.target_names(passed, key), site_coverage)
+    mean = A.mean_plddt(A.first_ca(s2_pocket, ["ord"]), ["pdb_id"])
+    judged = s2.join(mean, "pdb_id", "left").withColumnRenamed("pdb_id", key).join(picked_chain.select(key, F.col("entity_id").alias("protein_entity_id")), key)
+    every = found.select(key, "construct_sha256", "uniprot_accession", "has_record", F.col("entry_id").alias("source_id"), "cif_sha256").join(
+        aligned.select(key, "mapped", "site_coverage", "site_identity", "site_map", mapping.metrics().alias("mapping")), key, "left"
+    ).join(judged.select(key, "gate", "mean_plddt", "protein_entity_id", F.col("asym_id").alias("protein_asym_id"), "expected_positions", "present_positions", "missing_positions"), key, "left")
+    status = mapping.view_status(F.col("has_record"), F.coalesce("mapped", F.lit(False)), F.col("gate"), F.col("mean_plddt"), plddt)
+    every = landed(every.withColumn("status", status))
+
+    good = every.where("status = 'eligible'")
+    if not good.limit(1).count():
+        raise ViewError("no predicted view is eligible")
+    own = s2_pocket.join(good.select(F.col(key).alias("pdb_id")), "pdb_id", "left_semi")
+    files = files.unionByName(ca_files(_keyed(predicted_atoms.where("group = 'ATOM'"), chains).join(good.select(F.col(key).alias("pdb_id")), "pdb_id", "left_semi"), own, "S2"))
+    made = features.pocket_features(own, s2.select("pdb_id", "coverage"), ["pdb_id"]).withColumnRenamed("pdb_id", key)
+    view = good.select(
+        key, F.col("source_id").alias("structure_id"), F.col("cif_sha256").alias("structure_sha256"), F.col("protein_entity_id").alias("entity_id"), F.col("protein_asym_id").alias("asym_id"),
+        F.col("expected_positions").alias("expected"), F.col("present_positions").alias("present"), F.col("missing_positions").alias("missing"),
+    ).join(made, key)
+    rows = mapping.override(mapping.fixed_rows(views), view, key, "S2", "alphafold_db_predicted_fixed_per_construct", v.FEATURE_NAMES)
+
+    shape = [key, "construct_sha256", "uniprot_accession", "view", "status", "source_id", "protein_entity_id", "protein_asym_id", "site_positions", "site_coverage", "site_identity", "mean_plddt"]
+    told1 = group.withColumns(
+        {"view": F.lit("S1"), "status": F.lit("eligible"), "source_id": F.col("reference_pdb_id").cast("string"), "protein_entity_id": F.col("reference_protein_entity_id"), "protein_asym_id": F.col("reference_asym_id"),
+         "site_positions": F.col("positions"), "site_coverage": F.lit(None).cast("double"), "site_identity": F.lit(None).cast("double"), "mean_plddt": F.lit(None).cast("double")}
+    ).select(*shape)
+    told2 = every.withColumns({"view": F.lit("S2"), "site_positions": F.col("expected_positions")}).select(*shape)
+    return told1.unionByName(told2), rows, files
+
+
+def view_counts(views: DataFrame) -> dict[str, int]:
+    """How many records each view and status has, as view:status; at most as many as there are statuses."""
+    return {f"{r['view']}:{r['status']}": r["count"] for r in views.groupBy("view", "status").count().orderBy("view", "status").collect()}
+
+
+def manifest(kind: str, counts: dict, inputs: dict[str, str], outputs: dict[str, bytes], parameters: dict, now: str | None = None) -> dict:
+    """What a build states about itself: counts, parameters, digests of what it read and wrote, and the feature schema.
+
+    inputs are digests by name; outputs are the bytes that are written by name.
+    """
+    import hashlib
+
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    return {
+        "schema_version": 1,
+        "kind": kind,
+        "created_utc": now or utc_now(),
+        "counts": counts,
+        "parameters": parameters,
+        "inputs": {k: {"sha256": x} for k, x in sorted(inputs.items())},
+        "outputs": {k: {"sha256": digest(x), "bytes": len(x)} for k, x in sorted(outputs.items())},
+        "feature_schema": list(v.FEATURE_NAMES),
+        "feature_schema_sha256": digest("\n".join(v.FEATURE_NAMES).encode()),
+        "information_boundary": {"site_definition_reads": "historical reference ligand coordinates only", "query_ligand_coordinates_read": False},
+    }
+
+
+def pocket_counts(views: DataFrame, sites: DataFrame) -> dict[str, int]:
+    """Counts for the manifest of pocket views, in two aggregates."""
+    tiers = tables.tier_counts(views, "mapping_tier", ["S0", "S1"]).first()
+    return {"S0_views": tiers["S0_views"], "S1_views": tiers["S1_views"], "supervised_observations": views.select("observation_id").distinct().count(), "site_definitions": sites.count()}

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as e
 from ..functions import vocab as v
-from ..operators import align, atoms, features, tables
+from ..operators import align, atoms, encoders, features, tables
+from ..sources.files import landed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -50,6 +51,11 @@ def heavy(spark: SparkSession, d: str) -> DataFrame:
     return resolved(spark, d).where(e.heavy())
 
 
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """df as a table in the shared folder where a plan reads it several times, so that its source is scanned once."""
+    return landed(df.select(*columns) if columns else df)
+
+
 def query(sql: str | None):
     def keep(f):
         QUERIES[f.__name__] = f
@@ -83,11 +89,8 @@ def heavy_filter(s, d):
  CAST(sum(CASE WHEN asym_id <> 'A' AND residue_name NOT IN ('HOH','DOD','WAT') AND element NOT IN ('H','D') THEN 1 ELSE 0 END) AS BIGINT) AS others FROM a GROUP BY 1""")
 def atom_predicates(s, d):
     a = resolved(s, d)
-    kinds = {"protein": atoms.protein_atoms(a, "1", ["A", "R"]), "ligand": atoms.ligand_atoms(a, "1", ["N"], "UNK"), "others": atoms.foreign_atoms(a, "1", "A")}
-    out = a.select("pdb_id").distinct()
-    for k, x in kinds.items():
-        out = out.join(x.groupBy("pdb_id").agg(F.count("*").alias(k)), "pdb_id", "left")
-    return out.fillna(0, list(kinds))
+    kinds = {"protein": atoms.is_protein("1", ["A", "R"]), "ligand": atoms.is_ligand("1", ["N"], "UNK"), "others": atoms.is_foreign("1", "A")}
+    return a.groupBy("pdb_id").agg(*(F.count_if(c).alias(k) for k, c in kinds.items()))
 
 
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(p_name, ' '), lambda x: x <> ''))), ';') AS ids FROM part")
@@ -110,7 +113,7 @@ _PAIRS = f"""{V}, l AS (SELECT pdb_id, asym_id AS ligand_asym_id, x AS rx, y AS
 
 
 def _pairs(s, d):
-    a = heavy(s, d)
+    a = once(heavy(s, d), "pdb_id", "entity_id", "asym_id", "seq_id", "x", "y", "z")
     return atoms.contact_pairs(a.where("asym_id in ('A', 'R')"), a.where("asym_id = 'N'"))
 
 
@@ -138,9 +141,9 @@ _CHAINS = f"""{V}, x AS (SELECT DISTINCT pdb_id, seq_id, residue_name AS en FROM
 
 
 def _picked(s, d):
-    a = v_atoms(s, d)
+    a = once(v_atoms(s, d))
     expected = a.where("asym_id = 'A'").groupBy("pdb_id", "seq_id").agg(F.min("residue_name").alias("expected_name"))
-    return atoms.pick_chain(resolved(s, d), expected, a)
+    return atoms.pick_chain(once(atoms.resolve_altlocs(a, ORDER)), expected, a)
 
 
 @query(f"{_CHAINS} SELECT pdb_id, asym_id, present, mismatches, atoms, round(coverage, 6) AS coverage, CAST(expected - present AS BIGINT) AS missing FROM pk WHERE rn = 1")
@@ -206,14 +209,14 @@ def pair_histogram(s, d):
 
 @query(f"{V}{_GRAPH} SELECT pdb_id, asym_id, {r6_sql(*_GN)} FROM gr")
 def contact_graph(s, d):
-    res = features.centroids(heavy(s, d), BY)
+    res = once(features.centroids(heavy(s, d), BY))
     return features.contact_graph(res, features.centroid_pairs(res, BY), BY).select(*BY, *r6(*_GN))
 
 
 @query(f"""{V}{_RESIDUES}{_MOM}{_GRAPH}, z AS (SELECT *, pocket_residue_count / 60 AS pocket_position_coverage, 1 - pocket_residue_count / 60 AS pocket_missing_fraction FROM aa JOIN el USING (pdb_id, asym_id) JOIN mo USING (pdb_id, asym_id) JOIN hi USING (pdb_id, asym_id) JOIN gr USING (pdb_id, asym_id))
  SELECT pdb_id, asym_id, {r6_sql(*v.FEATURE_NAMES)} FROM z""")
 def pocket_features(s, d):
-    a = heavy(s, d)
+    a = once(heavy(s, d), *BY, "seq_id", "residue_name", "element", "x", "y", "z")
     coverage = a.groupBy(*BY).agg((F.count_distinct("seq_id") / 60).alias("coverage"))
     return features.pocket_features(a, coverage, BY).select(*BY, *r6(*v.FEATURE_NAMES))
 
@@ -348,12 +351,12 @@ def attempt_log(s, d):
     return tables.attempts(c, ["o_custkey"], order, "ok").select("o_custkey", "o_orderkey", "ok")
 
 
-@query(f"""{V}, k AS (SELECT * FROM p WHERE asym_id = 'A' AND seq_id <= 10), f AS (SELECT pdb_id, x AS rx, y AS ry, z AS rz FROM p WHERE asym_id <> 'A'),
+@query(f"""{V}, k AS (SELECT * FROM p WHERE asym_id = 'A'), f AS (SELECT pdb_id, x AS rx, y AS ry, z AS rz FROM p WHERE asym_id <> 'A'),
  m AS (SELECT k.pdb_id, min(sqrt((x-rx)*(x-rx)+(y-ry)*(y-ry)+(z-rz)*(z-rz))) AS minimum FROM k JOIN f ON k.pdb_id = f.pdb_id GROUP BY 1), n AS (SELECT pdb_id, count(*) AS n FROM f GROUP BY 1)
  SELECT i.pdb_id, coalesce(n.n, 0) AS foreign_atoms, round(minimum, 6) AS minimum, minimum IS NULL OR minimum >= 1.0 AS unoccupied FROM (SELECT DISTINCT pdb_id FROM k) i LEFT JOIN m ON i.pdb_id = m.pdb_id LEFT JOIN n ON i.pdb_id = n.pdb_id""")
 def min_foreign_distance(s, d):
-    a = resolved(s, d)
-    out = atoms.least_foreign_distance(atoms.protein_atoms(a, "1", ["A"]).where("seq_id <= 10"), atoms.foreign_atoms(a, "1", "A"), ["pdb_id"], 1.0)
+    a = once(resolved(s, d))
+    out = atoms.least_foreign_distance(atoms.protein_atoms(a, "1", ["A"]), atoms.foreign_atoms(a, "1", "A"), ["pdb_id"], 1.0)
     return out.select("pdb_id", F.col("foreign").alias("foreign_atoms"), *r6("minimum"), "unoccupied")
 
 
@@ -364,22 +367,20 @@ def id_batches(s, d):
 
 @query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id, i FROM r WHERE i IN (0, n // 2, n - 1)")
 def panel_sample(s, d):
-    docs = table(s, d, "documents").select("doc_id")
-    n = docs.count()
-    return tables.global_rank(docs, "doc_id").where(F.col("rank").isin(sorted({0, n // 2, n - 1}))).select("doc_id", F.col("rank").alias("i"))
+    return encoders.panel(table(s, d, "documents").select("doc_id"), "doc_id").select("doc_id", F.col("rank").alias("i"))
 
 
 #: Documents with their stated sizes, pages that are nowhere, and items with another text's digest; turns are listed nowhere.
-_LEDGER = """WITH e AS (SELECT doc_id AS source_id, 'd/' || doc_id AS path, n_chars AS b, sha256(text) AS h FROM documents UNION ALL SELECT page_id, 'p/' || page_id, strlen(html), sha256(html) FROM pages
-  UNION ALL SELECT item_id, 'b/' || item_id, strlen(text), sha256(text || 'x') FROM benchmark),
+_LEDGER = """WITH e AS (SELECT 'd' || doc_id AS source_id, 'd/' || doc_id AS path, n_chars AS b, sha256(text) AS h FROM documents UNION ALL SELECT 'p' || page_id, 'p/' || page_id, strlen(html), sha256(html) FROM pages
+  UNION ALL SELECT 'b' || item_id, 'b/' || item_id, strlen(text), sha256(text || 'x') FROM benchmark),
  o AS (SELECT 'd/' || doc_id AS path, strlen(text) AS b, sha256(text) AS h FROM documents UNION ALL SELECT 'b/' || item_id, strlen(text), sha256(text) FROM benchmark UNION ALL SELECT 'c/' || conv_id || '/' || turn, strlen(text), sha256(text) FROM conversations)"""
 
 
 @query(f"{_LEDGER} SELECT source_id, coalesce(e.path, o.path) AS path, CASE WHEN e.path IS NULL THEN 'unlisted' WHEN o.path IS NULL THEN 'missing' WHEN e.b <> o.b THEN 'bytes' WHEN e.h <> o.h THEN 'sha256' ELSE 'verified' END AS status FROM e FULL JOIN o ON e.path = o.path")
 def ledger_verify(s, d):
     t = {n: table(s, d, n) for n in ("documents", "pages", "benchmark", "conversations")}
-    expected = t["documents"].selectExpr("doc_id AS source_id", "concat('d/', doc_id) AS path", "n_chars AS bytes", "sha2(text, 256) AS sha256")
-    expected = expected.unionAll(t["pages"].selectExpr("page_id", "concat('p/', page_id)", "octet_length(html)", "sha2(html, 256)")).unionAll(t["benchmark"].selectExpr("item_id", "concat('b/', item_id)", "octet_length(text)", "sha2(concat(text, 'x'), 256)"))
+    expected = t["documents"].selectExpr("concat('d', doc_id) AS source_id", "concat('d/', doc_id) AS path", "n_chars AS bytes", "sha2(text, 256) AS sha256")
+    expected = expected.unionAll(t["pages"].selectExpr("concat('p', page_id)", "concat('p/', page_id)", "octet_length(html)", "sha2(html, 256)")).unionAll(t["benchmark"].selectExpr("concat('b', item_id)", "concat('b/', item_id)", "octet_length(text)", "sha2(concat(text, 'x'), 256)"))
     observed = t["documents"].selectExpr("concat('d/', doc_id) AS path", "octet_length(text) AS bytes", "sha2(text, 256) AS sha256")
     observed = observed.unionAll(t["benchmark"].selectExpr("concat('b/', item_id)", "octet_length(text)", "sha2(text, 256)")).unionAll(t["conversations"].selectExpr("concat('c/', conv_id, '/', turn)", "octet_length(text)", "sha2(text, 256)"))
     return tables.verify_ledger(expected, observed)
@@ -421,9 +422,9 @@ def backbone_densify(s, d):
     return atoms.dense_backbone(resolved(s, d), BY).select(*BY, "seq_id", F.col("N.x").alias("nx"), F.col("CA.x").alias("cax"), F.col("C.x").alias("cx"), "complete")
 
 
-@query("SELECT r.i AS index, coalesce(sum(l_quantity), 0e0) AS value FROM range(1000) r(i) LEFT JOIN lineitem ON l_suppkey = r.i GROUP BY 1")
+@query("SELECT r.i AS index, coalesce(sum(l_quantity), 0e0) AS value FROM range((SELECT max(l_suppkey) + 1 FROM lineitem)) r(i) LEFT JOIN lineitem ON l_suppkey = r.i GROUP BY 1")
 def scatter_add(s, d):
-    return tables.scatter_add(table(s, d, "lineitem"), "l_suppkey", "l_quantity", 1000)
+    return tables.scatter_add(table(s, d, "lineitem"), "l_suppkey", "l_quantity")
 
 
 @query("WITH f AS (SELECT label, unnest(range(64)) AS dim, embedding FROM embeddings) SELECT label, CAST(dim AS INT) AS dim, round(avg(CAST(embedding[dim + 1] AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST(embedding[dim + 1] AS DOUBLE)), 6) AS std FROM f GROUP BY 1, 2")
@@ -463,3 +464,6 @@ def json_flatten(s, d):
 def local_alignment(s, d):
     """Each part's name against its brand and type, on whole strings."""
     return table(s, d, "part").select("p_partkey", align.aligned(F.col("p_name"), F.concat_ws(" ", "p_brand", "p_type")).alias("a")).select("p_partkey", "a.score", "a.aligned", "a.identical", "a.coverage", "a.identity")
+
+
+from . import boundary  # noqa: E402, F401  registers its queries

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import re
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import ContractError
 from ..functions import exprs as e
 from ..functions.vocab import ATOM_TAGS
+from ..runtime import ship
 
 _TOKEN = re.compile(r"""'((?:[^'\n]|'(?=\S))*)'(?=\s|$)|"((?:[^"\n]|"(?=\S))*)"(?=\s|$)|(#[^\n]*)|([^\s]+)""")
 
@@ -38,7 +40,10 @@ def tokens(text: str) -> Iterator[tuple[str, bool]]:
 
 def atom_rows(content: bytes) -> list[list[str]]:
     """The 16 columns of the only data block's atom loop, as text; a column that is not there is blank."""
-    text = (gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content).decode()
+    try:
+        text = (gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content).decode()
+    except (OSError, EOFError, zlib.error, UnicodeDecodeError) as error:
+        raise ContractError(f"a structure file is damaged: {error}") from error
     names: list[str] = []
     rows: list[list[str]] = []
     state, blocks, row = "", 0, []
@@ -85,6 +90,7 @@ def read_atoms(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 out.insert(0, "path", path)
                 yield out
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     raw = files.mapInPandas(run, f"path string, ord long, {_RAW}")
     c = F.col
