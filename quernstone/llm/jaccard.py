@@ -15,7 +15,7 @@ they do in the sketch.
 Nodes are distinct shingle sets, so copies cost nothing.  A map task sends a block
 value once, however many sets have it, and keeps a star of the others around the
 first; the reducer stars the firsts.  Values travel packed, by ranges of their
-hash.  Pairs of a star whose narrow sketches (two to four bits a shingle) are too
+hash.  Pairs of a star whose narrow sketches (one to two bits a shingle) are too
 far apart to be linked go; the others are verified on their texts.  Linked sets
 become components, and in block values of three and more sets the members that
 are still apart are compared by their narrow sketches, in chunks of bounded size,
@@ -110,8 +110,8 @@ def block_values(flat: np.ndarray, sizes: np.ndarray, blocks: np.ndarray) -> tup
 
 
 def narrow(shingles: np.ndarray) -> bytes:
-    """A parity sketch of two to four bits a shingle, a power of two."""
-    m = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    """A parity sketch of one to two bits a shingle, a power of two."""
+    m = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
     odd = np.bincount((mix(shingles, 9) & _U(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
