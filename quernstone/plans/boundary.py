@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as e
 from ..operators import atoms, encoders, ligands, mapping, records, tables
 from ..sources import cif, files, remote
+from . import builds
 from .catalogue import BY, ORDER, V, once, query, r6, resolved, table, v_atoms
 
 
@@ -457,3 +458,78 @@ def construct_table(s, d):
     text = F.upper(F.regexp_replace(F.concat("p_name", "p_type", "p_brand"), "[^A-Za-z]", ""))
     rows = table(s, d, "part").select(text.alias("group_id"), F.sha2(text, 256).alias("construct_sha256"), text.alias("sequence"))
     return files.constructs(rows).select("group_id", "construct_sha256", F.length("sequence").alias("n"))
+
+
+_PILOT = """WITH p AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'site_reference_only' ELSE 'supervised_s0' END AS role, CAST(o_custkey AS VARCHAR) AS g, 'o' || o_orderkey AS obs, o_orderkey AS ord FROM orders)"""
+
+
+def _pilot(s, d):
+    c = F.col
+    label = F.when(c("o_orderkey") % 4 == 0, F.when(c("o_orderkey") % 8 == 0, "").otherwise(F.lit(None).cast("string"))).otherwise("5")
+    return table(s, d, "orders").select(
+        F.when(c("o_orderkey") % 4 == 0, "site_reference_only").otherwise("supervised_s0").alias("role"), c("o_custkey").cast("string").alias("construct_group_id"), F.concat(F.lit("o"), "o_orderkey").alias("observation_id"),
+        label.alias("pKd"), label.alias("value_nm"), F.lit("h").alias("construct_sha256"), F.concat(F.lit("M"), "o_orderkey").alias("construct_sequence"), F.lit("P").alias("uniprot_accession"), c("o_orderkey").alias("ord"),
+    )
+
+
+@query(f"{_PILOT} SELECT g AS construct_group_id, obs AS observation_id FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ord DESC) AS k FROM p WHERE role = 'site_reference_only') WHERE k = 1")
+def reference_rows(s, d):
+    return builds.reference_rows(_pilot(s, d), "ord").select("construct_group_id", "observation_id")
+
+
+@query(f"{_PILOT} SELECT g AS construct_group_id, 'M' || ord AS construct_sequence FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ord) AS k FROM p WHERE role = 'supervised_s0') WHERE k = 1")
+def group_representatives(s, d):
+    return builds.groups_of(_pilot(s, d), "ord").select("construct_group_id", "construct_sequence")
+
+
+_SITES = f"""{V}, l AS (SELECT pdb_id, asym_id AS ligand_asym_id, x AS rx, y AS ry, z AS rz FROM p WHERE asym_id = 'N' AND residue_name = 'UNK'), q AS (SELECT pdb_id, asym_id AS protein_asym_id, seq_id, residue_name, x, y, z FROM p WHERE asym_id IN ('A','R')),
+ h AS (SELECT q.pdb_id, protein_asym_id, ligand_asym_id, seq_id, sqrt((x-rx)*(x-rx)+(y-ry)*(y-ry)+(z-rz)*(z-rz)) AS d FROM q JOIN l ON q.pdb_id = l.pdb_id),
+ g AS (SELECT pdb_id, protein_asym_id, ligand_asym_id, list_sort(list_distinct(list(seq_id))) AS positions, count(*) AS pairs, min(d) AS md FROM h WHERE d <= 9.0 GROUP BY ALL),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pdb_id ORDER BY len(positions) DESC, pairs DESC, md, protein_asym_id, ligand_asym_id) AS k FROM g) WHERE k = 1)"""
+
+
+def _site_build(s, d):
+    a = once(resolved(s, d))
+    refs = a.select("pdb_id").distinct().select(
+        F.concat(F.lit("g"), "pdb_id").alias("construct_group_id"), "pdb_id", F.lit("1").alias("protein_entity_id"), F.lit("R;A").alias("protein_asym_ids"), F.lit("1").alias("ligand_entity_id"),
+        F.lit("N").alias("ligand_asym_ids"), F.lit("UNK").alias("ligand_comp_id"),
+    )
+    return builds.site_definitions(refs, a, 9.0)
+
+
+@query(f"{_SITES} SELECT 'g' || pdb_id AS construct_group_id, protein_asym_id, array_to_string(positions, ';') AS positions, pairs AS contact_atom_pairs, round(md, 6) AS minimum FROM b")
+def site_definitions(s, d):
+    sites, _ = _site_build(s, d)
+    return sites.select("construct_group_id", "protein_asym_id", F.array_join("positions", ";").alias("positions"), "contact_atom_pairs", F.round("minimum_distance_angstrom", 6).alias("minimum"))
+
+
+@query(f"""{_SITES}, w AS (SELECT pdb_id, protein_asym_id, unnest(positions) AS seq_id FROM b), c AS (SELECT w.pdb_id, w.seq_id, q.residue_name, count(*) AS n FROM w JOIN q ON q.pdb_id = w.pdb_id AND q.protein_asym_id = w.protein_asym_id AND q.seq_id = w.seq_id GROUP BY ALL)
+ SELECT 'g' || pdb_id AS pdb_id, seq_id, residue_name AS expected_name FROM (SELECT *, row_number() OVER (PARTITION BY pdb_id, seq_id ORDER BY n DESC, residue_name) AS k FROM c) WHERE k = 1""")
+def site_names(s, d):
+    return _site_build(s, d)[1].select("pdb_id", "seq_id", "expected_name")
+
+
+_MEASURED = f"""WITH g AS (SELECT s_suppkey AS g, s_nationkey AS view, s_acctbal FROM supplier WHERE s_acctbal > 0), p AS (SELECT a.g AS l, b.g AS r, a.view FROM g a JOIN g b ON a.view = b.view AND a.g < b.g),
+ m AS (SELECT p.*, region, mode, (l * 7 + r * 13) % 100 / 100e0 AS tm, (l + r) % 60 AS aligned, ((l + r) % 60) / CAST(least(l % 90 + 10, r % 90 + 10) AS DOUBLE) AS fraction, CAST((l + r + length(mode)) % 8 AS DOUBLE) AS rmsd FROM p CROSS JOIN {_MODES}),
+ e AS (SELECT * FROM m WHERE tm >= 0.5 AND aligned >= 10 AND fraction >= 0.5 AND (region = 'global' OR rmsd <= 4))"""
+
+
+def _edges(s, d):
+    sup = table(s, d, "supplier")
+    views = sup.select(F.col("s_suppkey").alias("construct_group_id"), F.col("s_nationkey").alias("view"), F.when(F.col("s_acctbal") > 0, "eligible").otherwise("no").alias("status"))
+    x = _pair_rows(s, d).withColumns({"l": F.col("left_construct_group_id"), "r": F.col("right_construct_group_id")})
+    tm = (F.col("l") * 7 + F.col("r") * 13) % 100 / 100
+    figures = {"tm_1": tm, "tm_2": tm - 0.25, "length_1": F.col("l") % 90 + 10, "length_2": F.col("r") % 90 + 10, "aligned": (F.col("l") + F.col("r")) % 60, "rmsd": ((F.col("l") + F.col("r") + F.length("mode")) % 8).cast("double")}
+    return builds.structure_edges(views, x.withColumns(figures).drop("l", "r"), ["sequential", "fully_nonsequential"], (0.5, 10, 0.5), (0.5, 10, 0.5, 4.0))
+
+
+@query(f"{_MEASURED} SELECT l AS left_construct_group_id, r AS right_construct_group_id, view, region, mode, round(tm, 6) AS max_tm, round(fraction, 6) AS aligned_fraction, tm >= 0.5 AND aligned >= 10 AND fraction >= 0.5 AND (region = 'global' OR rmsd <= 4) AS edge FROM m")
+def structure_pairs(s, d):
+    return _edges(s, d)[0].select("left_construct_group_id", "right_construct_group_id", "view", "region", "mode", *r6("max_tm", "aligned_fraction"), "edge")
+
+
+@query(f"""{_MEASURED}, k AS (SELECT *, row_number() OVER (PARTITION BY l, r ORDER BY tm DESC, rmsd, view, region, mode) AS k FROM e), o AS (SELECT l AS left_construct_group_id, r AS right_construct_group_id, count(*) AS evidence, array_to_string(list_sort(list_distinct(list(region))), ';') AS regions, round(max(tm), 6) AS best_tm, max(CASE WHEN k = 1 THEN rmsd END) AS best_rmsd FROM k GROUP BY 1, 2)
+ SELECT * FROM o UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM o)""")
+def structure_edges(s, d):
+    """Edges, or one blank row where there are none."""
+    return _edges(s, d)[1].select("left_construct_group_id", "right_construct_group_id", "evidence", "regions", *r6("best_tm"), "best_rmsd")

@@ -261,8 +261,8 @@ def edge_predicate(s, d):
     return _evidence(s, d).select("left_g", "right_g", "view", "region", "mode", *r6("max_tm", "aligned_fraction"), "edge")
 
 
-@query(f"""{_EDGE}, r AS (SELECT *, row_number() OVER (PARTITION BY left_g, right_g ORDER BY max_tm DESC, rmsd, view, region, mode) AS k FROM e WHERE edge)
- SELECT left_g, right_g, count(*) AS evidence, array_to_string(list_sort(list_distinct(list(CAST(view AS VARCHAR)))), ';') AS views, array_to_string(list_sort(list_distinct(list(region))), ';') AS regions, array_to_string(list_sort(list_distinct(list(mode))), ';') AS modes, round(max(CASE WHEN k = 1 THEN max_tm END), 6) AS best_tm, max(CASE WHEN k = 1 THEN rmsd END) AS best_rmsd FROM r GROUP BY 1, 2""")
+@query(f"""{_EDGE}, r AS (SELECT *, row_number() OVER (PARTITION BY left_g, right_g ORDER BY max_tm DESC, rmsd, view, region, mode) AS k FROM e WHERE edge), o AS (SELECT left_g, right_g, count(*) AS evidence, array_to_string(list_sort(list_distinct(list(CAST(view AS VARCHAR)))), ';') AS views, array_to_string(list_sort(list_distinct(list(region))), ';') AS regions, array_to_string(list_sort(list_distinct(list(mode))), ';') AS modes, round(max(CASE WHEN k = 1 THEN max_tm END), 6) AS best_tm, max(CASE WHEN k = 1 THEN rmsd END) AS best_rmsd FROM r GROUP BY 1, 2)
+ SELECT * FROM o UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM o)""")
 def edge_rollup(s, d):
     ev = _evidence(s, d).where("edge").withColumn("view", F.col("view").cast("string"))
     return tables.or_blank(tables.edge_rollup(ev, ["left_g", "right_g"])).withColumn("best_tm", F.round("best_tm", 6))
