@@ -389,7 +389,10 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
     Null and empty texts have no bytes; texts shorter than length keep all.  Rows
-    may repeat, ids may repeat or be null; an empty table gives an empty result.
+    may repeat, and then all of their long strings do; ids may repeat or be null;
+    every occurrence goes, so there are no ties.  An empty table gives an empty
+    result; other columns are ignored.  A text is worked on whole, in memory of some
+    sixty times its size.
     """
     found = find_repeats(with_rid(docs.select("doc_id", "text")), length).select("doc_id", "text", "runs")
 

@@ -169,7 +169,8 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, ord
     rows, each of which counts; an empty table gives none; other columns are
     ignored.  N-grams are told apart by 64-bit hashes.  docs is read three times and
     must give the same rows in the same partitions each time, as a table in files
-    does; else write it first.  Slices that differ end the job with an error.
+    does; else write it first.  Slices that differ end the job with an error.  A text
+    is worked on whole, in memory of some forty times its size.
     """
     c.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))

@@ -31,7 +31,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """(id, text) of rows with packed ids; null ids give an empty text."""
+    """(id, text) of rows with packed ids; null ids give an empty text, repeated rows repeated rows, an empty table an empty result."""
     c.ship(encoded.sparkSession)
 
     def run(batches):
@@ -44,7 +44,12 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def roundtrip_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Encode and decode in one pass and keep digests only, so that ids need not be written."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass and keep digests only, so that ids need not be written.
+
+    A null or empty text has no ids and decodes to nothing; repeated rows give
+    repeated rows; an empty table gives an empty result; other columns are ignored.
+    A text is worked on whole, in memory of some twenty times its size.
+    """
     c.ship(docs.sparkSession)
 
     def run(batches):
