@@ -141,7 +141,7 @@ def ask(rows: DataFrame, buckets: int, order: int) -> DataFrame:
             for i in range(0, len(cuts), 1024):
                 spans = cuts[i : i + 1024]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([n] * len(spans)), pa.array([bucket[s] for s, _ in spans], pa.int64()), pa.array([c.packc.numbers(c.steps(hashes[s:e])) for s, e in spans], pa.binary()), pa.array([c.packc.numbers(counts[s:e]) for s, e in spans], pa.binary())],
+                    [pa.array([n] * len(spans)), pa.array([bucket[s] for s, _ in spans], pa.int64()), pa.array([c.pack_numbers(c.steps(hashes[s:e])) for s, e in spans], pa.binary()), pa.array([c.pack_numbers(counts[s:e]) for s, e in spans], pa.binary())],
                     ["slice", "bucket", "hashes", "counts"],
                 )
 
@@ -157,7 +157,7 @@ def answer(asked: DataFrame) -> DataFrame:
         counts = np.concatenate([c.numbers(x) for x in t.column("counts").to_pylist()])
         sums = np.bincount(which, weights=counts).astype(np.int64)[which]
         back = np.split(sums, np.cumsum([len(x) for x in parts])[:-1])
-        return pa.table({"slice": t.column("slice"), "bucket": t.column("bucket"), "counts": pa.array([c.packc.numbers(x) for x in back], pa.binary())})
+        return pa.table({"slice": t.column("slice"), "bucket": t.column("bucket"), "counts": pa.array([c.pack_numbers(x) for x in back], pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, "slice long, bucket long, counts binary")
 
@@ -207,6 +207,34 @@ def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, ord
     return out.withColumn("lm_score", F.round("lm_score", 4))
 
 
+def score_by_rows(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same scores with one row an n-gram: exploded n-grams, a count table for each length, joins, and sums by document.
+
+    It takes DataFrame functions only, and is what score() is tested against.  Its
+    shuffles are many times the input (see README), so it is for small corpora.  n-grams
+    are told apart by 64-bit hashes; ids must be unique, as sums go by id.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\s\x0B]+"), lambda x: x != "")
+    texts = docs.select(F.col(id_col).alias("doc_id"), words.alias("w"))
+    at = texts.select("doc_id", "w", F.posexplode("w").alias("i", "word")).drop("word")
+    gram = lambda k: F.when(F.col("i") >= k, F.xxhash64(F.lit(k), F.slice("w", F.col("i") - k + 1, F.lit(k + 1))))
+    held = lambda k: F.when(F.col("i") >= k, F.xxhash64(F.lit(k - 1), F.slice("w", F.col("i") - k + 1, F.lit(k))))
+    grams = at.select("doc_id", "i", *(gram(k).alias(f"g{k}") for k in range(order)), *(held(k).alias(f"c{k}") for k in range(1, order)))
+    total = grams.count()
+    counts = [grams.where(f"g{k} is not null").groupBy(F.col(f"g{k}").alias("gram")).agg(F.count("*").alias("n")) for k in range(order)]
+    told, score = grams, None
+    for k, table in enumerate(counts):
+        told = told.join(table.select(F.col("gram").alias(f"g{k}"), F.col("n").alias(f"n{k}")), f"g{k}", "left")
+        if k:
+            told = told.join(counts[k - 1].select(F.col("gram").alias(f"c{k}"), F.col("n").alias(f"m{k}")), f"c{k}", "left")
+            longer = F.when(F.col(f"n{k}") >= min_count, F.log(F.col(f"n{k}") / F.col(f"m{k}"))).otherwise(F.lit(math.log(alpha)) + score)
+            score = F.when(F.col("i") >= k, longer).otherwise(score)
+        else:
+            score = F.log(F.col("n0") / total)
+    sums = told.groupBy("doc_id").agg(F.sum(score).alias("s"))
+    return texts.join(sums, "doc_id", "left").select("doc_id", F.size("w").cast("long").alias("n_words"), F.round(F.coalesce("s", F.lit(0.0)), 4).alias("lm_score"))
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(c.table(spark, sf_dir, "documents"))
 

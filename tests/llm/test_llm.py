@@ -317,6 +317,13 @@ def test_lm_against_counting(spark, docs, monkeypatch, order, slice_bytes):
     assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-3)
 
 
+@pytest.mark.parametrize("order", [1, 3])
+def test_lm_packed_equals_rows(spark, docs, order):
+    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    a, b = ({r.doc_id: (r.n_words, r.lm_score) for r in run(own, order=order).collect()} for run in (lm.score, lm.score_by_rows))
+    assert set(a) == set(b) and all(a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], abs=2e-3) for k in a)
+
+
 def test_language(spark):
     df = spark.createDataFrame([(i, words(20) if i % 2 else words(20).translate(str.maketrans("abcde", "ßüökx")).upper(), "en" if i % 2 else "de") for i in range(80)] + [(900, None, "en"), (901, "12 !", "en"), (902, "", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.predict(df).collect()}
