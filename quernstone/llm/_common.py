@@ -42,6 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Tables that have been written and not deleted, in order.
+_settled: list[DataFrame] = []
+
+
 def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -58,6 +62,7 @@ def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
+    _settled.append(out)
     return out
 
 
@@ -67,6 +72,17 @@ def drop(*tables: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.settled_at)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _settled[:] = [x for x in _settled if x is not df]
+
+
+def mark() -> int:
+    """How many tables there are; for release()."""
+    return len(_settled)
+
+
+def release(since: int, keep: DataFrame) -> None:
+    """Delete the tables written since a mark, but one: its own plan reads nothing else any more."""
+    drop(*(x for x in _settled[since:] if x is not keep))
 
 
 def lookup(df: DataFrame, found: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
