@@ -88,7 +88,9 @@ STAGES = [("language", language), ("near_copies", near_copies), ("repeated_passa
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
+        since = _common.mark()
         docs = _common.settle(stage(spark, docs, sf_dir))
+        _common.release(since, docs)
         if spent is not None:  # its successor has been written
             _common.drop(spent)
         spent = docs
