@@ -62,12 +62,17 @@ def mandatory(df: DataFrame, other: DataFrame, on: list[str], message: str) -> D
     return joined.withColumn(mark, found).where(mark).drop(mark)
 
 
-def no_labels(df: DataFrame, *labels: str) -> None:
-    """References must carry no label; every row is looked at, and "0" counts as a label."""
+def labelled(*labels: str) -> Column:
+    """Whether a row carries any label; "0" counts as one."""
     any_label = F.lit(False)
     for c in labels:
         any_label = any_label | (F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
-    require_none(df.where(any_label), "labels on reference rows")
+    return any_label
+
+
+def no_labels(df: DataFrame, *labels: str) -> None:
+    """References must carry no label; every row is looked at."""
+    require_none(df.where(labelled(*labels)), "labels on reference rows")
 
 
 def disjoint(left: DataFrame, right: DataFrame, on: list[str], message: str) -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..errors import EncoderError, ViewError
+from ..errors import EncoderError, ViewError, finite_array
 from ..functions import exprs as e
 from ..runtime import ship
 from .tables import global_rank, overlap_average_vectors
@@ -54,7 +54,8 @@ def states(segments: DataFrame, key: str, factory: Callable[[], Callable[[str],
 
 def encode_sequences(sequences: DataFrame, key: str, factory: Callable[[], Callable[[str], np.ndarray]], dim: int, size: int, overlap: int) -> DataFrame:
     """(key, vector): residues of several windows are averaged first, then all residues with equal weight."""
-    return overlap_average_vectors(states(windows(sequences, size, overlap), key, factory, dim), [key])
+    out = overlap_average_vectors(states(windows(sequences, size, overlap), key, factory, dim), [key])
+    return out.withColumn("vector", finite_array("vector", dim))
 
 
 def encode_structures(sites: DataFrame, backbone: DataFrame, by: list[str], factory: Callable[[], Callable[[np.ndarray], np.ndarray]], dim: int) -> DataFrame:

@@ -72,11 +72,16 @@ def all_identifiers(found: DataFrame) -> DataFrame:
     return found.select(F.explode("identifiers").alias("pdb_id")).distinct()
 
 
+def missing(requested: DataFrame, returned: DataFrame, key: str) -> DataFrame:
+    """The requested ids that did not come back."""
+    return requested.select(key).join(returned.select(key), key, "left_anti")
+
+
 def entries_of(found: DataFrame, entries: DataFrame) -> DataFrame:
     """(accession, pdb_id, entry): the entries of each accession's identifiers; one that is not there is an error, an accession without any gives no row."""
     wanted = found.select("accession", F.explode_outer("identifiers").alias("pdb_id")).where("pdb_id is not null")
     have = entries.select(F.upper("rcsb_id").alias("pdb_id"), F.struct(*entries.columns).alias("entry")).groupBy("pdb_id").agg(F.max_by("entry", F.col("entry.rcsb_id")).alias("entry"))
-    require_none(wanted.select("pdb_id").distinct().join(have, "pdb_id", "left_anti"), "entries that a search named are missing", 20)
+    require_none(missing(wanted.distinct(), have, "pdb_id"), "entries that a search named are missing", 20)
     return wanted.join(have, "pdb_id")
 
 

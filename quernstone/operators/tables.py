@@ -189,3 +189,9 @@ def sorted_edges(edges: DataFrame) -> DataFrame:
 
 def sorted_coordinates(records: DataFrame, key: str = "pdb_id") -> DataFrame:
     return records.orderBy(key)
+
+
+def tiered(df: DataFrame, tiers: dict[str, dict[str, Column]], keep: list[str]) -> DataFrame:
+    """One row of each tier for every row, the first tier first: keep, tier, and the tier's own columns, in one pass."""
+    options = F.array(*(F.struct(F.lit(t).alias("tier"), *(x.alias(c) for c, x in own.items())) for t, own in tiers.items()))
+    return df.select(*keep, F.explode(options).alias("__t")).select(*keep, "__t.*")

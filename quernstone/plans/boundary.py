@@ -12,7 +12,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import exprs as e
+from ..functions import schemas
 from ..operators import atoms, encoders, ligands, mapping, records, tables
 from ..sources import cif, files, remote
 from . import builds
@@ -533,3 +533,24 @@ def structure_pairs(s, d):
 def structure_edges(s, d):
     """Edges, or one blank row where there are none."""
     return _edges(s, d)[1].select("left_construct_group_id", "right_construct_group_id", "evidence", "regions", *r6("best_tm"), "best_rmsd")
+
+
+@query(f"{V} SELECT CAST(pdb_id AS VARCHAR) AS pdb_id, entity_id, asym_id, seq_id, atom_name, alt_id, residue_name, element, \"group\", occupancy, b_factor, x, y, z, CAST(NULL AS VARCHAR) AS auth_asym_id, CAST(NULL AS VARCHAR) AS auth_seq_id, k1 AS ord FROM a")
+def atom_records(s, d):
+    return schemas.conform(resolved(s, d).withColumn("ord", F.col("k1")), schemas.ATOM, ("auth_asym_id", "auth_seq_id"))
+
+
+_CANDIDATES = """WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS accession, o_orderkey, CASE WHEN o_totalprice < 300000 THEN round(o_totalprice / 100000e0, 2) END AS resolution, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS release_date, o_orderstatus = 'F' AS ok FROM orders),
+ r AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY resolution, CASE WHEN release_date = '' THEN '9999-99-99' ELSE release_date END, o_orderkey) AS rank FROM c WHERE resolution <= 2.8), f AS (SELECT accession, min(rank) AS first FROM r WHERE ok GROUP BY 1)"""
+
+
+@query(f"{_CANDIDATES} SELECT r.accession, o_orderkey, ok FROM r LEFT JOIN f ON r.accession = f.accession WHERE first IS NULL OR rank <= first")
+def candidate_attempts(s, d):
+    """Candidates by resolution, date (a blank one last) and id, up to and including the first that fits."""
+    c = F.col
+    rows = table(s, d, "orders").select(
+        c("o_custkey").cast("string").alias("accession"), "o_orderkey", F.when(c("o_totalprice") < 300000, F.round(c("o_totalprice") / 100000, 2)).alias("resolution"),
+        F.when(c("o_orderkey") % 3 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("").alias("release_date"), (c("o_orderstatus") == "F").alias("ok"),
+    )
+    near, order = builds.ranked_candidates(rows, 2.8, ["o_orderkey"])
+    return tables.attempts(near, ["accession"], order, "ok").select("accession", "o_orderkey", "ok")

@@ -124,6 +124,12 @@ def structure_edges(views: DataFrame, measured: DataFrame, modes: list[str], who
     return pairs, tables.or_blank(tables.edge_rollup(pairs.where("edge"), on[:2], ["aligned", "aligned_fraction"]))
 
 
+def ranked_candidates(candidates: DataFrame, cap: float, then: list[str]) -> tuple[DataFrame, list[Column]]:
+    """Candidates whose resolution is stated and within the cap, and their order: resolution, date (a blank one last), then the columns named."""
+    date = F.coalesce(F.nullif(F.col("release_date"), F.lit("")), F.lit("9999-99-99"))
+    return candidates.where(F.col("resolution") <= cap).withColumn("__date", date), [F.col(c) for c in ("resolution", "__date", *then)]
+
+
 def unoccupied_views(candidates: DataFrame, atoms: DataFrame, expected: DataFrame, radius: float, minimum: float = v.MINIMUM_COVERAGE, cap: float = v.RESOLUTION_CAP) -> tuple[DataFrame, DataFrame]:
     """(selected, attempts): the first candidate chain of each group whose pocket is whole and has no foreign atom near.
 
@@ -132,9 +138,8 @@ def unoccupied_views(candidates: DataFrame, atoms: DataFrame, expected: DataFram
     resolution, date (a blank one last), structure and entity, chains by their place.
     """
     group = "construct_group_id"
-    date = F.coalesce(F.nullif(F.col("release_date"), F.lit("")), F.lit("9999-99-99"))
-    order = [F.col("resolution"), F.col("__date"), F.col("pdb_id"), F.col("entity_id"), F.col("place")]
-    tries = candidates.where(F.col("resolution") <= cap).withColumn("__date", date).select("*", F.posexplode("asym_ids").alias("place", "asym_id")).drop("asym_ids")
+    near, order = ranked_candidates(candidates, cap, ["pdb_id", "entity_id", "place"])
+    tries = near.select("*", F.posexplode("asym_ids").alias("place", "asym_id")).drop("asym_ids")
     tries = tries.withColumn("__key", F.to_json(F.struct(group, "pdb_id", "entity_id", "asym_id")))
     chains = tries.select(*COPY, "__key").distinct()
     named = tries.select("__key", F.col(group).alias("pdb_id")).distinct().join(expected, "pdb_id").select(F.col("__key").alias("pdb_id"), "seq_id", "expected_name")

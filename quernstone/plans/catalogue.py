@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import errors
 from ..functions import exprs as e
 from ..functions import vocab as v
-from ..operators import align, atoms, encoders, features, tables
+from ..operators import align, atoms, encoders, features, records, tables
 from ..sources.files import landed
 
 QUERIES: dict = {}
@@ -224,8 +225,7 @@ def pocket_features(s, d):
 @query("SELECT o_orderkey, tier, CASE WHEN tier = 'S0' THEN o_totalprice ELSE round(c_acctbal, 6) END AS value FROM orders JOIN customer ON o_custkey = c_custkey CROSS JOIN (VALUES ('S0'), ('S1')) t(tier)")
 def two_tier_views(s, d):
     o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    both = F.explode(F.array(F.struct(F.lit("S0").alias("tier"), F.col("o_totalprice").alias("value")), F.struct(F.lit("S1").alias("tier"), F.round("c_acctbal", 6).alias("value"))))
-    return o.select("o_orderkey", both.alias("t")).select("o_orderkey", "t.*")
+    return tables.tiered(o, {"S0": {"value": F.col("o_totalprice")}, "S1": {"value": F.round("c_acctbal", 6)}}, ["o_orderkey"])
 
 
 @query("SELECT o_orderkey, o_custkey, 'S2' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderstatus = 'F'")
@@ -235,7 +235,7 @@ def template_override(s, d):
 
 @query("SELECT role, count(*) AS n, CAST(sum(CASE WHEN coalesce(text, '') <> '' THEN 1 ELSE 0 END) AS BIGINT) AS labelled FROM conversations GROUP BY 1")
 def quarantine_check(s, d):
-    return table(s, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.coalesce("text", F.lit("")) != "").alias("labelled"))
+    return table(s, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(errors.labelled("text")).alias("labelled"))
 
 
 _EDGE = """WITH s AS (SELECT s_suppkey AS g, s_nationkey AS view, s_suppkey % 90 + 10 AS len FROM supplier),
@@ -388,7 +388,7 @@ def ledger_verify(s, d):
 
 @query("SELECT doc_id FROM documents ANTI JOIN labels ON documents.doc_id = labels.doc_id")
 def missing_ids(s, d):
-    return table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    return records.missing(table(s, d, "documents"), table(s, d, "labels"), "doc_id")
 
 
 @query("SELECT doc_id, array_to_string(CASE WHEN n_chars <= 1022 THEN [0] ELSE list_sort(list_distinct(list_concat(range(0, n_chars - 1022 + 1, 766), [n_chars - 1022]))) END, ';') AS starts FROM documents")

@@ -278,6 +278,19 @@ def test_aligner_process(spark, tmp_path):
         encoders.aligner_row(spark.createDataFrame([("a b c",)], "stdout string")).collect()
 
 
+def test_record_types(spark):
+    from quernstone.functions import schemas
+
+    df = spark.createDataFrame([("x", "s", "1", "a", "z")], "path string, sha256 string, bytes string, source_id string, more string")
+    out = schemas.conform(df, schemas.FILE)
+    assert out.schema.simpleString() == schemas.FILE.simpleString() and out.first() == ("a", "x", 1, "s")
+    with pytest.raises(ContractError):
+        schemas.conform(df.drop("path"), schemas.FILE)
+    assert schemas.conform(df.drop("path"), schemas.FILE, ("path",)).first().path is None
+    with pytest.raises(Exception, match="x1"):
+        schemas.conform(df.withColumn("bytes", F.lit("x1")), schemas.FILE).collect()
+
+
 def test_mapped_sites(spark):
     df = spark.createDataFrame([([1, 2, 9], {1: 2, 2: 3}, "AC", "XAD")], "positions array<int>, pairs map<int,int>, construct_sequence string, sequence string").withColumn("alignment", F.struct("pairs"))
     r = mapping.with_site(df).first()
