@@ -31,8 +31,11 @@ PIECE = "id long, start long, length int, ids_crc32 long, doc_tokens long"
 def spfhp(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """(count, lengths) of packing patterns.
 
-    Lengths go longest first; each takes the shortest pack with room, that is the
-    one with most room left, splitting a pattern's count where it is not used up.
+    Lengths go longest first; each goes into the shortest pack with room, that is the
+    one with most room left, as often as it fits there, and a pattern's count is split
+    where it is not used up.  Copies that no pack has room for open new packs, again
+    with as many as fit, so that a length which most pieces have fills its packs.  A
+    step adds at most three patterns.
     """
     by_room: dict[int, list[list]] = {}
     rooms: list[int] = []  # as a heap, most room first
@@ -43,16 +46,21 @@ def spfhp(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int
             room = -rooms[0]
             held = by_room[room]
             count, pattern = held.pop()
-            used = min(count, left)
-            left -= used
+            copies = min(room // length, left)
+            used = min(count, left // copies)
+            left -= used * copies
             if count > used:
                 held.append([count - used, pattern])
             if not held:
                 heapq.heappop(rooms)
                 del by_room[room]
-            fresh.append((room - length, [used, (*pattern, length)]))
+            fresh.append((room - length * copies, [used, (*pattern, *(length,) * copies)]))
+        copies = capacity // length
+        if left >= copies:
+            fresh.append((capacity - length * copies, [left // copies, (length,) * copies]))
+            left %= copies
         if left:
-            fresh.append((capacity - length, [left, (length,)]))
+            fresh.append((capacity - length * left, [1, (length,) * left]))
         for room, x in fresh:
             if room not in by_room:
                 by_room[room] = []
@@ -82,8 +90,9 @@ def place_ranked(pieces: DataFrame, capacity: int, bucket_rows: int = BUCKET_ROW
     Ranks are made of counts per (length, bucket of the id's hash) and row numbers
     inside; a length has as many buckets as its count needs.  The driver holds the
     histogram (capacity rows), one row a bucket (the pieces over bucket_rows, and
-    capacity) and the patterns' places, at most capacity for each length; these are
-    what is broadcast.
+    capacity) and the places of the patterns, of which there are at most three for
+    each length (some thousands of places on real lengths); these are what is
+    broadcast.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}

@@ -254,13 +254,21 @@ def test_packing(spark, docs):
         mine = sorted((r.start, r.length, r.ids_crc32) for r in out if r.doc_id == i and r.doc_tokens == len(ids))
         want = [(a, len(ids[a : a + 128]), zlib.crc32(ids[a : a + 128].tobytes())) for a in range(0, len(ids), 128)]
         assert set(mine) == set(want)
-    hist = {5: 7, 3: 11, 8: 2, 1: 4}
-    got = {}
-    for n, p in pack.spfhp(hist, 8):
-        assert sum(p) <= 8
-        for x in p:
-            got[x] = got.get(x, 0) + n
-    assert got == hist
+    for hist, capacity, most in (({5: 7, 3: 11, 8: 2, 1: 4}, 8, 12), ({300: 10_000}, 1024, 3334), ({1: 5000}, 1024, 5), ({500: 101, 24: 10}, 1024, 51), ({400: 1000, 350: 900, 120: 4000, 1: 500}, 1024, 1280)):
+        got = Counter()
+        patterns = pack.spfhp(hist, capacity)
+        for n, p in patterns:
+            assert n > 0 and sum(p) <= capacity
+            for x in p:
+                got[x] += n
+        assert got == hist and sum(n for n, _ in patterns) <= most
+        spots = sorted((length, rank, n) for length, rank, n, *_ in pack.places(patterns))
+        for length, total in hist.items():  # every rank of a length has one place
+            at = 0
+            for _, rank, n in (x for x in spots if x[0] == length):
+                assert rank == at
+                at += n
+            assert at == total
 
 
 def test_sharding(spark, docs):
