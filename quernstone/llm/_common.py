@@ -86,7 +86,7 @@ def release(since: int, keep: DataFrame) -> None:
 
 
 def lookup(df: DataFrame, found: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """df joined with found (one row a key) by key; rows of a hot key are dealt over SALT tasks by the column by."""
+    """df joined with found by key; rows of a hot key in df are dealt over SALT tasks by the column by, and found goes to each of them."""
     salt = "__salt"
     many = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return df.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(many.hint("merge"), [key, salt], how).drop(salt)

@@ -273,7 +273,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             right = pa.array(own == b.column(0).to_numpy())  # an id can have several texts
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["node", "z"]).filter(right)
 
-    return c.settle(docs.mapInArrow(_pack, "id long, z binary").join(wanted.hint("merge"), "id").select("node", "z").mapInArrow(run, "node long, z binary"))
+    return c.settle(c.lookup(docs.mapInArrow(_pack, "id long, z binary"), wanted, "id", "z").select("node", "z").mapInArrow(run, "node long, z binary"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -463,7 +463,9 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, chunk: int
     stars = rows.where(F.col("kind") == STAR).select("key", "a", "b")
     pairs = c.settle(stars.select("a", "b").distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = c.settle(docs_rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
+    # copies are one node, which may stand for most rows: they are counted before they are joined
+    each = docs_rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    known = c.settle(each.join(nodes.hint("merge"), "node", "left_semi"))
 
     def verified(near: DataFrame) -> DataFrame:
         ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -489,7 +491,7 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, chunk: int
         if not again:
             break
     c.drop(pairs, known)
-    low = docs_rows.select("node", "id", "n_shingles").join(labels.select("node", "label"), "node", "left").select("node", "id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    low = c.lookup(docs_rows.select("node", "id", "n_shingles"), labels.select("node", "label"), "node", "id", "left").select("node", "id", "n_shingles", F.coalesce("label", "node").alias("label"))
     alone = F.col("n_shingles") == 0
     least = low.where(~alone).groupBy("label").agg(F.min("id").alias("least"))
     full = c.lookup(low, least, "label", "id", "left").select("id", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"))
