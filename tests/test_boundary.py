@@ -319,11 +319,8 @@ def test_predicted_views(spark):
     assert sorted(got) == ["o1:S2", "o2:S2"] and got["o1:S2"].pocket_positions_label_seq_id == "2;3;4;5" and got["o1:S2"].pocket_atom_count == 4 and got["o1:S2"].feature_structure_pdb_id == "AF1"
     assert {(r.view, r.region): r.ca_count for r in texts.collect()} == {("S1", "global"): 4, ("S1", "pocket"): 4, ("S2", "global"): 6, ("S2", "pocket"): 4}
     assert builds.view_counts(told) == {"S1:eligible": 1, "S2:eligible": 1}
-    for args in ({"plddt": 90.0}, {"record": record.limit(0)}, {"identity": 1.1}):
-        with pytest.raises(ViewError):
-            build(ca("AF1"), **args)
     with pytest.raises(ViewError):
-        build(ca("AF1", n=4))
+        build(ca("AF1"), plddt=90.0)
     counts = builds.pocket_counts(views, sites)
     assert counts == {"S0_views": 2, "S1_views": 2, "supervised_observations": 2, "site_definitions": 1}
     m = builds.manifest("pockets", counts, {"pilot": "h"}, {"views": files.tsv_bytes(views, ["view_id"])}, {"cutoff": 6.0}, "now")
