@@ -4,31 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from ..errors import ContractError
 from . import vocab as v
 
 
-def _type(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def _type(**columns: DataType) -> StructType:
+    """A record type; no text is parsed, as that takes a session, which an import on a driver or worker has not."""
+    return StructType([StructField(n, t) for n, t in columns.items()])
 
 
+_S, _I, _L, _D = StringType(), IntegerType(), LongType(), DoubleType()
+_IS, _DS, _SS = ArrayType(_I), ArrayType(_D), ArrayType(_S)
+
 ATOM = _type(
-    "pdb_id string, entity_id string, asym_id string, seq_id int, atom_name string, alt_id string, residue_name string, element string, `group` string, occupancy double, b_factor double, "
-    "x double, y double, z double, auth_asym_id string, auth_seq_id string, ord long"
-)
+    pdb_id=_S, entity_id=_S, asym_id=_S, seq_id=_I, atom_name=_S, alt_id=_S, residue_name=_S, element=_S, group=_S, occupancy=_D, b_factor=_D,
+    x=_D, y=_D, z=_D, auth_asym_id=_S, auth_seq_id=_S, ord=_L,
+)
 POCKET = _type(
-    "pdb_id string, entity_id string, asym_id string, expected_positions array<int>, present_positions array<int>, missing_positions array<int>, coverage double, expected_names map<int,string>, present_names map<int,string>"
-)
-CONSTRUCT = _type("group_id string, construct_sha256 string, sequence string")
-ATOM_MAPPING = _type("canonical_to_input array<int>, input_to_canonical array<int>, input_atom_symbols array<string>, canonical_atom_symbols array<string>")
+    pdb_id=_S, entity_id=_S, asym_id=_S, expected_positions=_IS, present_positions=_IS, missing_positions=_IS, coverage=_D, expected_names=MapType(_I, _S), present_names=MapType(_I, _S),
+)
+CONSTRUCT = _type(group_id=_S, construct_sha256=_S, sequence=_S)
+ATOM_MAPPING = _type(canonical_to_input=_IS, input_to_canonical=_IS, input_atom_symbols=_SS, canonical_atom_symbols=_SS)
 ENCODING = _type(
-    "input_smiles string, canonical_smiles string, molecule_hash string, canonical_to_input array<int>, node_features array<array<double>>, edge_index array<array<int>>, edge_features array<array<double>>, "
-    "node_vectors array<array<double>>, graph_vector array<double>, released_vector array<double>, provenance map<string,string>"
-)
-FILE = _type("source_id string, path string, bytes long, sha256 string")
-FEATURES = _type(", ".join(f"`{n}` double" for n in v.FEATURE_NAMES))
+    input_smiles=_S, canonical_smiles=_S, molecule_hash=_S, canonical_to_input=_IS, node_features=ArrayType(_DS), edge_index=ArrayType(_IS), edge_features=ArrayType(_DS),
+    node_vectors=ArrayType(_DS), graph_vector=_DS, released_vector=_DS, provenance=MapType(_S, _S),
+)
+FILE = _type(source_id=_S, path=_S, bytes=_L, sha256=_S)
+FEATURES = _type(**{n: _D for n in v.FEATURE_NAMES})
 
 
 def conform(df: DataFrame, schema: StructType, optional: tuple[str, ...] = ()) -> DataFrame:
