@@ -51,23 +51,27 @@ def mapping_status(molecules: DataFrame, atoms: DataFrame, canonical_atoms: Data
     molecules: molecule_id, output_order (text); atoms: molecule_id, index and what
     identity() names; bonds: molecule_id, first, last, type. The first that does not
     hold names the status: order, permutation, atoms, bonds; else mapped.
+
+    All sides grow with the molecules, so joins are sort-merge joins: a shuffled side
+    can be small in bytes and still fill the driver as a broadcast table.
     """
+    apart = lambda df: df.hint("merge")
     key = "molecule_id"
     n = canonical_atoms.groupBy(key).agg(F.count("*").alias("n"))
-    known = molecules.select(key, output_order(F.col("output_order")).alias("to_input")).join(n, key, "left").fillna(0, ["n"])
+    known = molecules.select(key, output_order(F.col("output_order")).alias("to_input")).join(apart(n), key, "left").fillna(0, ["n"])
     whole = (F.size("to_input") == F.col("n")) & (F.array_sort("to_input") == F.when(F.col("n") > 0, F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).otherwise(F.array().cast("array<int>")))
     known = known.withColumn("whole", F.coalesce(whole, F.lit(False)))
     pairs = known.where("whole").select(key, F.posexplode("to_input").alias("index", "image"))
     image = atoms.select(key, F.col("index").alias("image"), identity().alias("there"))
-    wrong = pairs.join(canonical_atoms.select(key, "index", identity().alias("here")), [key, "index"], "left").join(image, [key, "image"], "left")
+    wrong = pairs.join(apart(canonical_atoms.select(key, "index", identity().alias("here"))), [key, "index"], "left").join(apart(image), [key, "image"], "left")
     wrong_atoms = wrong.where(~F.col("here").eqNullSafe(F.col("there")) | F.col("there").isNull()).select(key).distinct().withColumn("wrong_atoms", F.lit(True))
     ends = pairs.select(key, F.col("index").alias("first"), F.col("image").alias("a")), pairs.select(key, F.col("index").alias("last"), F.col("image").alias("b"))
-    carried = canonical_bonds.select(key, "first", "last", "type").join(ends[0], [key, "first"]).join(ends[1], [key, "last"]).select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "type")
+    carried = canonical_bonds.select(key, "first", "last", "type").join(apart(ends[0]), [key, "first"]).join(apart(ends[1]), [key, "last"]).select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "type")
     there = bonds.select(key, F.least("first", "last").alias("a"), F.greatest("first", "last").alias("b"), "type")
-    wrong_bonds = carried.join(there, [key, "a", "b", "type"], "left_anti").select(key).distinct().withColumn("wrong_bonds", F.lit(True))
+    wrong_bonds = carried.join(apart(there), [key, "a", "b", "type"], "left_anti").select(key).distinct().withColumn("wrong_bonds", F.lit(True))
     status = F.when(F.col("to_input").isNull(), "order").when(~F.col("whole"), "permutation").when(F.col("wrong_atoms"), "atoms").when(F.col("wrong_bonds"), "bonds").otherwise("mapped")
     back = F.transform(F.array_sort(F.transform("to_input", lambda x, i: F.struct(x.alias("v"), i.alias("i")))), lambda s: s["i"])
-    out = known.join(wrong_atoms, key, "left").join(wrong_bonds, key, "left").withColumn("status", status)
+    out = known.join(apart(wrong_atoms), key, "left").join(apart(wrong_bonds), key, "left").withColumn("status", status)
     ok = F.col("status") == "mapped"
     return out.select(key, "status", F.when(ok, F.col("to_input")).alias("canonical_to_input"), F.when(ok, back).alias("input_to_canonical"))
 
