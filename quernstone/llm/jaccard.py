@@ -31,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -43,6 +43,8 @@ PERCENT = 90
 CHUNK = 2048
 #: Partners of a member of one block value that are verified at once; with more, the nearest comes first.
 PARTNERS = 8
+#: Parts that a member names, so that two members which share several are given out by the first of them.
+NAMED = 16
 TEXT_BYTES = 1 << 20  # of text worked on at a time; hashes take some twenty times as much
 #: Bytes of all texts for each range of block values, and block values that a task gathers before it sends them.
 RANGE_BYTES = 16 << 20
@@ -367,17 +369,31 @@ def _compare(percent: int, most: int | None, rows: int = 1 << 14):
     """Pairs within sorted groups whose narrow sketches allow a link.
 
     Of a member with more than most such partners only the nearest one comes, and a
-    row with a = b says that there are more.
+    row with a = b says that there are more.  A pair that meets in a group before
+    this one, as the first groups of both say, is left to that.
     """
 
+    def told(part: np.ndarray, low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for k in range(0, len(i), 1 << 13):
+            x, y = low[i[k : k + (1 << 13)]], low[j[k : k + (1 << 13)]]
+            before = x < part[i[k : k + (1 << 13)], None]
+            out[k : k + (1 << 13)] = ((x[:, :, None] == y[:, None, :]).any(2) & before).any(1)
+        return out
+
     def block(held: list[pa.RecordBatch]):
         t = pa.Table.from_batches(held)
         group, node, label, n = (t.column(k).to_numpy() for k in range(4))
         bits, out = t.column(4).to_pylist(), []
+        low = np.full((len(t), NAMED), np.iinfo(np.int64).max)
+        for r, own in enumerate(t.column(5).to_pylist()):
+            low[r, : len(own)] = own
         for i, j in _pairs_of(np.cumsum(np.diff(group, prepend=group[0] - 1) != 0), label, n, percent):
             apart = _apart(bits, i, j)
             near = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
             i, j, apart = i[near], j[near], apart[near]
+            new = ~told(group, low, i, j)
+            i, j, apart = i[new], j[new], apart[new]
             if not len(i):
                 continue
             order = np.lexsort((apart, i))
@@ -416,8 +432,8 @@ def _compare(percent: int, most: int | None, rows: int = 1 << 14):
     return run
 
 
-def _rest(stars: DataFrame, labels: DataFrame, known: DataFrame, percent: int, chunk: int, most: int | None) -> DataFrame:
-    """Pairs of members of a block value that stars have left apart and whose narrow sketches allow a link."""
+def _rest(stars: DataFrame, labels: DataFrame, known: DataFrame, percent: int, chunk: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of members of a block value that stars have left apart and whose narrow sketches allow a link, each from one of the parts in which it meets; and a table to drop after use."""
     parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     label = labels.select(F.col("node").alias("x"), "label")
 
@@ -432,10 +448,12 @@ def _rest(stars: DataFrame, labels: DataFrame, known: DataFrame, percent: int, c
     member = member.join(one.select("key", "chunks"), "key")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    spread = member.withColumn("own", own).select("*", other.alias("other")).select("node", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part"))
-    held = c.lookup(named(spread, "node", "label", "part"), known.select("node", "n", "bits"), "node", "part")
-    near = held.select("part", "node", "label", "n", "bits").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(percent, most), "a long, b long")
-    return near.distinct()
+    spread = c.settle(member.withColumn("own", own).select("*", other.alias("other")).select("node", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part")).distinct())
+    first = spread.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("part"))).where(F.col("at") <= NAMED)
+    low = first.groupBy("node").agg(F.collect_list("part").alias("low"))
+    held = c.lookup(named(spread, "node", "label", "part"), known.select("node", "n", "bits").join(low.hint("merge"), "node"), "node", "part")
+    near = held.select("part", "node", "label", "n", "bits", "low").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(percent, most), "a long, b long")
+    return near.distinct(), spread
 
 
 def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -480,7 +498,9 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, chunk: int
     labels = components(links)
     # where a member has many near partners, the nearest first: what they join needs no comparison in full
     for most in (PARTNERS, None):
-        near = c.settle(_rest(stars, labels, known, percent, chunk, most).join(pairs, ["a", "b"], "left_anti"))
+        near, spread = _rest(stars, labels, known, percent, chunk, most)
+        near = c.settle(near.join(pairs, ["a", "b"], "left_anti"))
+        c.drop(spread)
         again = near.where("a = b").limit(1).count()
         if near.where("a <> b").limit(1).count():
             more = verified(near.where("a <> b"))

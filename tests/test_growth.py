@@ -19,3 +19,22 @@ def test_ligand_mappings_broadcast_no_side(spark):
 
     plan = final_plan(QUERIES["ligand_mappings"](spark, DATA))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_near_pairs_come_from_one_of_the_parts_they_share():
+    import numpy as np
+    import pyarrow as pa
+
+    from quernstone.llm import jaccard
+
+    bits = jaccard.narrow(np.arange(100, dtype=np.uint64))
+    parts, nodes = list(range(10, 30)), list(range(1, 7))
+
+    def batch(part):
+        low = parts[: jaccard.NAMED]
+        rows = {"part": [part] * 6, "node": nodes, "label": nodes, "n": [100] * 6, "bits": [bits] * 6, "low": [low] * 6}
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) if k == "bits" else pa.array(v, pa.list_(pa.int64()) if k == "low" else pa.int64()) for k, v in rows.items()], list(rows))
+
+    out = [b for b in jaccard._compare(80, None, rows=1)(map(batch, parts))]
+    pairs = [p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert sorted(pairs) == [(a, b) for a in nodes for b in nodes if a > b]
