@@ -1,6 +1,8 @@
 """Plans and rows of queries that grow with their tables."""
 
+import glob
 import os
+import time
 
 import pytest
 
@@ -38,3 +40,30 @@ def test_near_pairs_come_from_one_of_the_parts_they_share():
     out = [b for b in jaccard._compare(80, None, rows=1)(map(batch, parts))]
     pairs = [p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
     assert sorted(pairs) == [(a, b) for a in nodes for b in nodes if a > b]
+
+
+def test_a_landed_table_leaves_no_shuffle_files(spark):
+    from quernstone.sources.files import landed
+
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    count = lambda: len(glob.glob(f"{root}/**/shuffle_*.data", recursive=True))
+    before = count()
+    kept = landed(spark.range(10_000).repartition(7, "id"))
+    for _ in range(50):
+        if count() <= before:
+            break
+        time.sleep(0.1)
+    assert count() <= before and kept.count() == 10_000
+
+
+def test_wide_cells_send_an_atom_to_few_cells_and_lose_no_pair(spark):
+    import numpy as np
+
+    from quernstone.operators import atoms
+
+    rng = np.random.default_rng(3)
+    left = spark.createDataFrame([(1, *x) for x in rng.uniform(-20, 20, (300, 3)).tolist()] + [(1, 0.0, 0.0, 0.0)], "p int, x double, y double, z double")
+    right = spark.createDataFrame([(1, *x) for x in rng.uniform(-20, 20, (300, 3)).tolist()] + [(1, 2.0, 0.0, 0.0), (1, -2.0, 0.0, 0.0), (1, 0.0, 2.0, 0.0)], "p int, rx double, ry double, rz double")
+    found = [{tuple(r) for r in atoms.near(left, right, ["p"], 2.0, sides).collect()} for sides in (1, 8)]
+    pairs = left.join(right, "p").where("sqrt((x-rx)*(x-rx)+(y-ry)*(y-ry)+(z-rz)*(z-rz)) <= 2").count()
+    assert found[0] == found[1] and len(found[0]) == pairs >= 3
