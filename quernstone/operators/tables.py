@@ -33,10 +33,33 @@ def first_fit(df: DataFrame, by: list[str], order: list[Column], ok: str) -> Dat
     return ranked(df.where(ok), by, order, "__n").where("__n = 1").drop("__n")
 
 
+#: Groups of a block; a key of the join holds the pairs of two blocks.
+PAIR_BLOCK = 1024
+
+
 def all_pairs(df: DataFrame, group: str, within: str) -> DataFrame:
-    """Unordered pairs of groups within a view, as left < right."""
-    left, right = (df.select(within, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c != within)) for p in ("left", "right"))
-    return left.join(right, within).where(F.col(f"left_{group}") < F.col(f"right_{group}"))
+    """Unordered pairs of groups within a view, as left < right.
+
+    The groups of a view are cut by their order into blocks, and every two blocks meet
+    under a key of their own, so a view's pairs come from many tasks, each of which
+    holds a block. Rows are as many as pairs, which grow with the square of a view.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.floor((F.row_number().over(Window.partitionBy(within).orderBy(group)) - 1) / PAIR_BLOCK).cast("int")
+    cut = df.where(F.col(within).isNotNull() & F.col(group).isNotNull()).withColumn("__b", block).withColumn("__last", F.max("__b").over(Window.partitionBy(within)))
+    key = [within, "__i", "__j"]
+    own, other = F.col("__b"), F.explode(F.sequence(F.col("__b"), "__last"))
+    left = cut.select(within, own.alias("__i"), other.alias("__j"), *(F.col(c).alias(f"left_{c}") for c in df.columns if c != within))
+    right = cut.select(within, F.explode(F.sequence(F.lit(0), own)).alias("__i"), own.alias("__j"), *(F.col(c).alias(f"right_{c}") for c in df.columns if c != within))
+    # numbers of tasks are stated, as a few bytes make many pairs
+    joined = left.repartition(n, *key).join(right.repartition(n, *key).hint("merge"), key)
+    return joined.where(F.col(f"left_{group}") < F.col(f"right_{group}")).drop("__i", "__j")
+
+
+def pair_counts(df: DataFrame, group: str, within: str, each: int = 1) -> DataFrame:
+    """(left, right, within, n): how many rows all_pairs has of each pair, each times; rows are counted before they are paired, so no pair is shuffled."""
+    pairs = all_pairs(df.groupBy(group, within).agg(F.count("*").alias("rows")), group, within)
+    return pairs.select(f"left_{group}", f"right_{group}", within, (F.col("left_rows") * F.col("right_rows") * each).alias("n"))
 
 
 def with_modes(pairs: DataFrame, modes: list[str]) -> DataFrame:
@@ -62,10 +85,14 @@ def edge_rollup(evidence: DataFrame, pair: list[str], extra: list[str] | tuple =
     return evidence.groupBy(*pair).agg(F.count("*").alias("evidence"), joined("view").alias("views"), joined("region").alias("regions"), joined("mode").alias("modes"), best).select(*pair, "evidence", "views", "regions", "modes", F.col("b.max_tm").alias("best_tm"), F.col("b.rmsd").alias("best_rmsd"), *(F.col(f"b.{c}").alias(f"best_{c}") for c in extra))
 
 
-def or_blank(df: DataFrame) -> DataFrame:
-    """The table, or one row of blanks if it is empty; the table is planned once."""
-    df = landed(df)
-    if df.limit(1).count():
+def or_blank(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """The table, or one row of blanks if it is empty.
+
+    source has rows exactly if the table has, and is asked in its place; without one
+    the table is written first, so that it is planned once.
+    """
+    df = landed(df) if source is None else df
+    if (df if source is None else source).limit(1).count():
         return df
     return df.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
 

@@ -67,3 +67,19 @@ def test_wide_cells_send_an_atom_to_few_cells_and_lose_no_pair(spark):
     found = [{tuple(r) for r in atoms.near(left, right, ["p"], 2.0, sides).collect()} for sides in (1, 8)]
     pairs = left.join(right, "p").where("sqrt((x-rx)*(x-rx)+(y-ry)*(y-ry)+(z-rz)*(z-rz)) <= 2").count()
     assert found[0] == found[1] and len(found[0]) == pairs >= 3
+
+
+def test_pairs_of_one_view_come_from_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quernstone.operators import tables
+
+    monkeypatch.setattr(tables, "PAIR_BLOCK", 7, raising=False)
+    groups = spark.createDataFrame([(i, "v") for i in range(50)] + [(3, "v"), (3, "w"), (9, "w"), (None, "w"), (5, None)], "g int, view string")
+    pairs = tables.all_pairs(groups, "g", "view")
+    rows = groups.collect()
+    want = sorted((x.g, y.g, x.view) for x in rows for y in rows if None not in (x.g, y.g, x.view) and x.view == y.view and x.g < y.g)
+    assert sorted((r.left_g, r.right_g, r.view) for r in pairs.collect()) == want
+    assert pairs.where("view = 'v'").select(F.spark_partition_id()).distinct().count() > 1
+    counts = {(r.left_g, r.right_g, r.view): r.n for r in tables.pair_counts(groups, "g", "view", 3).collect()}
+    assert counts == {k: 3 * want.count(k) for k in set(want)}
