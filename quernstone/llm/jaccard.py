@@ -31,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -44,7 +44,7 @@ CHUNK = 2048
 #: Partners of a member of one block value that are verified at once; with more, the nearest comes first.
 PARTNERS = 8
 #: Parts that a member names, so that two members which share several are given out by the first of them.
-NAMED = 16
+NAMED = 8
 TEXT_BYTES = 1 << 20  # of text worked on at a time; hashes take some twenty times as much
 #: Bytes of all texts for each range of block values, and block values that a task gathers before it sends them.
 RANGE_BYTES = 16 << 20
@@ -432,8 +432,11 @@ def _compare(percent: int, most: int | None, rows: int = 1 << 14):
     return run
 
 
-def _rest(stars: DataFrame, labels: DataFrame, known: DataFrame, percent: int, chunk: int, most: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of members of a block value that stars have left apart and whose narrow sketches allow a link, each from one of the parts in which it meets; and a table to drop after use."""
+def _rest(stars: DataFrame, labels: DataFrame, known: DataFrame, percent: int, chunk: int, most: int | None) -> DataFrame:
+    """Pairs of members of a block value that stars have left apart and whose narrow sketches allow a link, each from the first part in which both lists of parts meet.
+
+    The list of a node has a part for each chunk that it meets in each of its block values.
+    """
     parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     label = labels.select(F.col("node").alias("x"), "label")
 
@@ -448,12 +451,12 @@ def _rest(stars: DataFrame, labels: DataFrame, known: DataFrame, percent: int, c
     member = member.join(one.select("key", "chunks"), "key")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    spread = c.settle(member.withColumn("own", own).select("*", other.alias("other")).select("node", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part")).distinct())
-    first = spread.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("part"))).where(F.col("at") <= NAMED)
-    low = first.groupBy("node").agg(F.collect_list("part").alias("low"))
-    held = c.lookup(named(spread, "node", "label", "part"), known.select("node", "n", "bits").join(low.hint("merge"), "node"), "node", "part")
-    near = held.select("part", "node", "label", "n", "bits", "low").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(percent, most), "a long, b long")
-    return near.distinct(), spread
+    spread = member.withColumn("own", own).select("*", other.alias("other")).select("node", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part"))
+    # what a node carries joins its list of parts once, and then goes to each of them
+    listed = spread.groupBy("node").agg(F.sort_array(F.collect_set("part")).alias("parts"))
+    held = listed.join(label.withColumnRenamed("x", "node").hint("merge"), "node", "left").join(known.select("node", "n", "bits").hint("merge"), "node")
+    near = held.select(F.explode("parts").alias("part"), "node", F.coalesce("label", "node").alias("label"), "n", "bits", F.slice("parts", 1, NAMED).alias("low"))
+    return near.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_compare(percent, most), "a long, b long").distinct()
 
 
 def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -498,9 +501,7 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, chunk: int
     labels = components(links)
     # where a member has many near partners, the nearest first: what they join needs no comparison in full
     for most in (PARTNERS, None):
-        near, spread = _rest(stars, labels, known, percent, chunk, most)
-        near = c.settle(near.join(pairs, ["a", "b"], "left_anti"))
-        c.drop(spread)
+        near = c.settle(_rest(stars, labels, known, percent, chunk, most).join(pairs, ["a", "b"], "left_anti"))
         again = near.where("a = b").limit(1).count()
         if near.where("a <> b").limit(1).count():
             more = verified(near.where("a <> b"))

@@ -83,3 +83,22 @@ def test_pairs_of_one_view_come_from_many_tasks(spark, monkeypatch):
     assert pairs.where("view = 'v'").select(F.spark_partition_id()).distinct().count() > 1
     counts = {(r.left_g, r.right_g, r.view): r.n for r in tables.pair_counts(groups, "g", "view", 3).collect()}
     assert counts == {k: 3 * want.count(k) for k in set(want)}
+
+
+def test_components_take_one_table_for_a_small_graph_and_rounds_for_a_large_one(spark, monkeypatch):
+    import random
+
+    from quernstone.llm import _common, graph
+
+    rng = random.Random(5)
+    chain = [(i + 1, i) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 50)] + [(-5, 2000), (2000, -9)]
+    rng.shuffle(chain)
+    want = {x: 0 for x in range(301)} | {1000 + i: 1000 for i in range(50)} | {-5: -9, 2000: -9, -9: -9}
+    edges = _common.settle(spark.createDataFrame(chain, "a long, b long").repartition(8))
+    tables, settle = [], _common.settle
+    monkeypatch.setattr(_common, "settle", lambda df, *a: tables.append(1) or settle(df, *a))
+    for most, few in ((1 << 20, True), (60, False)):
+        monkeypatch.setattr(graph, "TASK_EDGES", most, raising=False)
+        tables.clear()
+        assert {r.node: r.label for r in graph.components(edges).collect()} == want
+        assert (len(tables) == 1) == few
