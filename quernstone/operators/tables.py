@@ -62,6 +62,47 @@ def pair_counts(df: DataFrame, group: str, within: str, each: int = 1) -> DataFr
     return pairs.select(f"left_{group}", f"right_{group}", within, (F.col("left_rows") * F.col("right_rows") * each).alias("n"))
 
 
+#: Groups of all views that go to every task; more are joined by sort-merge.
+GROUPS_SENT = 1 << 21
+_PRIME = (1 << 31) - 1
+
+
+def _drawn(seed: int, *columns) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(_PRIME))
+
+
+def measured_jobs(groups: DataFrame, measured: DataFrame, group: str, within: str, modes: list[str]) -> DataFrame | None:
+    """The rows of measured that belong to a job of all_pairs and with_modes, if each job has one row; else None.
+
+    No job is made and none shuffled: rows are held against the groups, which grow with
+    the root of the jobs, and per view their number and two sums of products of hashes
+    modulo a prime must be those of all jobs, which follow from sums along the sorted
+    groups. A view with a job too few or twice passes by an odds of some 1 in 10^17.
+    groups are distinct.
+    """
+    groups = landed(groups.select(group, within).where(F.col(group).isNotNull() & F.col(within).isNotNull()))
+    sent = F.broadcast if groups.count() <= GROUPS_SENT else lambda x: x.hint("merge")
+    left, right = f"left_{group}", f"right_{group}"
+    option = (F.col("region") == "global") & (F.col("mode") == "sequential") | (F.col("region") == "pocket") & F.col("mode").isin(*modes)
+    rows = measured.where((F.col(left) < F.col(right)) & option)
+    for side in (left, right):
+        rows = rows.join(sent(groups.withColumnRenamed(group, side)), [within, side], "left_semi")
+    options = [("global", "sequential"), *(("pocket", m) for m in modes)]
+    pick, before = Window.partitionBy(within).orderBy(group), Window.partitionBy(within).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    prefix = {f"p{k}": F.coalesce(F.sum(_drawn(k, group)).over(before), F.lit(0)) % _PRIME for k in (0, 1)}
+    all_options = {k: sum((_drawn(k + 4, F.lit(r), F.lit(m)) for r, m in options), F.lit(0)) % _PRIME for k in (0, 1)}
+    ranked_groups = groups.withColumns(prefix | {"at": F.row_number().over(pick).cast("long") - 1})
+    wanted = ranked_groups.groupBy(within).agg((F.sum("at") * len(options)).alias("jobs"), *(F.sum(F.col(f"p{k}") * _drawn(k + 2, group) % _PRIME).alias(f"w{k}") for k in (0, 1)))
+    wanted = wanted.where("jobs > 0").select(F.col(within).alias("__v"), "jobs", *((F.col(f"w{k}") % _PRIME * all_options[k] % _PRIME).alias(f"w{k}") for k in (0, 1)))
+    # sums by parts of a view stay far from the end of a long
+    found = {f"f{k}": _drawn(k, left) * _drawn(k + 2, right) % _PRIME * _drawn(k + 4, "region", "mode") % _PRIME for k in (0, 1)}
+    some = rows.groupBy(within, F.pmod(F.xxhash64(left), F.lit(1024)).alias("__p")).agg(F.count("*").alias("rows"), *(F.sum(c).alias(n) for n, c in found.items()))
+    seen = some.groupBy(within).agg(F.sum("rows").alias("rows"), *((F.sum(F.col(n) % _PRIME) % _PRIME).alias(n) for n in found))
+    both = wanted.join(seen, F.col("__v") == F.col(within), "full")
+    same = F.coalesce((F.col("jobs") == F.col("rows")) & (F.col("w0") == F.col("f0")) & (F.col("w1") == F.col("f1")), F.lit(False))
+    return None if both.where(~same).limit(1).count() else rows
+
+
 def with_modes(pairs: DataFrame, modes: list[str]) -> DataFrame:
     """Each pair once for the whole and once for every pocket mode."""
     options = F.array(F.struct(F.lit("global").alias("region"), F.lit("sequential").alias("mode")), *(F.struct(F.lit("pocket").alias("region"), F.lit(m).alias("mode")) for m in modes))

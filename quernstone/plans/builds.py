@@ -108,20 +108,28 @@ def pocket_views(pilot: DataFrame, atoms: DataFrame, order: str = "ord", cutoff:
     return out0.unionByName(out1), sites
 
 
-def structure_edges(views: DataFrame, measured: DataFrame, modes: list[str], whole: tuple[float, int, float], pocket: tuple[float, int, float, float]) -> tuple[DataFrame, DataFrame]:
-    """(pairs, edges) of eligible views (construct_group_id, view, status).
+def structure_pairs(views: DataFrame, measured: DataFrame, modes: list[str], whole: tuple[float, int, float], pocket: tuple[float, int, float, float]) -> DataFrame:
+    """The jobs of eligible views (construct_group_id, view, status) with their figures, and whether each is an edge.
 
     measured holds the aligner's figures of every job: left_construct_group_id,
     right_construct_group_id, view, region, mode, tm_1, tm_2, length_1, length_2,
-    aligned, rmsd; a job without them fails the query. whole and pocket are the
+    aligned, rmsd; a job without them fails the query. It is read twice. whole and pocket are the
     least score, aligned positions and fraction, and for pockets the largest RMSD.
     """
     on = ["left_construct_group_id", "right_construct_group_id", "view", "region", "mode"]
     groups = views.where("status = 'eligible'").select("construct_group_id", "view").distinct()
-    jobs = tables.with_modes(tables.all_pairs(groups, "construct_group_id", "view"), modes)
+    jobs = tables.measured_jobs(groups, measured, "construct_group_id", "view", modes)
+    if jobs is None:  # a job has several rows or none
+        jobs = mandatory(tables.with_modes(tables.all_pairs(groups, "construct_group_id", "view"), modes), measured, on, "a job has no measurement")
     edge: Column = F.when(F.col("region") == "global", tables.is_edge(*whole, float("inf"))).otherwise(tables.is_edge(*pocket))
-    pairs = tables.pair_metrics(mandatory(jobs, measured, on, "a job has no measurement")).withColumn("edge", edge)
-    return pairs, tables.or_blank(tables.edge_rollup(pairs.where("edge"), on[:2], ["aligned", "aligned_fraction"]))
+    return tables.pair_metrics(jobs).withColumn("edge", edge)
+
+
+def structure_edges(views: DataFrame, measured: DataFrame, modes: list[str], whole: tuple[float, int, float], pocket: tuple[float, int, float, float]) -> tuple[DataFrame, DataFrame]:
+    """(pairs, edges) of eligible views: structure_pairs, and its edges rolled up by pair; only evidence is shuffled."""
+    pairs = structure_pairs(views, measured, modes, whole, pocket)
+    evidence = pairs.where("edge")
+    return pairs, tables.or_blank(tables.edge_rollup(evidence, ["left_construct_group_id", "right_construct_group_id"], ["aligned", "aligned_fraction"]))
 
 
 def ranked_candidates(candidates: DataFrame, cap: float, then: list[str]) -> tuple[DataFrame, list[Column]]:

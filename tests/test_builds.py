@@ -65,3 +65,31 @@ def test_unoccupied_views(spark):
     late = cand.where(F.col("pdb_id") != "F")
     selected, attempts = builds.unoccupied_views(late, atoms, expected, 8.0)
     assert [(r.pdb_id, r.asym_id) for r in selected.collect()] == [("E", "A")] and attempts.count() == 3
+
+
+def test_structure_pairs_are_not_shuffled_and_each_job_counts(spark, monkeypatch):
+    groups = [("v", g) for g in "abcde"] + [("w", g) for g in "ab"] + [("x", "a")]
+    views = spark.createDataFrame([(g, v, "eligible") for v, g in groups], "construct_group_id string, view string, status string")
+    names = ["left_construct_group_id", "right_construct_group_id", "view", "region", "mode"]
+    options = [("global", "sequential"), ("pocket", "sequential"), ("pocket", "fully_nonsequential")]
+    jobs = [(a, b, v, *o) for v, a in groups for u, b in groups if u == v and a < b for o in options]
+    gates = ["sequential", "fully_nonsequential"], (0.5, 30, 0.6), (0.5, 8, 0.6, 4.0)
+
+    def pairs(rows):
+        x = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+        lit = {"tm_1": 0.4, "tm_2": 0.7, "length_1": 100, "length_2": 60, "aligned": 40, "rmsd": 1.0}
+        return builds.structure_edges(views, x.withColumns({k: F.lit(v) for k, v in lit.items()}), *gates)[0]
+
+    strangers = [("b", "a", "v", *options[0]), ("a", "z", "v", *options[0]), ("a", "b", "x", *options[0]), ("a", "b", "v", "global", "fully_nonsequential"), (None, "b", "v", *options[0])]
+    for most in (1 << 21, 0):
+        monkeypatch.setattr(builds.tables, "GROUPS_SENT", most, raising=False)
+        out = pairs(jobs + strangers)
+        assert sorted(tuple(r[n] for n in names) for r in out.collect()) == sorted(jobs)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0 or not most
+    assert sorted(tuple(r[n] for n in names) for r in pairs(jobs + jobs[:2]).collect()) == sorted(jobs + jobs[:2])
+    for lost in (jobs[0], jobs[-1]):
+        rest = [j for j in jobs if j != lost]
+        with pytest.raises(Exception, match="no measurement"):
+            pairs(rest).collect()
+        with pytest.raises(Exception, match="no measurement"):
+            pairs(rest + rest[3:4]).collect()
