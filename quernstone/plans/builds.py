@@ -129,7 +129,7 @@ def structure_edges(views: DataFrame, measured: DataFrame, modes: list[str], who
     """(pairs, edges) of eligible views: structure_pairs, and its edges rolled up by pair; only evidence is shuffled."""
     pairs = structure_pairs(views, measured, modes, whole, pocket)
     evidence = pairs.where("edge")
-    return pairs, tables.or_blank(tables.edge_rollup(evidence, ["left_construct_group_id", "right_construct_group_id"], ["aligned", "aligned_fraction"]))
+    return pairs, tables.or_blank(tables.edge_rollup(evidence, ["left_construct_group_id", "right_construct_group_id"], ["aligned", "aligned_fraction"]), evidence)
 
 
 def ranked_candidates(candidates: DataFrame, cap: float, then: list[str]) -> tuple[DataFrame, list[Column]]:

@@ -93,3 +93,14 @@ def test_structure_pairs_are_not_shuffled_and_each_job_counts(spark, monkeypatch
             pairs(rest).collect()
         with pytest.raises(Exception, match="no measurement"):
             pairs(rest + rest[3:4]).collect()
+
+
+def test_structure_edges_are_not_written_before_they_are_asked_for(spark, monkeypatch):
+    written, landed = [], builds.tables.landed
+    monkeypatch.setattr(builds.tables, "landed", lambda df: written.append(df.columns) or landed(df))
+    views = spark.createDataFrame([("a", "S1", "eligible"), ("b", "S1", "eligible")], "construct_group_id string, view string, status string")
+    measured = spark.sql("select 'a' left_construct_group_id, 'b' right_construct_group_id, 'S1' view, r region, 'sequential' mode, 0.4d tm_1, t tm_2, 10 length_1, 10 length_2, 9 aligned, 1d rmsd from values ('global', 0.7d), ('pocket', 0.1d) v(r, t)")
+    for least, evidence in ((0.5, 1), (0.9, None)):
+        edges = builds.structure_edges(views, measured, ["sequential"], (least, 8, 0.6), (0.5, 8, 0.6, 4.0))[1]
+        assert [r.evidence for r in edges.collect()] == [evidence]
+    assert all("evidence" not in names for names in written)
