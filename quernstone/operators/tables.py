@@ -246,6 +246,36 @@ def tier_counts(views: DataFrame, column: str, tiers: list[str]) -> DataFrame:
     return views.agg(*(F.count_if(F.col(column) == t).alias(f"{t}_views") for t in tiers), F.count("*").alias("rows"))
 
 
+#: Members of all sets of views that go to every task; with more, pairs are sorted.
+MEMBERS_SENT = 1 << 20
+
+
+def ordered_pairs(df: DataFrame, group: str, within: str, modes: list[str]) -> DataFrame:
+    """The rows of all_pairs and with_modes in the order of left, right, view, region and mode, without a sort of pairs.
+
+    Left groups are sorted, and each meets the sorted members of its views, which are
+    broadcast once for every set of views; so rows come out in order. Beyond
+    MEMBERS_SENT members pairs are sorted before the modes are added.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = f"left_{group}", f"right_{group}"
+    own = df.select(group, within).where(F.col(group).isNotNull() & F.col(within).isNotNull())
+    sets = own.groupBy(group).agg(F.sort_array(F.collect_list(within)).alias("__s"))
+    kinds = sets.select("__s").distinct().withColumn(within, F.explode("__s")).groupBy("__s", within).agg(F.count("*").alias("__k"))
+    members = kinds.join(own.groupBy(group, within).agg(F.count("*").alias("n")), within).withColumn("n", F.col("n") * F.col("__k"))
+    if members.count() <= MEMBERS_SENT:
+        lists = members.groupBy("__s").agg(F.sort_array(F.collect_list(F.struct(group, within, "n"))).alias("__m"))
+        lefts = sets.select(F.col(group).alias(left), "__s").repartitionByRange(n, left).sortWithinPartitions(left)
+        # rows pass as they are: Spark drops a sort below a join unless something stands between
+        lefts = lefts.mapInArrow(lambda batches: batches, lefts.schema)
+        met = lefts.join(F.broadcast(lists), "__s").select(left, F.explode("__m").alias("m"))
+        pairs = met.select(left, F.col(f"m.{group}").alias(right), f"m.{within}", "m.n").where(F.col(left) < F.col(right))
+    else:
+        pairs = pair_counts(own, group, within).orderBy(left, right, within)
+    # repeated groups make equal rows, which stand together
+    return with_modes(pairs, sorted(modes)).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+
+
 def sorted_pairs(pairs: DataFrame) -> DataFrame:
     """The pair table in the order of its groups, view, region and mode."""
     return pairs.orderBy("left_construct_group_id", "right_construct_group_id", "view", "region", "mode")

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 import time
 
 import pytest
@@ -102,3 +103,17 @@ def test_components_take_one_table_for_a_small_graph_and_rounds_for_a_large_one(
         tables.clear()
         assert {r.node: r.label for r in graph.components(edges).collect()} == want
         assert (len(tables) == 1) == few
+
+
+def test_ordered_pairs_come_in_order_without_a_sort_of_pairs(spark, monkeypatch):
+    from quernstone.operators import tables
+
+    groups = spark.createDataFrame([(i * 7 % 41, "v") for i in range(41)] + [(3, "v"), (3, "u"), (9, "u"), (20, "u"), (None, "u"), (5, None)], "g int, view string").repartition(3)
+    modes = ["sequential", "fully_nonsequential"]
+    want = sorted(tuple(r) for r in tables.with_modes(tables.all_pairs(groups, "g", "view"), modes).select("left_g", "right_g", "view", "region", "mode").collect())
+    for most, sends in ((1 << 20, True), (0, False)):
+        monkeypatch.setattr(tables, "MEMBERS_SENT", most)
+        out = tables.ordered_pairs(groups, "g", "view", modes)
+        assert [tuple(r) for r in out.collect()] == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("rangepartitioning(left_g" in plan and "rangepartitioning(left_g, right_g" not in re.sub(r"#\d+L?| ASC NULLS FIRST", "", plan)) == sends
