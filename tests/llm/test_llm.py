@@ -82,6 +82,19 @@ def test_dedup(spark, docs, monkeypatch, hot):
             assert one == [tuple(x) for x in cut], i
 
 
+def test_digest_goes_by_bytes_not_words(spark):
+    """Passages of over 50 words stay below 400 bytes and go from there on; n_bytes is the text's size in both cases."""
+    rnd = random.Random(6)
+    long_ = " ".join("".join(rnd.choice("klmnopqrst") for _ in range(rnd.randint(2, 7))) for _ in range(300))
+    below, at, whole = long_[:399], long_[400:800], "y" + long_[800:1200]
+    assert len(below.split()) > 50 and len(at.split()) > 50
+    texts = ["a" + below + "b", "c" + below + "d", "e" + at + "f", "g" + at + "h", whole, whole, None]
+    kept = [*texts[:2], "ef", "gh", "", "", ""]
+    got = dedup.digest(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    want = [(i, len(t or ""), len(t or "") - len(k), int(k != (t or "")), hashlib.sha256(k.encode()).hexdigest()) for i, (t, k) in enumerate(zip(texts, kept))]
+    assert [tuple(r) for r in got] == want
+
+
 def test_bpe_matches_the_library(spark, docs):
     from tokenizers import Tokenizer
 
