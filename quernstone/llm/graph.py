@@ -29,6 +29,7 @@ def least_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label = label[label]
 
 
+@c.giving_back
 def _contract(batches):
     """The edges of a task as stars around the smallest nodes."""
     held, count = [], 0

@@ -227,6 +227,7 @@ def _emit(percent: int, size: int, ranges: int):
     return run
 
 
+@c.giving_back
 def _meet(batches):
     """Stars of the firsts of one range of block values after another; other rows pass."""
     held: list = []  # range, then (keys, nodes) of it
@@ -410,6 +411,7 @@ def _compare(percent: int, most: int | None, rows: int = 1 << 14):
             a, b = np.unique(np.concatenate(out, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    @c.giving_back
     def run(batches):
         held, count = [], 0
         for b in batches:

@@ -662,3 +662,28 @@ def test_near_copies_with_repeated_ids(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], SCHEMA)
     out = Counter((r.doc_id, r.text) for r in p.near_copies(spark, df, "").collect())
     assert out == Counter([(5, a), (None, b), (None, d), (5, e), (10, "")])
+
+
+def test_batches_are_bounded(spark, monkeypatch):
+    own = spark.conf.get(c._BATCH)
+    df = spark.range(60, numPartitions=1).selectExpr("id as doc_id", "repeat('a', 250000) as text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    try:
+        spark.conf.set(c._BATCH, "64m")
+        c.ship(spark)
+        assert max(r.n for r in df.mapInArrow(sizes, "n long").collect()) <= c.SLICE_BYTES + 300_000
+        spark.conf.set(c._BATCH, "1m")
+        c.ship(spark)
+        assert spark.conf.get(c._BATCH) == "1m"
+    finally:
+        spark.conf.set(c._BATCH, own)
+
+    calls = []
+    monkeypatch.setattr(c, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab"] * 4)], ["text"])
+    assert sum(b.num_rows for b in c.slices(iter([batch, batch]), size=2)) == 8 and calls == [1]
+    assert list(c.giving_back(lambda batches: batches)([3])) == [3] and calls == [1, 1]
