@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,21 +113,102 @@ def with_modes(pairs: DataFrame, modes: list[str]) -> DataFrame:
     return pairs.withColumn("o", F.explode(options)).select("*", "o.region", "o.mode").drop("o")
 
 
+def metrics(at: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    shorter = F.least(at("length_1"), at("length_2"))
+    return {"max_tm": F.greatest(at("tm_1"), at("tm_2")), "aligned_fraction": F.when(shorter == 0, 0.0).otherwise(at("aligned") / shorter)}
+
+
 def pair_metrics(df: DataFrame) -> DataFrame:
-    shorter = F.least("length_1", "length_2")
-    return df.withColumn("max_tm", F.greatest("tm_1", "tm_2")).withColumn("aligned_fraction", F.when(shorter == 0, 0.0).otherwise(F.col("aligned") / shorter))
+    return df.withColumns(metrics())
 
 
-def is_edge(tm: float, aligned: int, fraction: float, rmsd: float) -> Column:
-    base = (F.col("max_tm") >= tm) & (F.col("aligned") >= aligned) & (F.col("aligned_fraction") >= fraction)
-    return F.when(F.col("region") == "global", base).otherwise(base & (F.col("rmsd") <= rmsd))
+def is_edge(tm: float, aligned: int, fraction: float, rmsd: float, at: Callable[[str], Column] = F.col) -> Column:
+    base = (at("max_tm") >= tm) & (at("aligned") >= aligned) & (at("aligned_fraction") >= fraction)
+    return F.when(at("region") == "global", base).otherwise(base & (at("rmsd") <= rmsd))
 
 
-def edge_rollup(evidence: DataFrame, pair: list[str], extra: list[str] | tuple = ()) -> DataFrame:
-    """One row per pair: count, what it was seen in, and the best evidence with the extra columns asked for."""
+def edge_rollup(evidence: DataFrame, pair: list[str], extra: list[str] | tuple = (), rows: Column | None = None) -> DataFrame:
+    """One row per pair: count (of rows for each row of evidence, if given), what it was seen in, and the best evidence with the extra columns asked for."""
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ";")
     best = F.min_by(F.struct("max_tm", "rmsd", *extra), F.struct(-F.col("max_tm"), F.col("rmsd"), F.col("view"), F.col("region"), F.col("mode"))).alias("b")
-    return evidence.groupBy(*pair).agg(F.count("*").alias("evidence"), joined("view").alias("views"), joined("region").alias("regions"), joined("mode").alias("modes"), best).select(*pair, "evidence", "views", "regions", "modes", F.col("b.max_tm").alias("best_tm"), F.col("b.rmsd").alias("best_rmsd"), *(F.col(f"b.{c}").alias(f"best_{c}") for c in extra))
+    return evidence.groupBy(*pair).agg((F.count("*") if rows is None else F.sum(rows)).alias("evidence"), joined("view").alias("views"), joined("region").alias("regions"), joined("mode").alias("modes"), best).select(*pair, "evidence", "views", "regions", "modes", F.col("b.max_tm").alias("best_tm"), F.col("b.rmsd").alias("best_rmsd"), *(F.col(f"b.{c}").alias(f"best_{c}") for c in extra))
+
+
+#: Rows of one group that all of them carry; pairs of a group with more have their evidence shuffled.
+ROWS_CARRIED = 64
+
+
+def rolled_pairs(df: DataFrame, group: str, within: str, modes: list[str], figures: Callable[[Callable[[str], Column]], dict[str, Column]]) -> DataFrame:
+    """edge_rollup of the edges among the jobs of all_pairs and with_modes, made where a pair arises: no pair and no evidence is shuffled.
+
+    figures gives edge, max_tm and rmsd of a job; its argument gives the job's columns
+    by name: those of all_pairs, region and mode. Equal rows of a group are counted. A
+    group that has several rows still carries all of them, and its pairs come from the
+    first two rows that meet in a view, with the jobs of all that do. Rows so carried
+    grow with the square of a group's rows, up to ROWS_CARRIED; only groups with more
+    have the evidence of their pairs shuffled.
+    """
+    own_group = Window.partitionBy(group)
+    rows = df.where(F.col(group).isNotNull() & F.col(within).isNotNull()).groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    rows = rows.withColumn("__m", F.count("*").over(own_group))
+    most = F.col("__m") > ROWS_CARRIED
+    rolled = _rolled_in_place(rows.where(~most).drop("__m"), group, within, modes, figures)
+    if not rows.where(most).limit(1).count():
+        return rolled
+    pair = [f"left_{group}", f"right_{group}"]
+    jobs = with_modes(all_pairs(rows, group, within).where(F.greatest("left___m", "right___m") > ROWS_CARRIED), modes)
+    seen = figures(F.col)
+    evidence = jobs.select(*pair, F.col(within).cast("string").alias("view"), "region", "mode", (F.col("left___n") * F.col("right___n")).alias("__n"), *(seen[c].alias(c) for c in ("edge", "max_tm", "rmsd")))
+    return rolled.unionByName(edge_rollup(evidence.where("edge"), pair, rows=F.col("__n")))
+
+
+def _rolled_in_place(rows: DataFrame, group: str, within: str, modes: list[str], figures: Callable) -> DataFrame:
+    """rolled_pairs of distinct rows, __n times each, whose groups have few."""
+    left, right = f"left_{group}", f"right_{group}"
+    rest = [c for c in rows.columns if c not in (group, within, "__n")]
+    every = F.sort_array(F.collect_list(F.struct(within, *rest, "__n")).over(Window.partitionBy(group)))
+    rows = rows.withColumn("__all", every).withColumn("__all", F.when(F.size("__all") > 1, F.col("__all")))
+    options = [("global", "sequential"), *(("pocket", m) for m in modes)]
+
+    def jobs(at):
+        for region, mode in options:
+            told = {"region": F.lit(region), "mode": F.lit(mode)}
+            f = figures(lambda c: told[c] if c in told else at(c))  # noqa: B023
+            yield region, mode, F.coalesce(f["edge"], F.lit(False)), F.struct((-f["max_tm"]).alias("by"), f["rmsd"].alias("rmsd"), f["max_tm"].alias("max_tm"))
+
+    def row(evidence, views, regions, seen, best):
+        return F.struct(evidence.alias("evidence"), views.alias("views"), regions.alias("regions"), seen.alias("modes"), best["max_tm"].alias("best_tm"), best["rmsd"].alias("best_rmsd"))
+
+    # two rows alone: the jobs are columns
+    here = list(jobs(F.col))
+    names = lambda k: F.concat_ws(";", *(F.when(reduce(or_, (j[2] for j in here if j[k] == v)), F.lit(v)) for v in sorted({j[k] for j in here})))
+    count = sum((j[2].cast("long") for j in here), F.lit(0)) * F.col("left___n") * F.col("right___n")
+    alone = F.array(row(count, F.col(within).cast("string"), names(0), names(1), F.array_min(F.array(*(F.when(j[2], j[3]) for j in here)))))
+
+    # several: the jobs are an array
+    own = {side: F.struct(F.col(within).alias(within), *(F.col(f"{side}_{c}").alias(c) for c in (*rest, "__n"))) for side in ("left", "right")}
+    lefts, rights = (F.coalesce(F.col(f"{side}___all"), F.array(x)) for side, x in own.items())
+    meetings = F.flatten(F.transform(lefts, lambda x: F.transform(F.filter(rights, lambda y: y[within] == x[within]), lambda y: F.struct(x.alias("left"), y.alias("right")))))
+
+    def evidence(meeting):
+        at = lambda c: F.col(c) if c in (left, right) else meeting["left"][c] if c == within else meeting[c.split("_", 1)[0]][c.split("_", 1)[1]]
+        told = {"n": meeting["left"]["__n"] * meeting["right"]["__n"], "view": meeting["left"][within].cast("string")}
+        return F.array(*(F.when(edge, F.struct(*(c.alias(n) for n, c in told.items()), F.lit(region).alias("region"), F.lit(mode).alias("mode"), best.alias("best"))) for region, mode, edge, best in jobs(at)))
+
+    def rolled(found):
+        texts = lambda n: F.array_join(F.sort_array(F.array_distinct(F.transform(found, lambda x: x[n]))), ";")
+        return row(F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x["n"]), texts("view"), texts("region"), texts("mode"), F.array_min(F.transform(found, lambda x: x["best"])))
+
+    first = F.struct(own["left"].alias("left"), own["right"].alias("right"))
+    # arrays of one, as their elements are worked out once
+    several = F.filter(F.array(meetings), lambda m: F.get(m, F.lit(0)).eqNullSafe(first))
+    several = F.transform(several, lambda m: F.array_compact(F.flatten(F.transform(m, evidence))))
+    several = F.transform(F.filter(several, lambda found: F.size(found) > 0), rolled)
+
+    carried = F.col("left___all").isNotNull() | F.col("right___all").isNotNull()
+    pairs = all_pairs(rows, group, within).where(carried | reduce(or_, (j[2] for j in here)))
+    # outer, as the optimizer would ask before whether an inner one has rows, and work it out twice
+    return pairs.select(left, right, F.when(carried, several).otherwise(alone).alias("__r")).select(left, right, F.inline_outer("__r")).where("evidence IS NOT NULL")
 
 
 def or_blank(df: DataFrame, source: DataFrame | None = None) -> DataFrame:

@@ -117,3 +117,31 @@ def test_ordered_pairs_come_in_order_without_a_sort_of_pairs(spark, monkeypatch)
         assert [tuple(r) for r in out.collect()] == want
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert ("rangepartitioning(left_g" in plan and "rangepartitioning(left_g, right_g" not in re.sub(r"#\d+L?| ASC NULLS FIRST", "", plan)) == sends
+
+
+@here
+def test_edge_rollup_shuffles_no_pair(spark):
+    from quernstone.plans.catalogue import QUERIES
+
+    plan = final_plan(QUERIES["edge_rollup"](spark, DATA.replace("0.001", "0.01")))  # the smallest has no edges
+    assert "SortMergeJoin" in plan and "hashpartitioning(left_" not in plan
+
+
+def test_pairs_rolled_up_where_they_arise_equal_the_rollup_of_their_evidence(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quernstone.operators import tables
+    from quernstone.plans import catalogue
+
+    monkeypatch.setattr(tables, "PAIR_BLOCK", 7)
+    rows = [(i, i % 4, i % 90 + 10) for i in range(40)] + [(i, v, i % 90 + 10) for i in range(20, 60) for v in (1, 7, 10)] + [(i, 7, 11 + i % 3) for i in range(30, 50)] * 2 + [(None, 1, 10), (3, None, 10)]
+    groups = spark.createDataFrame(rows, "g long, view int, len long")
+    jobs = tables.with_modes(tables.all_pairs(groups, "g", "view"), catalogue._MODES)
+    evidence = jobs.select("left_g", "right_g", F.col("view").cast("string").alias("view"), "region", "mode", *(c.alias(n) for n, c in catalogue._job(F.col).items() if n in ("edge", "max_tm", "rmsd")))
+    want = sorted(tuple(r) for r in tables.edge_rollup(evidence.where("edge"), ["left_g", "right_g"]).collect())
+    assert {";" in r[3] for r in want} == {";" in r[5] for r in want} == {True, False}
+    for most, shuffled in ((64, False), (3, True)):
+        monkeypatch.setattr(tables, "ROWS_CARRIED", most, raising=False)
+        out = tables.rolled_pairs(groups, "g", "view", catalogue._MODES, catalogue._job)
+        assert sorted(tuple(r) for r in out.collect()) == want
+        assert ("hashpartitioning(left_" in final_plan(out)) == shuffled
